@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import features, judging, loading  # noqa: F401
+from . import features, judging, loading, modelling  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import DataFrame, functions as F
 
 from ..evaluation.guards import require_auxiliary
+from ..operators.encoders import fit_median, impute, split_kinds
 from ..schemas import AUXILIARY_LABELS, KEYS
+from .common import predictions, probability, train_rows
 
 
 def task_labels(
@@ -24,3 +30,63 @@ def task_labels(
     return long.withColumn(
         "weight", F.when(F.col("task") == label, F.lit(1.0)).otherwise(F.lit(float(weight)))
     )
+
+
+def _crossed(df: DataFrame, categorical: list[str]) -> DataFrame:
+    """Adds a per-task copy of each categorical."""
+    return df.withColumns({f"{c}__task": F.concat_ws("|", "task", c) for c in categorical})
+
+
+@dataclass
+class MultitaskModel:
+    hasher: object
+    model: object
+    medians: dict[str, float]
+    features: list[str]
+    categorical: list[str]
+    label: str
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Scores of the main task only."""
+        rows = _crossed(
+            impute(df, self.medians).withColumn("task", F.lit(self.label)), self.categorical
+        )
+        return predictions(self.model.transform(self.hasher.transform(rows)), probability())
+
+
+def fit_multitask(
+    df: DataFrame,
+    features: list[str],
+    auxiliary_targets: list[str] = list(AUXILIARY_LABELS),
+    auxiliary_weight: float = 0.3,
+    hash_dim: int = 1 << 16,
+    max_iter: int = 50,
+    l2: float = 1e-6,
+    label: str = "long_view",
+    seed: int = 0,
+) -> MultitaskModel:
+    """One weighted logistic regression over the long task table: shared features plus a
+    copy per task, so the tasks lend each other the shared part.
+
+    Only 0/1 labels can be trained on; other allowed outcomes are refused, not dropped.
+    """
+    names = require_auxiliary(list(auxiliary_targets))
+    train = train_rows(df)
+    if names:
+        span = train.agg(*[F.max(~F.col(n).isin(0, 1)).alias(n) for n in names]).first()
+        bad = [n for n in names if span[n]]
+        if bad:
+            raise ValueError(f"auxiliary labels must be 0/1: {bad}")
+    categorical, numeric = split_kinds(df, features)
+    medians = fit_median(train, numeric) if numeric else {}
+    long = task_labels(impute(train, medians), names, auxiliary_weight, label, keep=tuple(features))
+    hasher = FeatureHasher(
+        inputCols=["task", *features, *[f"{c}__task" for c in categorical]],
+        outputCol="features",
+        numFeatures=hash_dim,
+    )
+    rows = hasher.transform(_crossed(long, categorical)).select(
+        "features", F.col("label").cast("double").alias("label"), "weight"
+    )
+    model = LogisticRegression(maxIter=max_iter, regParam=l2, weightCol="weight").fit(rows)
+    return MultitaskModel(hasher, model, medians, list(features), categorical, label)
