@@ -61,7 +61,7 @@ def lambdarank(spark, sf):
 @query("deep_fm")
 def deep_fm(spark, sf):
     rows = model_frame(spark, sf)
-    model = deep.fit_deepfm(rows, FEATURES, hidden_dim=8, hash_dim=64, epochs=1, **_FM)
+    model = deep.fit_deepfm(rows, FEATURES, hidden_dim=8, hash_dim=64, deep_epochs=1, **_FM)
     return model.score(rows).select(*_SCORE)
 
 

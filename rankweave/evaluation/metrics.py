@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.ordering import peer_totals, top_rows
+from ..plans.ordering import FIND, peer_totals, top_rows
 from ..schemas import BASELINE_VALID, GAIN_EPS, KEYS
 
 USER = ["split", "user_id"]
@@ -18,12 +18,13 @@ def with_labels(pred: DataFrame, labels: DataFrame, label: str = "long_view") ->
 
 
 def user_auc(
-    pred: DataFrame, score: str = "score", label: str = "long_view", min_rows: int | None = None
+    pred: DataFrame, score: str = "score", label: str = "long_view",
+    min_rows: int | None = None, hot=FIND,
 ) -> DataFrame:
     """Per user: rows, positives and AUC with averaged ties (null for one-class users)."""
     y = F.col(label).cast("long")
     lean = pred.select(*USER, F.col(score).alias("_s"), y.alias("_pos"), (1 - y).alias("_neg"))
-    placed = peer_totals(lean, USER, ["_s"], ["_neg"], min_rows)
+    placed = peer_totals(lean, USER, ["_s"], ["_neg"], min_rows, hot)
     won = F.col("_neg_before") + F.col("_neg_peers") / 2.0
     sums = placed.groupBy(*USER).agg(
         F.sum("_pos").alias("positives"),
@@ -88,15 +89,17 @@ def evaluate(
     score: str = "score",
     label: str = "long_view",
     min_rows: int | None = None,
+    hot=FIND,
 ) -> DataFrame:
     """GAUC, nDCG@5 and their mean, for the asked splits only.
 
-    The split filter comes first, so other splits are neither read nor scored.
+    The split filter comes first, so other splits are neither read nor scored. A caller that
+    scores the same rows many times passes their ``hot`` users once found.
     """
     kept = pred.where(F.col("split").isin(*splits))
     if labels is not None:
         kept = with_labels(kept, labels.where(F.col("split").isin(*splits)), label)
-    users = user_auc(kept, score, label, min_rows).join(user_dcg(kept, 5, score, label), USER)
+    users = user_auc(kept, score, label, min_rows, hot).join(user_dcg(kept, 5, score, label), USER)
     return users.groupBy("split").agg(
         _gauc(weighting).alias("gauc"), _ndcg(5).alias("ndcg5")
     ).select("split", "gauc", "ndcg5", ((F.col("gauc") + F.col("ndcg5")) / 2).alias("primary"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from ..evaluation.metrics import evaluate
+from ..evaluation.metrics import USER, evaluate
+from ..plans.ordering import FIND, find_hot
 from ..schemas import GAIN_EPS, KEYS
 
 PREDICTION = [*KEYS, "user_id", "long_view"]
@@ -30,9 +31,14 @@ def predictions(df: DataFrame, value) -> DataFrame:
     return df.select(*kept, value.cast("double").alias("score"))
 
 
-def primary_of(pred: DataFrame, split: str = "valid") -> float:
+def hot_users(df: DataFrame) -> DataFrame | None:
+    """Hot users of a frame, for repeated evaluation of the same rows."""
+    return find_hot(df, USER)
+
+
+def primary_of(pred: DataFrame, split: str = "valid", hot=FIND) -> float:
     """The primary metric of one split, as a number (-inf if the split has no mixed user)."""
-    row = evaluate(pred, (split,)).first()
+    row = evaluate(pred, (split,), hot=hot).first()
     return float("-inf") if row is None or row["primary"] is None else float(row["primary"])
 
 

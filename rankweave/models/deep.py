@@ -52,13 +52,13 @@ def fit_deepfm(
     features: list[str],
     hidden_dim: int = 64,
     hash_dim: int = 256,
-    epochs: int = 3,
+    deep_epochs: int = 3,
     steps_per_epoch: int = 20,
     seed: int = 0,
     fm: FmModel | None = None,
     **fm_args,
 ) -> DeepFm:
-    """An FM, a one-hidden-layer network on hashed features (``epochs * steps_per_epoch``
+    """An FM, a one-hidden-layer network on hashed features (``deep_epochs * steps_per_epoch``
     optimizer steps), and a logistic blend of the two, fitted on train rows."""
     base = fm or fit_fm(df, features, seed=seed, **fm_args)
     categorical, numeric = split_kinds(df, features)
@@ -68,7 +68,7 @@ def fit_deepfm(
     )
     train = train_rows(df).withColumn("label", F.col("long_view").cast("double"))
     network = MultilayerPerceptronClassifier(
-        layers=[hash_dim, hidden_dim, 2], maxIter=epochs * steps_per_epoch, seed=seed
+        layers=[hash_dim, hidden_dim, 2], maxIter=deep_epochs * steps_per_epoch, seed=seed
     ).fit(_hashed(train, hasher, medians).select("features", "label"))
     model = DeepFm(base, network, None, hasher, medians, list(features))
     stacked = _parts(model, train_rows(df)).withColumn("label", F.col("long_view").cast("double"))

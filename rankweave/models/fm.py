@@ -14,7 +14,15 @@ from ..operators.encoders import SparseEncoder, fit_sparse
 from ..operators.sets import same_user_pairs
 from ..schemas import KEYS
 from ..session import cut_lineage
-from .common import PREDICTION, Stopper, predictions, primary_of, probability, train_rows
+from .common import (
+    PREDICTION,
+    Stopper,
+    hot_users,
+    predictions,
+    primary_of,
+    probability,
+    train_rows,
+)
 
 # Stock FM training keeps the model on the driver and sends it to every task, so its size is
 # bounded here; larger vocabularies share hashed slots.
@@ -27,8 +35,9 @@ def encoder_for(df, features, k, numeric_bins=32, hashed=None, accuracy=None) ->
     """The exact encoding while the model fits its bound, else a hashed one."""
     found = fit_sparse(df, features, numeric_bins, hashed, accuracy)
     if hashed is None and found.dimension * (k + 1) > MAX_PARAMETERS:
-        slots = MAX_PARAMETERS // (k + 1) // max(1, len(found.categorical)) - numeric_bins
-        found = fit_sparse(df, features, numeric_bins, slots, accuracy)
+        fixed = sum(w for name, w in found.widths.items() if name not in found.categorical)
+        slots = (MAX_PARAMETERS // (k + 1) - fixed) // max(1, len(found.categorical))
+        found = fit_sparse(df, features, numeric_bins, max(2, slots), accuracy)
     return found
 
 
@@ -74,14 +83,14 @@ def fit_fm(
         if n == 0:
             raise RuntimeError("no training rows")
         steps = min(max(1, math.ceil(n / batch_size)), MAX_STEPS_PER_EPOCH)
-        stop = Stopper(patience)
+        stop, hot = Stopper(patience), hot_users(valid)
         grid = sorted({max(1, round(epochs * (i + 1) / checkpoints)) for i in range(checkpoints)})
         for count in grid:
             fitted = FMClassifier(
                 factorSize=k, stepSize=lr, regParam=l2, maxIter=count * steps,
                 miniBatchFraction=min(1.0, 1.0 / steps), solver="adamW", seed=seed, tol=0.0,
             ).fit(train)
-            primary = primary_of(predictions(fitted.transform(valid), probability()))
+            primary = primary_of(predictions(fitted.transform(valid), probability()), hot=hot)
             if stop.offer(primary, fitted):
                 break
     finally:
@@ -243,8 +252,8 @@ def fit_fm_pairwise(
     table = cut_lineage(adam_table(params, k))
     plain = ["id", "w", *_factors(k)]
     as_model = lambda t: PairwiseModel(enc, t.select(*plain), bias, k, [])
-    stop = Stopper(pairwise_patience)
-    stop.offer(primary_of(_pairwise_scores(valid, as_model(table))), table)
+    stop, hot = Stopper(pairwise_patience), hot_users(valid)
+    stop.offer(primary_of(_pairwise_scores(valid, as_model(table)), hot=hot), table)
     for epoch in range(1, pairwise_epochs + 1):
         drawn = same_user_pairs(train, pairs_per_user, seed=seed * 1009 + epoch)
         pairs = drawn.select(
@@ -258,7 +267,7 @@ def fit_fm_pairwise(
         )
         table = cut_lineage(adam_step(table, grads, k, pairwise_lr, epoch, 1.0 / count, l2))
         pairs.unpersist()
-        if stop.offer(primary_of(_pairwise_scores(valid, as_model(table))), table):
+        if stop.offer(primary_of(_pairwise_scores(valid, as_model(table)), hot=hot), table):
             break
     rows.unpersist()
     return PairwiseModel(enc, stop.state.select(*plain), bias, k, stop.seen)

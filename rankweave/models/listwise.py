@@ -14,7 +14,7 @@ from ..operators.sets import cap_sets, mixed_sets, set_context, set_keys
 from ..plans.ordering import group_totals
 from ..schemas import KEYS
 from ..session import cut_lineage
-from .common import PREDICTION, Stopper, predictions, primary_of, train_rows
+from .common import PREDICTION, Stopper, hot_users, predictions, primary_of, train_rows
 
 
 def inputs(df: DataFrame, features: list[str], by: str) -> DataFrame:
@@ -107,18 +107,18 @@ def fit_listwise(
     plain = {n: (0.0, 1.0) for n in names}
     weights = {n: 0.0 for n in names}
     m1, m2 = dict(weights), dict(weights)
-    stop = Stopper(patience)
+    stop, hot = Stopper(patience), hot_users(valid)
     for epoch in range(1, epochs + 1):
         drawn = cap_sets(train, train_group, max_set_size, seed * 1009 + epoch)
         drawn = drawn.withColumn("score", _linear(plain, weights))
-        row = listwise_gradient(drawn, keys, names).first()  # capped sets are never hot
+        row = listwise_gradient(drawn, keys, names, hot=None).first()  # capped sets are small
         for n in names:
             g = (row[f"g_{n}"] or 0.0) / max(row["sets"] or 0.0, 1.0) + weight_decay * weights[n]
             m1[n] = 0.9 * m1[n] + 0.1 * g
             m2[n] = 0.999 * m2[n] + 0.001 * g * g
             step = (m1[n] / (1 - 0.9**epoch)) / (math.sqrt(m2[n] / (1 - 0.999**epoch)) + 1e-8)
             weights[n] -= lr * step
-        primary = primary_of(predictions(valid, _linear(plain, weights)))
+        primary = primary_of(predictions(valid, _linear(plain, weights)), hot=hot)
         if stop.offer(primary, dict(weights)):
             break
     return ListwiseModel(list(features), medians, scale, stop.state, stop.seen)

@@ -132,12 +132,12 @@ def find_hot(df: DataFrame, group: list[str], min_rows: int | None = None) -> Da
     ranges = range_count(df.sparkSession)
     floor = MIN_HOT_ROWS if min_rows is None else min_rows
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
-    keys = counts.where(
-        F.col("_rows") > F.greatest(F.lit(float(floor)), total / F.lit(float(ranges)))
-    ).select(*group)
-    found = keys.collect()
-    return df.sparkSession.createDataFrame(found, keys.schema) if found else None
+    seen = counts.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("biggest")).first()
+    limit = max(floor, (seen["total"] or 0) / ranges)
+    if (seen["biggest"] or 0) <= limit:
+        return None
+    keys = counts.where(F.col("_rows") > limit).select(*group)
+    return df.sparkSession.createDataFrame(keys.collect(), keys.schema)
 
 
 FIND = "find"
