@@ -26,13 +26,11 @@ from .registry import IMP, LINES, OUTCOMES, query, sql_day, sql_score
 
 
 def _halves(spark, sf):
-    imp = event_impressions(spark, sf)
-    return imp.where("split = 'train'"), imp
+    return event_impressions(spark, sf, only=("train",)), event_impressions(spark, sf)
 
 
 def _line_halves(spark, sf):
-    lines = line_impressions(spark, sf)
-    return lines.where("split = 'train'"), lines
+    return line_impressions(spark, sf, only=("train",)), line_impressions(spark, sf)
 
 
 def _rounded(df, *names, places=6):

@@ -104,7 +104,7 @@ def apply_keyed_builder(
         return pd.DataFrame(rows, columns=[*keys, date, *names])
 
     state = days.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(answer, out)
-    built = _attach(target, state, [*keys, date], names).select(*KEYS, *names)
+    built = _attach(target, state, [*keys, date], names, date).select(*KEYS, *names)
     return _ship(built, STRICTLY_EARLIER, sources, source_log, max_source_date, categorical)
 
 

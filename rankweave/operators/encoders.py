@@ -14,6 +14,7 @@ from ..functions.scalars import bucketize, to_numeric
 from ..plans.ordering import prefix_totals
 from ..plans.quantiles import fit_quantiles, interior, quantiles
 from ..schemas import KEYS
+from ..session import cut_lineage
 
 
 def quantile_edges(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -38,6 +39,7 @@ def fit_vocab(train: DataFrame, columns: list[str], order: str = "row_id") -> Da
         "one", F.lit(1)
     )
     # one row of train opens at most one value of a field, so (field, first_row) is unique
+    first = cut_lineage(first)  # the plan below reads it several times
     return prefix_totals(first, ["field"], ["first_row"], ["one"]).select(
         "field", "value", F.col("one_before").cast("long").alias("code")
     )

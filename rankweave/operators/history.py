@@ -67,10 +67,17 @@ def timeline(
     )
 
 
-def _attach(target: DataFrame, state: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def _attach(
+    target: DataFrame, state: DataFrame, keys: list[str], columns: list[str], date: str = "date"
+) -> DataFrame:
     """Null-safe lookup of per-(key, day) state; the state side is unique."""
+    # days are never null, so they compare plainly
     on = reduce(
-        lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+        lambda a, b: a & b,
+        [
+            F.col(f"t.{k}") == F.col(f"s.{k}") if k in (date, "_day") else F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}"))
+            for k in keys
+        ],
     )
     return target.alias("t").join(state.alias("s"), on, "left").select(
         *[F.col(f"t.`{n}`") for n in target.columns], *[F.col(f"s.`{n}`") for n in columns]
@@ -101,7 +108,7 @@ def asof_strict(
 ) -> DataFrame:
     """Backward as-of lookup with strict ``<``: the cumulative state before the row's day."""
     state = past_state(history, target, keys, label, date)
-    return _attach(target, state, [*keys, date], ["past_impressions", "past_positives"])
+    return _attach(target, state, [*keys, date], ["past_impressions", "past_positives"], date)
 
 
 def expanding_rate(
@@ -144,7 +151,7 @@ def expanding_rate(
         .otherwise(F.col("prior"))
         .alias(names[1]),
     )
-    out = _attach(target, rated, [*keys, date], names)
+    out = _attach(target, rated, [*keys, date], names, date)
     return _finish(out, target, names, sources or (date, *keys, label), append)
 
 
@@ -249,48 +256,37 @@ def decayed_state(
     """
     h = float(half_life)
     span = max(1, int(BLOCK_HALF_LIVES * h))
-    block = F.floor(F.col(day) / span).cast("long")
-    cut = days.withColumn("_block", block).withColumn("_anchor", F.col("_block") * span)
-    grow = F.pow(F.lit(2.0), (F.col(day) - F.col("_anchor")) / h)
-    cut = cut.withColumns(
-        {"_w": F.col("impressions") * grow, "_y": F.col("positives") * grow}
-    )
-    inner = W.partitionBy(*keys, "_block").orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    by_block = W.partitionBy(*keys).orderBy("_block")
-    # totals of a block as seen from its own anchor
-    blocks = cut.groupBy(*keys, "_block").agg(
-        F.sum("_w").alias("_bw"), F.sum("_y").alias("_by"), F.sum("impressions").alias("_seen")
+    cut = days.withColumn("_block", F.floor(F.col(day) / span).cast("long"))
+    since = (F.col(day) - F.col("_block") * span) / h
+    grow = F.pow(F.lit(2.0), since)
+    cut = cut.withColumns({"_w": F.col("impressions") * grow, "_y": F.col("positives") * grow})
+    # all windows share one exchange on the keys and one sort by block and day
+    block = W.partitionBy(*keys, "_block").orderBy(day)
+    inside = block.rowsBetween(W.unboundedPreceding, -1)
+    upto = block.rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy(*keys).orderBy("_block").rangeBetween(W.unboundedPreceding, -1)
+    total = lambda name, frame: F.coalesce(F.sum(name).over(frame), F.lit(0.0))
+    cut = cut.select(
+        *days.columns,
+        "_block",
+        total("_w", inside).alias("_lw"),
+        total("_y", inside).alias("_ly"),
+        total("_w", upto).alias("_bw"),
+        total("_y", upto).alias("_by"),
     )
-    filled = F.when(F.col("_seen") > 0, F.struct("_block", "_bw", "_by"))
-    earlier = by_block.rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(filled, ignorenulls=True).over(earlier)
-    carried = blocks.withColumn("_one", last)
-    # the block before that one, found the same way from its row
-    two = F.last(F.when(F.col("_seen") > 0, F.col("_one")), ignorenulls=True).over(earlier)
-    carried = carried.withColumn("_two", two).select(*keys, "_block", "_one", "_two")
+    # the last day with rows in an earlier block carries that block's totals
+    seen = lambda *rest: F.when(F.col("impressions") > 0, F.struct(F.col(day).alias("_d"), *rest))
+    cut = cut.withColumn("_one", F.max(seen(F.col("_block"), F.col("_bw"), F.col("_by"))).over(earlier))
+    cut = cut.withColumn("_two", F.max(seen(F.col("_one"))).over(earlier)["_one"])
 
     def shift(source: str, field: str) -> Column:
-        gap = (F.col("_block") - F.col(f"{source}._block")) * span / h
+        gap = (F.col("_block") - F.col(source)["_block"]) * span / h
         # 2^-gap times a sum of up to 2^256 each: apply in two steps to stay in range
         half = F.pow(F.lit(2.0), -gap / 2)
-        return F.coalesce(F.col(f"{source}.{field}") * half * half, F.lit(0.0))
+        return F.coalesce(F.col(source)[field] * half * half, F.lit(0.0))
 
-    local = cut.select(
-        *keys,
-        day,
-        "_block",
-        "_anchor",
-        *[n for n in days.columns if n not in (*keys, day)],
-        F.coalesce(F.sum("_w").over(inner), F.lit(0.0)).alias("_lw"),
-        F.coalesce(F.sum("_y").over(inner), F.lit(0.0)).alias("_ly"),
-    )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_block"]],
-    )
-    joined = local.alias("l").join(carried.alias("c"), on).select("l.*", "c._one", "c._two")
-    shrink = F.pow(F.lit(2.0), -(F.col(day) - F.col("_anchor")) / h)
-    return joined.select(
+    shrink = F.pow(F.lit(2.0), -since)
+    return cut.select(
         *days.columns,
         ((F.col("_lw") + shift("_one", "_bw") + shift("_two", "_bw")) * shrink).alias("weight"),
         ((F.col("_ly") + shift("_one", "_by") + shift("_two", "_by")) * shrink).alias("weighted"),

@@ -51,7 +51,9 @@ def range_bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
     return sample.select(F.when(F.size("keys") > 0, picked).alias("bounds")).scalar()
 
 
-def with_range(df: DataFrame, order: list[str], name: str, ranges: int) -> DataFrame:
+def with_range(
+    df: DataFrame, order: list[str], name: str, ranges: int, sample_from: DataFrame | None = None
+) -> DataFrame:
     """Adds the range number of each row by binary search over the bounds."""
     steps = []
     step = ranges // 2
@@ -67,7 +69,7 @@ def with_range(df: DataFrame, order: list[str], name: str, ranges: int) -> DataF
         ).otherwise(at),
     )
     return (
-        df.withColumn(held, range_bounds(df, order, ranges))
+        df.withColumn(held, range_bounds(df if sample_from is None else sample_from, order, ranges))
         .withColumn(name, found)
         .drop(held)
     )
@@ -87,41 +89,42 @@ def prefix_totals(
     weights: list[str],
     ranges: int | None = None,
     how: str = "sum",
+    sample_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``{w}_before``: the sum (or maximum) of ``w`` over earlier rows of the group.
 
-    ``(group, order)`` must be unique. Few huge groups are fine: no task gets more
-    than one range of one group.
+    ``(group, order)`` must be unique and ``group`` without nulls. Few huge groups are fine:
+    no task gets more than one range of one group. When ``df`` is an aggregate, the range
+    bounds can be sampled from the rows below it (``sample_from``), which spares running the
+    aggregate again; copies only make the ranges smaller.
     """
     fold, meet, empty = COMBINE[how]
     ranges = ranges or range_count(df.sparkSession)
-    cut = with_range(df, order, "_range", ranges)
-    in_range = W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(
-        W.unboundedPreceding, -1
-    )
+    cut = with_range(df, order, "_range", ranges, sample_from)
+    key = [*group, "_range"]
+    in_range = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     across = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        cut.groupBy(*group, "_range")
+        cut.groupBy(*key)
         .agg(*[fold(w).alias(f"_{w}") for w in weights])
-        .select(
-            *group,
-            "_range",
-            *[empty(fold(f"_{w}").over(across)).alias(f"_{w}_carry") for w in weights],
-        )
+        .select(*key, *[empty(fold(f"_{w}").over(across)).alias(f"_{w}_carry") for w in weights])
     )
     local = cut.select(
         "*", *[empty(fold(w).over(in_range)).alias(f"_{w}_local") for w in weights]
     )
-    joined = local.alias("l").join(carried.alias("c"), _same("l", "c", [*group, "_range"]))
+    # plain equality on the window's own keys: the rows are not exchanged again
+    joined = local.join(carried, key)
     return joined.select(
-        *[F.col(f"l.`{name}`") for name in df.columns],
-        *[
-            meet(F.col(f"l._{w}_local"), F.col(f"c._{w}_carry")).alias(f"{w}_before")
-            for w in weights
-        ],
+        *[F.col(f"`{name}`") for name in df.columns],
+        *[meet(F.col(f"_{w}_local"), F.col(f"_{w}_carry")).alias(f"{w}_before") for w in weights],
     )
 
 
+def _as_one(group: list[str]) -> Column:
+    """The group keys as one struct: equal where null meets null, and itself never null."""
+    return F.struct(*[F.col(f"`{name}`") for name in group])
+
+
 def find_hot(df: DataFrame, group: list[str], min_rows: int | None = None) -> DataFrame | None:
     """Keys of groups with more than ``rows / ranges`` rows, or None.
 
@@ -178,7 +181,8 @@ def running_before(
     )
     if hot_rows is None:
         return cold
-    return cold.unionByName(prefix_totals(hot_rows, group, order, weights, how=how))
+    warm = prefix_totals(hot_rows.withColumn("_group", _as_one(group)), ["_group"], order, weights, how=how)
+    return cold.unionByName(warm.drop("_group"))
 
 
 def peer_totals(
@@ -207,20 +211,19 @@ def peer_totals(
     )
     if hot_rows is None:
         return cold
-    collapsed = hot_rows.groupBy(*group, *order).agg(
+    keyed = hot_rows.withColumns({"_group": _as_one(group), "_at": _as_one(order)})
+    collapsed = keyed.groupBy("_group", "_at").agg(
         *[F.sum(w).alias(f"{w}_peers") for w in weights]
     )
-    placed = prefix_totals(collapsed, group, order, [f"{w}_peers" for w in weights])
-    totals = collapsed.groupBy(*group).agg(*[F.sum(f"{w}_peers").alias(f"{w}_total") for w in weights])
+    placed = prefix_totals(collapsed, ["_group"], ["_at"], [f"{w}_peers" for w in weights])
+    totals = collapsed.groupBy("_group").agg(*[F.sum(f"{w}_peers").alias(f"{w}_total") for w in weights])
     warm = (
-        hot_rows.alias("l")
-        .join(placed.alias("p"), _same("l", "p", [*group, *order]))
-        .join(F.broadcast(totals).alias("t"), _same("l", "t", group))  # one row per hot group
+        keyed.join(placed, ["_group", "_at"])
+        .join(F.broadcast(totals), "_group")  # one row per hot group
         .select(
-            *[F.col(f"l.`{name}`") for name in df.columns],
-            *[F.col(f"p.{w}_peers_before").alias(f"{w}_before") for w in weights],
-            *[F.col(f"p.{w}_peers") for w in weights],
-            *[F.col(f"t.{w}_total") for w in weights],
+            *[F.col(f"`{name}`") for name in df.columns],
+            *[F.col(f"{w}_peers_before").alias(f"{w}_before") for w in weights],
+            *[F.col(f"{w}_{part}") for part in ("peers", "total") for w in weights],
         )
     )
     return cold.unionByName(warm)

@@ -25,7 +25,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
         ).alias("c")
     ).select("c.field", "c.value").where(F.col("value").isNotNull())
     counted = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = prefix_totals(counted, ["field"], ["value"], ["n"])
+    placed = prefix_totals(counted, ["field"], ["value"], ["n"], sample_from=long)
     totals = counted.groupBy("field").agg(F.sum("n").alias("total"))
     asked = F.array(*[F.lit(float(q)) for q in probs])
     wanted = F.transform(

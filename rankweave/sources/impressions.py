@@ -69,7 +69,7 @@ def add_row_id(
     else:
         order = order + [c for c in df.columns if c not in order and c not in group]
         rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = prefix_totals(rows, group, order, ["_copies"])
+    placed = prefix_totals(rows, group, order, ["_copies"], sample_from=df)
     first = F.col("_copies_before").cast("long")
     if unique:
         return placed.select(first.alias("row_id"), *df.columns)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import USER_CATEGORICAL, USER_NUMERIC, VIDEO_CATEGORICAL
-from .impressions import assign_split
+from .impressions import split_of
 
 EVENT_SPLITS = {
     "train": (20240101, 20240114),
@@ -35,7 +35,8 @@ def _int_date(ts):
 
 
 def _between(ts: str, splits):
-    """Range on the raw timestamp, so the scan can skip row groups."""
+    """Range on the raw timestamp, so the scan can skip row groups. The splits of a view
+    follow each other without gaps, so no other date filter is needed."""
     low = min(pair[0] for pair in splits.values())
     high = max(pair[1] for pair in splits.values())
     return (F.col(ts) >= F.lit(_midnight(low)).cast("timestamp_ntz")) & (
@@ -43,8 +44,18 @@ def _between(ts: str, splits):
     )
 
 
-def event_impressions(spark: SparkSession, sf_dir: str, splits=EVENT_SPLITS) -> DataFrame:
-    """``events`` as impressions. ``row_id`` is the event id: unique, though not dense."""
+def _only(splits, names):
+    return splits if names is None else {n: splits[n] for n in splits if n in names}
+
+
+def event_impressions(
+    spark: SparkSession, sf_dir: str, splits=EVENT_SPLITS, only: tuple[str, ...] | None = None
+) -> DataFrame:
+    """``events`` as impressions. ``row_id`` is the event id: unique, though not dense.
+
+    ``only`` keeps some (adjacent) splits, by a narrower range on the scan.
+    """
+    splits = _only(splits, only)
     ts = F.col("ts")
     k = F.get_json_object("props", "$.k")
     number = k.cast("int")
@@ -75,11 +86,14 @@ def event_impressions(spark: SparkSession, sf_dir: str, splits=EVENT_SPLITS) ->
             is_type("view").alias("is_follow"),
         )
     )
-    return assign_split(rows, splits)
+    return rows.withColumn("split", split_of(F.col("date"), splits))
 
 
-def line_impressions(spark: SparkSession, sf_dir: str, splits=LINE_SPLITS) -> DataFrame:
+def line_impressions(
+    spark: SparkSession, sf_dir: str, splits=LINE_SPLITS, only: tuple[str, ...] | None = None
+) -> DataFrame:
     """``lineitem`` with its order as a larger impression log; it has no row key."""
+    splits = _only(splits, only)
     lines = table(spark, sf_dir, "lineitem").where(_between("l_shipdate", splits))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
@@ -93,7 +107,7 @@ def line_impressions(spark: SparkSession, sf_dir: str, splits=LINE_SPLITS) -> Da
         (F.col("l_quantity") * 1000).cast("long").alias("duration_ms"),
         (F.col("l_returnflag") == "R").cast("int").alias("long_view"),
     )
-    return assign_split(rows, splits)
+    return rows.withColumn("split", split_of(F.col("date"), splits))
 
 
 def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
