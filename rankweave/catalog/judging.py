@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..evaluation import analyses as an, experiments as ex, guards, metrics as m
 from ..operators import history as h
-from ..schemas import SAME_ROW_OUTCOMES
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from ..sources import impressions as src, submission as sub
-from ..sources.run_logs import load_run_log, parse_run_log
+from ..sources.run_logs import parse_run_log
 from ..sources.tables import (
     customer_profiles,
     event_impressions,
@@ -18,7 +17,7 @@ from ..sources.tables import (
     line_impressions,
     table,
 )
-from .features import _BUCKET, _avg_rank, _halves, _rate_sql, _rounded, event_lineage
+from .features import _avg_rank, _halves, _rate_sql, _rounded, event_lineage
 from .loading import run_log_records
 from .registry import IMP, LINES, OUTCOMES, query, sql_score
 
@@ -250,7 +249,7 @@ _NUM = (
     _NUM + " SELECT row_id, user_id, video_id, printf('%.12g', score) AS score FROM nm WHERE split='test'",
 )
 def submission_file(spark, sf):
-    rows = _numbered(spark, sf)
+    rows = cut_lineage(_numbered(spark, sf))
     path = sub.write_submission(rows, rows, work_path(spark, "submit"))
     return sub.read_submission(spark, path)
 
@@ -266,7 +265,7 @@ def submission_file(spark, sf):
     " UNION ALL SELECT NULL, 'not_contiguous' FROM g HAVING min(row_id) <> 0 OR max(row_id) <> count(*)-1",
 )
 def submission_check(spark, sf):
-    rows = _numbered(spark, sf)
+    rows = cut_lineage(_numbered(spark, sf))
     damaged = rows.where("split = 'test' and video_id <> '11'").select(
         "row_id",
         "user_id",

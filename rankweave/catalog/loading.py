@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucketize, log_clip, safe_ratio, to_numeric
 from ..operators import encoders, rowwise
-from ..plans.quantiles import fit_quantiles, interior, quantiles
+from ..plans.quantiles import interior, quantiles
 from ..session import work_path
 from ..sources import impressions as src
 from ..sources.run_logs import load_run_log
 from ..sources.tables import (
     EVENT_SPLITS,
     EVENT_START,
-    customer_profiles,
     event_impressions,
     line_impressions,
     part_profiles,

@@ -26,6 +26,12 @@ def probability(column: str = "probability"):
     return vector_to_array(F.col(column))[1]
 
 
+def even(df: DataFrame) -> DataFrame:
+    """Spreads training rows over the session's shuffle width: one exchange before many
+    passes, so that no pass waits for an uneven part."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def predictions(df: DataFrame, value) -> DataFrame:
     kept = [c for c in PREDICTION if c in df.columns]
     return df.select(*kept, value.cast("double").alias("score"))

@@ -9,7 +9,7 @@ from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import fit_median, impute, split_kinds
-from .common import PREDICTION, predictions, probability, train_rows
+from .common import PREDICTION, even, predictions, probability, train_rows
 from .fm import FmModel, fit_fm
 
 
@@ -66,11 +66,11 @@ def fit_deepfm(
     hasher = FeatureHasher(
         inputCols=[*categorical, *numeric], outputCol="hashed", numFeatures=hash_dim
     )
-    train = train_rows(df).withColumn("label", F.col("long_view").cast("double"))
+    train = even(train_rows(df)).withColumn("label", F.col("long_view").cast("double"))
     network = MultilayerPerceptronClassifier(
         layers=[hash_dim, hidden_dim, 2], maxIter=deep_epochs * steps_per_epoch, seed=seed
     ).fit(_hashed(train, hasher, medians).select("features", "label"))
     model = DeepFm(base, network, None, hasher, medians, list(features))
-    stacked = _parts(model, train_rows(df)).withColumn("label", F.col("long_view").cast("double"))
+    stacked = _parts(model, even(train_rows(df))).withColumn("label", F.col("long_view").cast("double"))
     model.stack = LogisticRegression(maxIter=50).fit(stacked)
     return model

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import SparseEncoder, fit_sparse
 from ..operators.sets import same_user_pairs
-from ..schemas import KEYS
 from ..session import cut_lineage
 from .common import (
     PREDICTION,
     Stopper,
+    even,
     hot_users,
     predictions,
     primary_of,
@@ -75,9 +75,12 @@ def fit_fm(
     """
     enc = encoder or encoder_for(df, features, k, numeric_bins, hashed)
     kept = df.select(*[c for c in PREDICTION if c in df.columns], *features)
-    rows = enc.one_hot(enc.transform(kept)).withColumn("label", F.col("long_view").cast("double"))
+    # only the compact id rows are exchanged; the other splits are scored later
+    ids = enc.transform(kept.where(F.col("split").isin("train", "valid")))
+    ids = even(ids.select(*[c for c in PREDICTION if c in kept.columns], "ids")).persist()
+    rows = enc.one_hot(ids).withColumn("label", F.col("long_view").cast("double"))
     train = train_rows(rows).select("features", "label").persist()
-    valid = rows.where(F.col("split") == "valid").persist()
+    valid = rows.where(F.col("split") == "valid").drop("ids").persist()
     try:
         n = train.count()
         if n == 0:
@@ -94,8 +97,8 @@ def fit_fm(
             if stop.offer(primary, fitted):
                 break
     finally:
-        train.unpersist()
-        valid.unpersist()
+        for held in (ids, train, valid):
+            held.unpersist()
     return FmModel(enc, stop.state, stop.seen)
 
 
@@ -246,7 +249,8 @@ def fit_fm_pairwise(
     params, bias = parameter_table(base, df)
     enc = base.encoder
     kept = df.select(*[c for c in PREDICTION if c in df.columns], *features)
-    rows = enc.transform(kept).select(*[c for c in PREDICTION if c in kept.columns], "ids").persist()
+    rows = enc.transform(kept.where(F.col("split").isin("train", "valid")))
+    rows = even(rows.select(*[c for c in PREDICTION if c in kept.columns], "ids")).persist()
     train = train_rows(rows)
     valid = rows.where(F.col("split") == "valid")
     table = cut_lineage(adam_table(params, k))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..evaluation.guards import require_auxiliary
 from ..operators.encoders import fit_median, impute, split_kinds
 from ..schemas import AUXILIARY_LABELS, KEYS
-from .common import predictions, probability, train_rows
+from .common import even, predictions, probability, train_rows
 
 
 def task_labels(
@@ -71,7 +71,7 @@ def fit_multitask(
     Only 0/1 labels can be trained on; other allowed outcomes are refused, not dropped.
     """
     names = require_auxiliary(list(auxiliary_targets))
-    train = train_rows(df)
+    train = even(train_rows(df).select(*dict.fromkeys([*KEYS, label, *names, *features])))
     if names:
         span = train.agg(*[F.max(~F.col(n).isin(0, 1)).alias(n) for n in names]).first()
         bad = [n for n in names if span[n]]

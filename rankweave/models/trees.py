@@ -13,7 +13,7 @@ from ..operators.encoders import DensePrep, fit_dense
 from ..operators.sets import mixed_sets, set_keys
 from ..plans.ordering import find_hot, group_totals, running_before
 from ..session import cut_lineage
-from .common import PREDICTION, predictions, probability, train_rows
+from .common import even, predictions, probability, train_rows
 
 CHECKPOINT_ROUNDS = 10
 
@@ -49,7 +49,7 @@ def fit_gbt(
 ) -> GbtModel:
     prep = fit_dense(df, features)
     lean = train_rows(df).select("split", "row_id", *features, F.col("long_view").cast("double").alias("label"))
-    train = prep.transform(lean).select("features", "label")
+    train = even(prep.transform(lean).select("features", "label"))
     model = GBTClassifier(
         maxIter=n_estimators,
         maxDepth=depth_for(num_leaves),

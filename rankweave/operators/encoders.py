@@ -224,6 +224,24 @@ class SparseEncoder:
         )
 
 
+def _fit_numeric(train, numeric, bins, accuracy):
+    """Medians, and edges of the median-filled values. Columns without gaps need one pass."""
+    clean = train.select(*[to_numeric(F.col(c)).alias(c) for c in numeric])
+    gaps = clean.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).first()
+    probs = sorted({0.5, *interior(bins)})
+    found = fit_quantiles(clean, numeric, probs, accuracy)
+    half = probs.index(0.5)
+    medians = {c: (found[c][half] if found[c] else 0.0) for c in numeric}
+    partial = [c for c in numeric if gaps[c]]
+    if partial:
+        filled = impute(clean.select(*partial), {c: medians[c] for c in partial})
+        found.update(fit_quantiles(filled, partial, probs, accuracy))
+    inner = set(interior(bins))
+    return medians, {
+        c: sorted({v for q, v in zip(probs, found[c]) if q in inner}) for c in numeric
+    }
+
+
 def fit_sparse(
     df: DataFrame,
     features: list[str],
@@ -244,10 +262,7 @@ def fit_sparse(
         sizes = vocab_sizes(vocab)
     medians, edges = {}, {}
     if numeric:
-        medians = fit_median(train, numeric, accuracy)
-        filled = impute(train.select(*numeric), medians)
-        found = fit_quantiles(filled, numeric, interior(numeric_bins), accuracy)
-        edges = {c: sorted(set(found[c])) for c in numeric}
+        medians, edges = _fit_numeric(train, numeric, numeric_bins, accuracy)
     widths = {}
     for name in features:
         if name in numeric:

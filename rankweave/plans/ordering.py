@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import cut_lineage, range_count
 
 HASH_SPACE = 1 << 32
-SAMPLES_PER_RANGE = 32
+SAMPLES_PER_RANGE = 16
 MIN_HOT_ROWS = 1_000_000
 
 
@@ -29,7 +29,10 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
 
 
 def _key(order: list[str]) -> Column:
-    return F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(order)])
+    """The order key as one comparable value (nulls first, as in a sort)."""
+    if len(order) == 1:
+        return F.col(f"`{order[0]}`")
+    return F.struct(*[F.col(f"`{name}`").alias(f"k{i}") for i, name in enumerate(order)])
 
 
 def range_bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
@@ -54,25 +57,21 @@ def range_bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
 def with_range(
     df: DataFrame, order: list[str], name: str, ranges: int, sample_from: DataFrame | None = None
 ) -> DataFrame:
-    """Adds the range number of each row by binary search over the bounds."""
-    steps = []
+    """Adds the range number of each row by binary search over the bounds.
+
+    One projection per halving step, so that the search is compiled with its stage.
+    """
+    bounds = range_bounds(df if sample_from is None else sample_from, order, ranges)
+    out = df.withColumn("_bounds", bounds).withColumn(name, F.lit(0))
     step = ranges // 2
     while step:
-        steps.append(F.lit(step))
+        ahead = F.col(name) + step
+        out = out.withColumn(
+            name,
+            F.when(F.element_at("_bounds", ahead) < _key(order), ahead).otherwise(F.col(name)),
+        )
         step //= 2
-    held = "_bounds"
-    found = F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda at, hop: F.when(
-            F.element_at(F.col(held), at + hop) < _key(order), at + hop
-        ).otherwise(at),
-    )
-    return (
-        df.withColumn(held, range_bounds(df if sample_from is None else sample_from, order, ranges))
-        .withColumn(name, found)
-        .drop(held)
-    )
+    return out.drop("_bounds")
 
 
 COMBINE = {

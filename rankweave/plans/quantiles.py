@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, functions as F
 
 from .ordering import prefix_totals
@@ -35,9 +38,19 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFram
             (q * (F.col("total") - 1)).alias("at"),
         ),
     )
+    # a compiled test first: almost no row holds an order statistic that is asked for
+    at = [F.lit(float(q)) * (F.col("total") - 1) for q in probs]
+    holds_any = reduce(
+        or_,
+        [
+            (F.ceil(x) >= F.col("n_before")) & (F.floor(x) < F.col("n_before") + F.col("n"))
+            for x in at
+        ],
+    )
     # totals has one row per column asked for
     located = (
         placed.join(F.broadcast(totals), "field")
+        .where(holds_any)
         .withColumn(
             "hit",
             F.explode(

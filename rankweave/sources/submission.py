@@ -34,17 +34,6 @@ def score_text(score):
     )
 
 
-def submission(pred: DataFrame, impressions: DataFrame, split: str = "test") -> DataFrame:
-    """``(row_id, user_id, video_id, score text)`` of one split."""
-    if split not in ("valid", "test"):
-        raise ValueError("submission split must be valid or test")
-    ids = impressions.where(F.col("split") == split).select("row_id", "user_id", "video_id")
-    scores = pred.where(F.col("split") == split).select("row_id", F.col("score").cast("double").alias("_s"))
-    return ids.join(scores, "row_id", "left").select(
-        F.col("row_id").cast("long").alias("row_id"), "user_id", "video_id", score_text(F.col("_s")).alias("score")
-    )
-
-
 def write_submission(
     pred: DataFrame, impressions: DataFrame, path: str, split: str = "test",
     filename: str = "submission.csv",
@@ -53,22 +42,25 @@ def write_submission(
     order) after checking that every row has one finite score. Returns its path."""
     if "/" in filename or "\\" in filename or filename in ("", ".", ".."):
         raise ValueError("submission filename must not contain a directory")
-    wanted = impressions.where(F.col("split") == split)
-    scored = pred.where(F.col("split") == split)
-    bad = wanted.select("row_id").join(
-        scored.groupBy("row_id").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(_not_finite(F.col("score"))).alias("bad"),
-        ),
-        "row_id",
-        "full_outer",
-    ).where(F.col("n").isNull() | (F.col("n") != 1) | F.col("bad"))
-    if bad.limit(1).collect():
-        raise ValueError("submission scores have the wrong rows or contain NaN/Inf")
-    out = f"{path.rstrip('/')}/{filename}"
-    submission(pred, impressions, split).orderBy("row_id").write.mode("overwrite").csv(
-        out, header=True
+    if split not in ("valid", "test"):
+        raise ValueError("submission split must be valid or test")
+    wanted = impressions.where(F.col("split") == split).select(
+        F.col("row_id").cast("long").alias("row_id"), "user_id", "video_id", F.lit(True).alias("_want")
+    )
+    scored = pred.where(F.col("split") == split).groupBy("row_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max(F.col("score").cast("double")).alias("_s"),
     )
+    both = wanted.join(scored, "row_id", "full_outer").persist()
+    try:
+        bad = F.col("_want").isNull() | F.col("_n").isNull() | (F.col("_n") != 1) | _not_finite(F.col("_s"))
+        if both.where(bad).limit(1).collect():
+            raise ValueError("submission scores have the wrong rows or contain NaN/Inf")
+        out = f"{path.rstrip('/')}/{filename}"
+        ranked = both.select("row_id", "user_id", "video_id", score_text(F.col("_s")).alias("score"))
+        ranked.orderBy("row_id").write.mode("overwrite").csv(out, header=True)
+    finally:
+        both.unpersist()
     return out
 
 

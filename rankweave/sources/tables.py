@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import USER_CATEGORICAL, USER_NUMERIC, VIDEO_CATEGORICAL
+from ..schemas import USER_CATEGORICAL, USER_NUMERIC
 from .impressions import split_of
 
 EVENT_SPLITS = {
