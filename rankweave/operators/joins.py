@@ -59,8 +59,8 @@ def static_side(
             for n in names
         ],
     )
-    user_origin = Lineage(("user_features_pure",), STATIC, SIDE_FILE)
-    video_origin = Lineage(("video_features_basic_pure",), STATIC, SIDE_FILE)
+    user_origin = Lineage(("user_side_table",), STATIC, SIDE_FILE)
+    video_origin = Lineage(("video_side_table",), STATIC, SIDE_FILE)
     return tag(
         out, {n: user_origin if n in user_cols else video_origin for n in names}, categorical
     )

@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import cut_lineage, range_count
 
@@ -119,13 +120,8 @@ def prefix_totals(
     )
 
 
-def _as_one(group: list[str]) -> Column:
-    """The group keys as one struct: equal where null meets null, and itself never null."""
-    return F.struct(*[F.col(f"`{name}`") for name in group])
-
-
 def find_hot(df: DataFrame, group: list[str], min_rows: int | None = None) -> DataFrame | None:
-    """Keys of groups with more than ``rows / ranges`` rows, or None.
+    """Keys of groups with more than ``rows / ranges`` rows, numbered as ``_hot``; or None.
 
     Runs one counting job now, like a sort samples its input: the plan depends on the
     outcome. By counting, at most ``ranges`` groups qualify, so the keys fit anywhere.
@@ -139,7 +135,10 @@ def find_hot(df: DataFrame, group: list[str], min_rows: int | None = None) -> Da
     if (seen["biggest"] or 0) <= limit:
         return None
     keys = counts.where(F.col("_rows") > limit).select(*group)
-    return df.sparkSession.createDataFrame(keys.collect(), keys.schema)
+    numbered = [(*key, i) for i, key in enumerate(keys.collect())]
+    return df.sparkSession.createDataFrame(
+        numbered, StructType([*keys.schema.fields, StructField("_hot", IntegerType())])
+    )
 
 
 FIND = "find"
@@ -148,7 +147,8 @@ FIND = "find"
 def split_hot(
     df: DataFrame, group: list[str], hot, min_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of hot groups (None when there are none).
+    """Rows of ordinary groups, and rows of hot groups with their number ``_hot`` (None when
+    there are none).
 
     Hot rows are checkpointed: the steps below read them several times, and nested calls
     would otherwise multiply the plan.
@@ -159,7 +159,8 @@ def split_hot(
         return df, None
     rows, keys = df.alias("l"), F.broadcast(hot).alias("h")  # at most range_count keys
     match = _same("l", "h", group)
-    return rows.join(keys, match, "left_anti"), cut_lineage(rows.join(keys, match, "left_semi"))
+    warm = rows.join(keys, match).select("l.*", "h._hot")
+    return rows.join(keys, match, "left_anti"), cut_lineage(warm)
 
 
 def running_before(
@@ -180,8 +181,9 @@ def running_before(
     )
     if hot_rows is None:
         return cold
-    warm = prefix_totals(hot_rows.withColumn("_group", _as_one(group)), ["_group"], order, weights, how=how)
-    return cold.unionByName(warm.drop("_group"))
+    return cold.unionByName(
+        prefix_totals(hot_rows, ["_hot"], order, weights, how=how).drop("_hot")
+    )
 
 
 def peer_totals(
@@ -210,19 +212,22 @@ def peer_totals(
     )
     if hot_rows is None:
         return cold
-    keyed = hot_rows.withColumns({"_group": _as_one(group), "_at": _as_one(order)})
-    collapsed = keyed.groupBy("_group", "_at").agg(
+    collapsed = hot_rows.groupBy("_hot", *order).agg(
         *[F.sum(w).alias(f"{w}_peers") for w in weights]
     )
-    placed = prefix_totals(collapsed, ["_group"], ["_at"], [f"{w}_peers" for w in weights])
-    totals = collapsed.groupBy("_group").agg(*[F.sum(f"{w}_peers").alias(f"{w}_total") for w in weights])
+    placed = prefix_totals(
+        collapsed, ["_hot"], order, [f"{w}_peers" for w in weights], sample_from=hot_rows
+    )
+    totals = collapsed.groupBy("_hot").agg(*[F.sum(f"{w}_peers").alias(f"{w}_total") for w in weights])
     warm = (
-        keyed.join(placed, ["_group", "_at"])
-        .join(F.broadcast(totals), "_group")  # one row per hot group
+        hot_rows.alias("l")
+        .join(placed.alias("p"), (F.col("l._hot") == F.col("p._hot")) & _same("l", "p", order))
+        .join(F.broadcast(totals).alias("t"), F.col("l._hot") == F.col("t._hot"))  # one row per hot group
         .select(
-            *[F.col(f"`{name}`") for name in df.columns],
-            *[F.col(f"{w}_peers_before").alias(f"{w}_before") for w in weights],
-            *[F.col(f"{w}_{part}") for part in ("peers", "total") for w in weights],
+            *[F.col(f"l.`{name}`") for name in df.columns],
+            *[F.col(f"p.{w}_peers_before").alias(f"{w}_before") for w in weights],
+            *[F.col(f"p.{w}_peers") for w in weights],
+            *[F.col(f"t.{w}_total") for w in weights],
         )
     )
     return cold.unionByName(warm)
@@ -245,12 +250,8 @@ def group_totals(
     cold = cold_rows.select("*", *[agg.over(whole).alias(name) for name, agg in aggs.items()])
     if hot_rows is None:
         return cold
-    totals = hot_rows.groupBy(*group).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    warm = (
-        hot_rows.alias("l")
-        .join(F.broadcast(totals).alias("t"), _same("l", "t", group))  # one row per hot group
-        .select(*[F.col(f"l.`{n}`") for n in df.columns], *[F.col(f"t.{n}") for n in aggs])
-    )
+    totals = hot_rows.groupBy("_hot").agg(*[agg.alias(name) for name, agg in aggs.items()])
+    warm = hot_rows.join(F.broadcast(totals), "_hot").drop("_hot")  # one row per hot group
     return cold.unionByName(warm)
 
 
