@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.ordering import FIND, peer_totals, top_rows
+from ..plans.ordering import FIND, peer_totals, prefix_totals, split_hot, top_rows
 from ..schemas import BASELINE_VALID, GAIN_EPS, KEYS
+from ..session import cut_lineage
 
 USER = ["split", "user_id"]
 
@@ -24,13 +25,24 @@ def user_auc(
     """Per user: rows, positives and AUC with averaged ties (null for one-class users)."""
     y = F.col(label).cast("long")
     lean = pred.select(*USER, F.col(score).alias("_s"), y.alias("_pos"), (1 - y).alias("_neg"))
-    placed = peer_totals(lean, USER, ["_s"], ["_neg"], min_rows, hot)
-    won = F.col("_neg_before") + F.col("_neg_peers") / 2.0
-    sums = placed.groupBy(*USER).agg(
-        F.sum("_pos").alias("positives"),
-        F.sum("_neg").alias("negatives"),
-        F.sum(F.when(F.col("_pos") == 1, won)).alias("_won"),
-    )
+    cold, warm = split_hot(lean, USER, hot, min_rows, keep=False)
+
+    def sums_of(placed, peers):
+        won = F.col("_neg_before") + F.col(peers) / 2.0
+        return placed.groupBy(*USER).agg(
+            F.sum("_pos").alias("positives"),
+            F.sum("_neg").alias("negatives"),
+            F.sum(F.when(F.col("_pos") > 0, F.col("_pos") * won)).alias("_won"),
+        )
+
+    sums = sums_of(peer_totals(cold, USER, ["_s"], ["_neg"], hot=None), "_neg_peers")
+    if warm is not None:
+        # a hot user's rows are only ever needed as counts per distinct score
+        tied = warm.groupBy("_hot", *USER, "_s").agg(
+            F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")
+        )
+        placed = prefix_totals(cut_lineage(tied), ["_hot"], ["_s"], ["_neg"])
+        sums = sums.unionByName(sums_of(placed, "_neg"))
     return sums.select(
         *USER,
         (F.col("positives") + F.col("negatives")).alias("rows"),

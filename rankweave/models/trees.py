@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import DensePrep, fit_dense
 from ..operators.sets import mixed_sets, set_keys
-from ..plans.ordering import find_hot, group_totals, running_before
+from ..plans.ordering import find_hot, group_totals, running_before, split_hot
 from ..session import cut_lineage
 from .common import even, predictions, probability, train_rows
 
@@ -82,6 +82,18 @@ def lambdas(
     linear in the rows. A set's leading rows travel as one short array; their own side of
     each pair comes back through a map-side sum. Gains are 0 and 1.
     """
+    cold, warm = split_hot(rows, keys, hot)
+    out = _set_lambdas(cold, keys, score, label, truncation, None)
+    if warm is None:
+        return out
+    return out.unionByName(
+        _set_lambdas(warm.drop("_hot"), keys, score, label, truncation, hot)
+    )
+
+
+def _set_lambdas(rows, keys, score, label, truncation, hot) -> DataFrame:
+    # the small sides below have at most `truncation` rows per set: bounded for the hot sets
+    small = (lambda df: df) if hot is None else F.broadcast
     spot = running_before(
         rows.withColumns({"_down": -F.col(score), "_one": F.lit(1)}),
         keys, ["_down", "row_id"], ["_one"], hot=hot,
@@ -109,7 +121,7 @@ def lambdas(
         total += 1.0 / math.log2(place + 2)
         ideal.append(F.lit(total))
     best = F.element_at(F.array(*ideal), (F.least(F.lit(float(truncation)), F.col("_pos")) + 1).cast("int"))
-    joined = sized.join(leaders, keys).withColumn("_inv", F.try_divide(F.lit(1.0), best))
+    joined = sized.join(small(leaders), keys).withColumn("_inv", F.try_divide(F.lit(1.0), best))
 
     def pair(top):
         live = (top["p"] < F.col("_place")) & (top["y"] != F.col(label))
@@ -141,8 +153,8 @@ def lambdas(
     scale = F.when(F.col("_all") > 0, F.log2(1.0 + F.col("_all")) / F.col("_all")).otherwise(1.0)
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     return (
-        own.join(given, [*keys, "_place"], "left")
-        .join(norm, keys, "left")
+        own.join(small(given), [*keys, "_place"], "left")
+        .join(small(norm), keys, "left")
         .select(
             *rows.columns,
             ((F.col("_g") + zero("_lg")) * scale).alias("g"),

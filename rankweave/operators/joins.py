@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import SIDE_FILE, STATIC, Lineage, tag
 from ..functions.scalars import log_clip, safe_ratio, to_numeric
+from ..plans.ordering import join_groups
 from ..schemas import (
     KEYS,
     USER_CATEGORICAL,
@@ -91,10 +92,12 @@ def reindex(built: DataFrame, target: DataFrame, keys=KEYS, checked: bool = True
     return target.select(*keys).join(built, keys, "left")
 
 
-def drop_rejected(candidates: DataFrame, outcomes: DataFrame, key: str = "hypothesis_id") -> DataFrame:
+def drop_rejected(
+    candidates: DataFrame, outcomes: DataFrame, key: str = "hypothesis_id", min_rows: int | None = None
+) -> DataFrame:
     """Candidates whose id was never rejected."""
     refused = outcomes.where(~F.coalesce(F.col("accepted"), F.lit(False))).select(key).distinct()
-    return candidates.join(refused, key, "left_anti")
+    return join_groups(candidates, refused, [key], "left_anti", min_rows)
 
 
 def unknown_names(requested: DataFrame, allowed: DataFrame, column: str = "name") -> DataFrame:

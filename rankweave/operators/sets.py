@@ -21,20 +21,13 @@ def group_sizes(df: DataFrame, by: str = "user") -> DataFrame:
     return df.groupBy(*set_keys(by)).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def mixed_sets(df: DataFrame, by: str = "user", label: str = "long_view") -> DataFrame:
-    """Rows of sets that hold both labels.
-
-    The sets are found by an aggregate and kept by a semi join; no set is gathered.
-    """
-    keys = set_keys(by)
-    positives = F.sum(F.col(label).cast("long"))
-    mixed = (
-        df.groupBy(*keys)
-        .agg(positives.alias("_p"), F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_p") > 0) & (F.col("_p") < F.col("_n")))
-        .select(*keys)
-    )
-    return df.join(mixed, keys, "left_semi")
+def mixed_sets(
+    df: DataFrame, by: str = "user", label: str = "long_view", min_rows: int | None = None, hot=FIND
+) -> DataFrame:
+    """Rows of sets that hold both labels."""
+    counts = {"_p": F.sum(F.col(label).cast("long")), "_n": F.count(F.lit(1))}
+    sized = group_totals(df, set_keys(by), counts, min_rows, hot)
+    return sized.where((F.col("_p") > 0) & (F.col("_p") < F.col("_n"))).select(*df.columns)
 
 
 def percent_rank(

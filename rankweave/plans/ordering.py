@@ -145,13 +145,13 @@ FIND = "find"
 
 
 def split_hot(
-    df: DataFrame, group: list[str], hot, min_rows: int | None = None
+    df: DataFrame, group: list[str], hot, min_rows: int | None = None, keep: bool = True
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups, and rows of hot groups with their number ``_hot`` (None when
     there are none).
 
-    Hot rows are checkpointed: the steps below read them several times, and nested calls
-    would otherwise multiply the plan.
+    Hot rows are checkpointed: most callers read them several times, and nested calls
+    would otherwise multiply the plan. A caller that only aggregates them says ``keep=False``.
     """
     if isinstance(hot, str):
         hot = find_hot(df, group, min_rows)
@@ -160,7 +160,7 @@ def split_hot(
     rows, keys = df.alias("l"), F.broadcast(hot).alias("h")  # at most range_count keys
     match = _same("l", "h", group)
     warm = rows.join(keys, match).select("l.*", "h._hot")
-    return rows.join(keys, match, "left_anti"), cut_lineage(warm)
+    return rows.join(keys, match, "left_anti"), cut_lineage(warm) if keep else warm
 
 
 def running_before(
@@ -255,6 +255,29 @@ def group_totals(
     return cold.unionByName(warm)
 
 
+def join_groups(
+    df: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str,
+    min_rows: int | None = None,
+    hot=FIND,
+) -> DataFrame:
+    """Join to an aggregate with one row per key.
+
+    Adaptive execution cannot split a skewed join whose other side is an aggregate on the
+    same keys (it shares that exchange), so hot keys are joined by broadcast of their rows.
+    """
+    if isinstance(hot, str):
+        hot = find_hot(df, keys, min_rows)
+    cold, warm = split_hot(df, keys, hot, keep=False)
+    plain = cold.join(right, keys, how)
+    if warm is None:
+        return plain
+    few = right.join(F.broadcast(hot.select(*keys)), keys, "left_semi")  # one row per hot key
+    return plain.unionByName(warm.drop("_hot").join(F.broadcast(few), keys, how))
+
+
 def top_rows(
     df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank"
 ) -> DataFrame:

@@ -15,6 +15,8 @@ DEFAULTS = {
     # a skewed lookup join is split even when that costs one more exchange above it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when their frame does; iterative fits write many
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

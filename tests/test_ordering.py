@@ -91,6 +91,20 @@ def test_metrics_and_ranks_do_not_depend_on_the_path(skewed):
     same(blend.rank_average([known, known], [2, 1], HOT), blend.rank_average([known, known], [2, 1]))
 
 
+def test_joins_do_not_depend_on_the_path(skewed):
+    from rankweave.operators.joins import drop_rejected
+
+    known = skewed.where("user_id is not null")
+    same(sets.mixed_sets(known, "user", min_rows=HOT), sets.mixed_sets(known, "user"))
+    tried = skewed.select(F.col("user_id").alias("hypothesis_id"), "row_id")
+    for refused in ("hot", "u1"):
+        verdicts = skewed.where(F.col("user_id") == refused).select(
+            F.col("user_id").alias("hypothesis_id"), F.lit(False).alias("accepted")
+        )
+        same(drop_rejected(tried, verdicts, min_rows=HOT), drop_rejected(tried, verdicts))
+        assert drop_rejected(tried, verdicts, min_rows=HOT).where(F.col("hypothesis_id") == refused).count() == 0
+
+
 def test_reports_do_not_depend_on_the_path(skewed):
     runs = skewed.where("user_id is not null").select(
         F.col("user_id").alias("run_id"), F.col("row_id").alias("iteration"), F.col("score").alias("primary")
