@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +31,9 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only on a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="rankweave-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder of `spark.checkpoint.dir`; where that is unset, one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def work_path(spark: SparkSession, name: str) -> str:

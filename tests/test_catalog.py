@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, duck
 
 import __spark_entry__ as contract
+from rankweave.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -16,12 +17,14 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, con, name):
-    assert compare(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
 def test_names_match():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
