@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import decode, encode
+from .embedding_dedup import near_vectors
 from .language_id import fit_prototypes, identify, training_fold
 from .line_dedup import MIN_SITES, remove_boilerplate
 from .packing import pack, token_pieces
 from .simhash import simhash_groups
 from .suffix_dedup import remove_repeats
+from .url_filter import Rule, host_and_path, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +114,49 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+URL_RULES = [
+    Rule.parse("allow", "org/"),
+    Rule.parse("block", "example.org/es/"),
+    Rule.parse("block", "example.org/en/1"),
+    Rule.parse("allow", "com/fr/"),
+    Rule.parse("block", "com/de/"),
+]
+#: pages of these sites are the list
+LISTED_SITES = "(^|[.])(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)[.]"
+
+URL_VERDICTS = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0
+    THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(verdict, host, path) AS (
+  VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'),
+         ('allow','com','/fr/'), ('block','com','/de/')
+), fits AS (
+  SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+         arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM split s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host))
+   AND starts_with(s.path, r.path) GROUP BY page_id
+)
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict,
+  CASE WHEN regexp_matches(s.host, '{LISTED_SITES}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s LEFT JOIN fits f USING (page_id)
+"""
+
+
+@query("op2_url_filter", URL_VERDICTS)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(host_and_path(F.col("url"))[0].rlike(LISTED_SITES))
+    judged = judge_urls(pages, listed, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
