@@ -7,10 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .buckets import deal, gathered, gathered_pairs, local_roots
 from .components import connected_components
 
 THRESHOLD = 0.93
@@ -20,8 +22,7 @@ RECALL = 0.997
 SURE = 4.0
 #: vectors of one bucket compared in one task; larger buckets are cut into pairs of blocks
 BLOCK = 2048
-#: pairs compared in one step
-PAIRS = 1 << 18
+#: larger groups are estimated as matrices, smaller ones pair by pair
 SMALL = 48
 
 
@@ -78,21 +79,6 @@ class Sketch:
         return np.maximum(one, two)
 
 
-def _pairs(start: int, middle: int, stop: int):
-    """Index pairs of a group, a < b; with two blocks only pairs across. In bounded steps."""
-    rows = np.arange(start, middle)
-    low = np.full(len(rows), middle) if middle < stop else rows + 1
-    many = (stop if middle < stop else middle) - low
-    end = np.cumsum(many)
-    at = 0
-    while at < len(rows):
-        upto = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + PAIRS, "right")))
-        n = many[at:upto]
-        a = np.repeat(rows[at:upto], n)
-        yield a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:upto], n)
-        at = upto
-
-
 def _links(sketch, code, table, groups, threshold):
     """Pairs of indices at or over the threshold that meet in no earlier table."""
     small = [g for g in groups if g[2] - g[0] <= SMALL]
@@ -105,16 +91,9 @@ def _links(sketch, code, table, groups, threshold):
         fresh = ~((code[a] == code[b]) & first).any(axis=1)
         return a[fresh], b[fresh], a, b
 
-    held, size = [], 0
-    for i, g in enumerate(small):
-        for pair in _pairs(*g):
-            held.append(pair)
-            size += len(pair[0])
-        if held and (size >= PAIRS or i == len(small) - 1):
-            a, b = (np.concatenate(c) for c in zip(*held))
-            held, size = [], 0
-            go = sketch.upper(a, b) >= threshold
-            yield exact(a[go], b[go])
+    for a, b in gathered_pairs(small):
+        go = sketch.upper(a, b) >= threshold
+        yield exact(a[go], b[go])
     for start, middle, stop in large:
         right = np.arange(middle if middle < stop else start, stop)
         for at in range(start, middle, 256):
@@ -125,19 +104,6 @@ def _links(sketch, code, table, groups, threshold):
             yield exact(a[ahead], b[ahead])
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index of every index's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
 def vector_links(classes: DataFrame, threshold: float, recall: float, block: int = BLOCK) -> DataFrame:
     """(node, links, other): links of a class found in one bucket, and a class it hangs under.
 
@@ -153,7 +119,7 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
     def spread(batches):
         for batch in batches:
             for d in set(batch.column("dim").to_pylist()):
-                part = batch.filter(pa.compute.equal(batch.column("dim"), d))
+                part = batch.filter(pc.equal(batch.column("dim"), d))
                 flat = part.column("vector").flatten().to_numpy(zero_copy_only=False)
                 rows = flat.astype(np.float64).reshape(-1, d)
                 unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -173,79 +139,44 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
     head = f"node {kinds['node']}, grp {kinds['grp']}, size long, dim int, tab int, code long"
     near = classes.mapInArrow(spread, head + ", codes binary, unit binary")
-    # buckets too large for one task; few rows, at most one for every `block` vectors and table
-    hot = near.groupBy(*keys).count().where(F.col("count") > block)
-    hot = cut_lineage(hot.select(*keys, F.ceil(F.col("count") / block).cast("int").alias("parts")))
-    dealt = near.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(
-        "*", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    )
-    task = [*keys, "lo", "hi"]
-    spread_ = dealt.repartition(*task).sortWithinPartitions(*task, "own", "node")
-
-    def flush(rows):
-        # groups end where any key changes; sides where the own block does
-        out = []
-        for d in sorted(set(rows["dim"])):
-            pick = np.flatnonzero(np.array(rows["dim"]) == d)
+    dealt = deal(near, keys, "node", block)
+
+    def solve(rows, groups):
+        dim = np.array(rows["dim"])
+        for d in sorted({int(dim[s]) for s, _, _ in groups}):
+            pick = np.flatnonzero(dim == d)
+            place = np.cumsum(dim == d) - 1
+            own = [
+                (int(place[s]), int(place[s]) + m - s, int(place[s]) + e - s)
+                for s, m, e in groups
+                if dim[s] == d
+            ]
             unit = np.frombuffer(b"".join(rows["unit"][i] for i in pick), np.float64).reshape(-1, d)
             code = np.frombuffer(b"".join(rows["codes"][i] for i in pick), "<i4").reshape(len(pick), -1)
-            table = np.array(rows["tab"])[pick]
-            size = np.array(rows["size"])[pick]
-            lo, hi = np.array(rows["lo"])[pick], np.array(rows["hi"])[pick]
-            own = np.array(rows["own"])[pick]
-            key = np.array(rows["group"])[pick]
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            groups = []
-            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                middle = e if lo[s] == hi[s] else s + int(np.searchsorted(own[s:e], hi[s]))
-                if e - s > 1 and middle > s and (middle == e) == (lo[s] == hi[s]):
-                    groups.append((s, middle, e))
-            if not groups:
+            size, table = np.array(rows["size"])[pick], np.array(rows["tab"])[pick]
+            count, ends = np.zeros(len(pick)), []
+            for a, b, all_a, all_b in _links(Sketch(unit), code, table, own, threshold):
+                count += np.bincount(a, weights=size[b], minlength=len(pick))
+                count += np.bincount(b, weights=size[a], minlength=len(pick))
+                # a step sends on a forest of its links, not the links
+                root = local_roots(len(pick), all_a, all_b)
+                leaf = np.flatnonzero(root != np.arange(len(pick)))
+                ends.append((leaf, root[leaf]))
+            if not ends:
                 continue
-            sketch = Sketch(unit)
-            count = np.zeros(len(pick), dtype=np.int64)
-            root = np.arange(len(pick))
-            for a, b, all_a, all_b in _links(sketch, code, table, groups, threshold):
-                count += np.bincount(a, weights=size[b], minlength=len(pick)).astype(np.int64)
-                count += np.bincount(b, weights=size[a], minlength=len(pick)).astype(np.int64)
-                root = root[_roots(len(pick), root[all_a], root[all_b])[root]] if len(all_a) else root
+            root = local_roots(len(pick), *[np.concatenate(c) for c in zip(*ends)])
             keep = np.flatnonzero((count > 0) | (root != np.arange(len(pick))))
-            out.append((pick[keep], count[keep], pick[root[keep]]))
-        return out
-
-    names = ["node", "dim", "tab", "size", "lo", "hi", "own", "codes", "unit"]
+            if len(keep):
+                yield pick[keep], count[keep].astype(np.int64), pick[root[keep]]
 
     def compare(batches):
-        held = {n: [] for n in [*names, "group"]}
-        last, number = None, 0
-
-        def emit(rows):
-            for index, count, root in flush(rows):
-                if len(index):
-                    node = np.array(rows["node"], dtype=object)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node[index]), pa.array(count), pa.array(node[root])],
-                        names=["node", "links", "other"],
-                    )
+        for rows, groups in gathered(batches, keys, 4 * block):
+            for index, count, root in solve(rows, groups):
+                node = np.array(rows["node"], dtype=object)
+                columns = [pa.array(node[index]), pa.array(count), pa.array(node[root])]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "links", "other"])
 
-        for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in {*names, *task}}
-            for i, key in enumerate(zip(*[columns[n] for n in task])):
-                if key != last:
-                    if len(held["node"]) >= 4 * block:
-                        yield from emit(held)
-                        held = {n: [] for n in held}
-                    last, number = key, number + 1
-                for n in names:
-                    held[n].append(columns[n][i])
-                held["group"].append(number)
-        if held["node"]:
-            yield from emit(held)
-
-    return spread_.mapInArrow(compare, f"node {kinds['node']}, links long, other {kinds['node']}")
+    return dealt.mapInArrow(compare, f"node {kinds['node']}, links long, other {kinds['node']}")
 
 
 def near_vectors(
