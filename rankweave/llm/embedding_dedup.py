@@ -173,7 +173,8 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
         for rows, groups in gathered(batches, keys, 4 * block):
             for index, count, root in solve(rows, groups):
                 node = np.array(rows["node"], dtype=object)
-                columns = [pa.array(node[index]), pa.array(count), pa.array(node[root])]
+                columns = [pa.array(c, pa.string()) for c in (node[index], node[root])]
+                columns.insert(1, pa.array(count))
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "links", "other"])
 
     return dealt.mapInArrow(compare, f"node {kinds['node']}, links long, other {kinds['node']}")

@@ -12,6 +12,7 @@ from .byte_bpe import decode, encode
 from .embedding_dedup import near_vectors
 from .language_id import fit_prototypes, identify, training_fold
 from .line_dedup import MIN_SITES, remove_boilerplate
+from .minhash import compare_with_next
 from .packing import pack, token_pieces
 from .simhash import simhash_groups
 from .suffix_dedup import remove_repeats
@@ -160,3 +161,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embedding_dedup")
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_minhash")
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
