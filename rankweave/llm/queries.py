@@ -14,6 +14,7 @@ from .language_id import fit_prototypes, identify, training_fold
 from .line_dedup import MIN_SITES, remove_boilerplate
 from .minhash import compare_with_next
 from .packing import pack, token_pieces
+from .passages import shared_passages
 from .simhash import simhash_groups
 from .suffix_dedup import remove_repeats
 from .url_filter import Rule, host_and_path, judge_urls
@@ -175,3 +176,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op3_passages")
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("doc", "doc_id").withColumn(
+        "linked", F.array_distinct("passages.other")
+    )
