@@ -181,6 +181,6 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_passages")
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.withColumnRenamed("doc", "doc_id").withColumn(
-        "linked", F.array_distinct("passages.other")
-    )
+    others = F.array_union("passages.other", F.array("copy_of"))
+    linked = F.array_sort(F.filter(others, lambda x: x != F.col("doc_id")))
+    return found.withColumnRenamed("doc", "doc_id").withColumn("linked", linked)
