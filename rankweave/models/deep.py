@@ -1,76 +1,74 @@
-"""FM score and a small network on hashed features, stacked."""
+"""FM score and a small network on the same one-hot fields, stacked."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.encoders import fit_median, impute, split_kinds
+from ..schemas import KEYS
 from .common import PREDICTION, even, predictions, probability, train_rows
 from .fm import FmModel, fit_fm
 
+#: one user in so many is kept from both parts, to fit the stack on
+HELD_OUT = 5
+
 
 @dataclass
 class DeepFm:
     fm: FmModel
     network: object
     stack: object
-    hasher: object
-    medians: dict[str, float]
     features: list[str]
 
     def score(self, df: DataFrame) -> DataFrame:
         return predictions(self.stack.transform(_parts(self, df)), probability())
 
 
-def _parts(model: DeepFm, df: DataFrame) -> DataFrame:
-    """Both scores of each row, side by side; no join is needed."""
+def _inputs(fm: FmModel, df: DataFrame, features: list[str]) -> DataFrame:
     kept = [c for c in PREDICTION if c in df.columns]
-    enc = model.fm.encoder
-    rows = enc.one_hot(enc.transform(df.select(*kept, *model.features)), output="hot")
-    fm = model.fm.model.copy({model.fm.model.featuresCol: "hot"})
-    wide = fm.transform(rows).withColumn("fm_score", probability()).drop(
-        "rawPrediction", "probability", "prediction", "hot", "ids"
-    )
-    wide = _hashed(wide, model.hasher, model.medians)
-    deep = model.network.transform(wide).withColumn("deep_score", probability()).drop(
-        "rawPrediction", "probability", "prediction"
-    )
-    both = VectorAssembler(inputCols=["fm_score", "deep_score"], outputCol="pair").transform(deep)
-    return both.select(*kept, F.col("pair").alias("features"))
+    rows = fm.encoder.transform(df.select(*kept, *features))
+    return fm.encoder.one_hot(rows).select(*kept, "features")
 
 
-def _hashed(df: DataFrame, hasher, medians) -> DataFrame:
-    return hasher.transform(impute(df, medians)).withColumnRenamed("hashed", "features")
+def _parts(model: DeepFm, df: DataFrame) -> DataFrame:
+    """Both scores of each row as one vector."""
+    kept = [c for c in PREDICTION if c in df.columns]
+    deep = model.network.transform(_inputs(model.fm, df, model.features))
+    deep = deep.select(*kept, probability().alias("deep_score"))
+    wide = model.fm.score(df).select(*KEYS, F.col("score").alias("fm_score"))
+    both = deep.join(wide, list(KEYS))
+    pair = VectorAssembler(inputCols=["fm_score", "deep_score"], outputCol="features")
+    return pair.transform(both).select(*kept, "features")
 
 
 def fit_deepfm(
     df: DataFrame,
     features: list[str],
     hidden_dim: int = 64,
-    hash_dim: int = 256,
     deep_epochs: int = 3,
     steps_per_epoch: int = 20,
     seed: int = 0,
     fm: FmModel | None = None,
     **fm_args,
 ) -> DeepFm:
-    """An FM, a one-hidden-layer network on hashed features (``deep_epochs * steps_per_epoch``
-    optimizer steps), and a logistic blend of the two, fitted on train rows."""
-    base = fm or fit_fm(df, features, seed=seed, **fm_args)
-    categorical, numeric = split_kinds(df, features)
-    medians = fit_median(train_rows(df), numeric) if numeric else {}
-    hasher = FeatureHasher(
-        inputCols=[*categorical, *numeric], outputCol="hashed", numFeatures=hash_dim
-    )
-    train = even(train_rows(df)).withColumn("label", F.col("long_view").cast("double"))
+    """An FM, a one-hidden-layer network on the FM's one-hot fields (``deep_epochs *
+    steps_per_epoch`` optimizer steps), and a logistic blend of the two.
+
+    Vocabularies are exact unless ``hashed`` is passed on to the FM. The blend is fitted on
+    train users, one in five by a hash, that neither part was trained on.
+    """
+    held = F.pmod(F.xxhash64(F.lit("stack"), "user_id"), F.lit(HELD_OUT)) == 0
+    is_train = F.col("split") == "train"
+    base = fm or fit_fm(df.where(~(is_train & held)), features, seed=seed, **fm_args)
+    label = F.col("long_view").cast("double").alias("label")
+    train = even(_inputs(base, train_rows(df).where(~held), features)).select("features", label)
     network = MultilayerPerceptronClassifier(
-        layers=[hash_dim, hidden_dim, 2], maxIter=deep_epochs * steps_per_epoch, seed=seed
-    ).fit(_hashed(train, hasher, medians).select("features", "label"))
-    model = DeepFm(base, network, None, hasher, medians, list(features))
-    stacked = _parts(model, even(train_rows(df))).withColumn("label", F.col("long_view").cast("double"))
+        layers=[base.encoder.dimension, hidden_dim, 2], maxIter=deep_epochs * steps_per_epoch, seed=seed
+    ).fit(train)
+    model = DeepFm(base, network, None, list(features))
+    stacked = _parts(model, train_rows(df).where(held)).select("features", label)
     model.stack = LogisticRegression(maxIter=50).fit(stacked)
     return model

@@ -1,4 +1,7 @@
-"""Factorization machines: pointwise fit, and pairwise fine-tuning on same-user pairs."""
+"""Factorization machines: pointwise fit, and pairwise fine-tuning on same-user pairs.
+
+Parameters are a table ``(id, w, v0..)`` of any length; a pass over the rows is one job.
+"""
 
 from __future__ import annotations
 
@@ -7,122 +10,27 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.ml.classification import FMClassifier
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import SparseEncoder, fit_sparse
 from ..operators.sets import same_user_pairs
 from ..session import cut_lineage
-from .common import (
-    PREDICTION,
-    Stopper,
-    even,
-    hot_users,
-    predictions,
-    primary_of,
-    probability,
-    train_rows,
-)
-
-# Stock FM training keeps the model on the driver and sends it to every task, so its size is
-# bounded here; larger vocabularies share hashed slots.
-MAX_PARAMETERS = 1 << 24
-BROADCAST_BYTES = 64 << 20
-MAX_STEPS_PER_EPOCH = 64
-
+from .common import PREDICTION, Stopper, even, hot_users, predictions, primary_of, train_rows
+from .local import fm_epoch
 
-def encoder_for(df, features, k, numeric_bins=32, hashed=None, accuracy=None) -> SparseEncoder:
-    """The exact encoding while the model fits its bound, else a hashed one."""
-    found = fit_sparse(df, features, numeric_bins, hashed, accuracy)
-    if hashed is None and found.dimension * (k + 1) > MAX_PARAMETERS:
-        fixed = sum(w for name, w in found.widths.items() if name not in found.categorical)
-        slots = (MAX_PARAMETERS // (k + 1) - fixed) // max(1, len(found.categorical))
-        found = fit_sparse(df, features, numeric_bins, max(2, slots), accuracy)
-    return found
-
-
-@dataclass
-class FmModel:
-    encoder: SparseEncoder
-    model: object
-    history: list[float]
-
-    def score(self, df: DataFrame) -> DataFrame:
-        rows = self.encoder.one_hot(self.encoder.transform(df))
-        return predictions(self.model.transform(rows), probability())
-
-
-def fit_fm(
-    df: DataFrame,
-    features: list[str],
-    k: int = 16,
-    lr: float = 0.001,
-    l2: float = 1e-6,
-    epochs: int = 40,
-    batch_size: int = 8192,
-    patience: int = 4,
-    seed: int = 0,
-    numeric_bins: int = 32,
-    checkpoints: int = 4,
-    hashed: int | None = None,
-    encoder: SparseEncoder | None = None,
-) -> FmModel:
-    """Log-loss FM with Adam on one-hot fields; the epoch count is chosen on valid.
-
-    The stock trainer takes no validation rows, so models of growing epoch counts (same
-    seed, hence the same path) are fitted and the best valid primary kept. A step samples
-    ``batch_size`` rows, or more when an epoch would exceed 64 steps.
-    """
-    enc = encoder or encoder_for(df, features, k, numeric_bins, hashed)
-    kept = df.select(*[c for c in PREDICTION if c in df.columns], *features)
-    # only the compact id rows are exchanged; the other splits are scored later
-    ids = enc.transform(kept.where(F.col("split").isin("train", "valid")))
-    ids = even(ids.select(*[c for c in PREDICTION if c in kept.columns], "ids")).persist()
-    rows = enc.one_hot(ids).withColumn("label", F.col("long_view").cast("double"))
-    train = train_rows(rows).select("features", "label").persist()
-    valid = rows.where(F.col("split") == "valid").drop("ids").persist()
-    try:
-        n = train.count()
-        if n == 0:
-            raise RuntimeError("no training rows")
-        steps = min(max(1, math.ceil(n / batch_size)), MAX_STEPS_PER_EPOCH)
-        stop, hot = Stopper(patience), hot_users(valid)
-        grid = sorted({max(1, round(epochs * (i + 1) / checkpoints)) for i in range(checkpoints)})
-        for count in grid:
-            fitted = FMClassifier(
-                factorSize=k, stepSize=lr, regParam=l2, maxIter=count * steps,
-                miniBatchFraction=min(1.0, 1.0 / steps), solver="adamW", seed=seed, tol=0.0,
-            ).fit(train)
-            primary = primary_of(predictions(fitted.transform(valid), probability()), hot=hot)
-            if stop.offer(primary, fitted):
-                break
-    finally:
-        for held in (ids, train, valid):
-            held.unpersist()
-    return FmModel(enc, stop.state, stop.seen)
-
-
-# --- pairwise fine-tuning with the parameters as a table ---
+#: up to this many bytes of parameters are broadcast to score rows, more are joined
+BROADCAST_BYTES = 64 << 20
+#: rows trained in one task; a shard's parameters are those its rows touch
+SHARD_ROWS = 1 << 16
+#: spread of the factors at the start
+INIT_SPREAD = 0.01
+BIAS = -1
 
 
 def _factors(k):
     return [f"v{f}" for f in range(k)]
 
 
-def parameter_table(model: FmModel, df: DataFrame) -> tuple[DataFrame, float]:
-    """``(id, w, v0..)`` of a fitted model, and its bias."""
-    spark = df.sparkSession
-    weights = model.model.linear.toArray()
-    factors = model.model.factors.toArray()
-    names = ["id", "w", *_factors(factors.shape[1])]
-    import pandas as pd
-
-    frame = pd.DataFrame(factors, columns=names[2:])
-    frame.insert(0, "w", weights)
-    frame.insert(0, "id", range(len(weights)))
-    return spark.createDataFrame(frame), float(model.model.intercept)
-
-
 def _lookup(exploded: DataFrame, params: DataFrame, dimension: int, k: int) -> DataFrame:
     """Parameters of each id: broadcast while their exact size is small, else a shuffle join."""
     small = dimension * (k + 2) * 8 <= BROADCAST_BYTES
@@ -189,41 +97,136 @@ def adam_table(params: DataFrame, k: int) -> DataFrame:
     )
 
 
-def adam_step(
-    table: DataFrame, grads: DataFrame, k: int, lr: float, t: int, scale: float, l2: float = 0.0
-) -> DataFrame:
-    """One Adam step of every parameter; ``scale`` turns gradient sums into means."""
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    names = ["w", *_factors(k)]
-    joined = table.join(grads, "id", "left")
-    columns = [F.col("id")]
-    moments = []
-    for n in names:
-        g = F.coalesce(F.col(f"g_{n}"), F.lit(0.0)) * scale + l2 * F.col(n)
-        m = b1 * F.col(f"m_{n}") + (1 - b1) * g
-        u = b2 * F.col(f"u_{n}") + (1 - b2) * g * g
-        step = (m / (1 - b1**t)) / (F.sqrt(u / (1 - b2**t)) + eps)
-        columns.append((F.col(n) - lr * step).alias(n))
-        moments += [m.alias(f"m_{n}"), u.alias(f"u_{n}")]
-    return joined.select(*columns, *moments)
+def start_table(spark, dimension: int, k: int, seed: int, spread: float = INIT_SPREAD) -> DataFrame:
+    """Parameters at the start: zero weights and bias, normal factors drawn from a hash."""
+    ids = spark.range(dimension).unionByName(spark.createDataFrame([(BIAS,)], "id long"))
+
+    def uniform(f, side):
+        drawn = F.xxhash64(F.lit(seed), F.lit(f), F.lit(side), F.col("id"))
+        return (F.pmod(drawn, F.lit(1 << 32)).cast("double") + 0.5) / float(1 << 32)
+
+    normal = lambda f: F.sqrt(-2.0 * F.log(uniform(f, 0))) * F.cos(2.0 * math.pi * uniform(f, 1))
+    factor = lambda f: F.when(F.col("id") == BIAS, 0.0).otherwise(spread * normal(f))
+    rows = ids.select("id", F.lit(0.0).alias("w"), *[factor(f).alias(f"v{f}") for f in range(k)])
+    return adam_table(rows, k)
+
+
+class Shards:
+    """Training rows dealt into shards by a hash, with the parameter ids of each shard."""
+
+    def __init__(self, rows: DataFrame, count: int, shard_rows: int):
+        self.parts = max(1, -(-count // shard_rows))
+        self.rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(self.parts)).cast("int")).persist()
+        ids = [F.explode(c).alias("id") for c in ("ids", "other") if c in rows.columns]
+        used = reduce(DataFrame.unionByName, [self.rows.select("shard", i) for i in ids])
+        bias = self.rows.select("shard", F.lit(BIAS).alias("id"))
+        wanted = used.unionByName(bias).select("shard", F.col("id").cast("long")).distinct()
+        self.wanted = cut_lineage(wanted)
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+    def epoch(self, table: DataFrame, k: int, lr, l2, batch_size, steps, seed) -> tuple[DataFrame, int]:
+        """The parameter table after a pass, and the steps that the longest shard took."""
+        names = ["w", *_factors(k)]
+        wide = [p + n for p in ("", "m_", "u_") for n in names]
+        schema = "id long, touched long, steps long, " + ", ".join(f"{n} double" for n in wide)
+        run = fm_epoch(names, lr, l2, batch_size, steps, seed)
+        near = self.wanted.join(table, "id")
+        trained = self.rows.groupBy("shard").cogroup(near.groupBy("shard")).applyInArrow(run, schema)
+        # a parameter is the mean over its shards, by the rows that touched it
+        merged = trained.groupBy("id").agg(
+            F.max("steps").alias("steps"),
+            *[(F.sum(F.col(n) * F.col("touched")) / F.sum("touched")).alias(f"new_{n}") for n in wide],
+        )
+        both = table.join(merged, "id", "left")
+        out = cut_lineage(
+            both.select(
+                "id", *[F.coalesce(f"new_{n}", n).alias(n) for n in wide],
+                F.coalesce("steps", F.lit(0)).alias("steps"),
+            )
+        )
+        return out.drop("steps"), int(out.agg(F.max("steps")).first()[0])
+
+
+def _split_bias(table: DataFrame, k: int) -> tuple[DataFrame, float]:
+    plain = table.select("id", "w", *_factors(k))
+    return plain.where(F.col("id") != BIAS), float(plain.where(F.col("id") == BIAS).first()["w"])
 
 
 @dataclass
-class PairwiseModel:
+class FmModel:
     encoder: SparseEncoder
     params: DataFrame
     bias: float
     k: int
     history: list[float]
+    raw: bool = False
 
     def score(self, df: DataFrame) -> DataFrame:
-        return _pairwise_scores(self.encoder.transform(df), self)
+        """Probabilities, or logits of a model trained on differences."""
+        kept = [c for c in PREDICTION if c in df.columns]
+        return _scores(self.encoder.transform(df).select(*kept, "ids"), self)
 
 
-def _pairwise_scores(rows: DataFrame, model: PairwiseModel) -> DataFrame:
+def _scores(rows: DataFrame, model: FmModel) -> DataFrame:
     kept = [c for c in PREDICTION if c in rows.columns]
-    logits = fm_logits(rows, list(kept), model.params, model.encoder.dimension, model.k)
-    return predictions(logits, F.col("z") + F.lit(model.bias))
+    logits = fm_logits(rows, kept, model.params, model.encoder.dimension, model.k)
+    z = F.col("z") + F.lit(model.bias)
+    return predictions(logits, z if model.raw else 1.0 / (1.0 + F.exp(-z)))
+
+
+def _encoded(df: DataFrame, enc: SparseEncoder, features: list[str]) -> DataFrame:
+    """The id rows of train and valid, spread evenly; other splits are scored later."""
+    kept = df.select(*[c for c in PREDICTION if c in df.columns], *features)
+    ids = enc.transform(kept.where(F.col("split").isin("train", "valid")))
+    return even(ids.select(*[c for c in PREDICTION if c in kept.columns], "ids")).persist()
+
+
+def fit_fm(
+    df: DataFrame,
+    features: list[str],
+    k: int = 16,
+    lr: float = 0.001,
+    l2: float = 1e-6,
+    epochs: int = 40,
+    batch_size: int = 8192,
+    patience: int = 4,
+    seed: int = 0,
+    numeric_bins: int = 32,
+    hashed: int | None = None,
+    encoder: SparseEncoder | None = None,
+    shard_rows: int = SHARD_ROWS,
+) -> FmModel:
+    """Log-loss FM with mini-batch Adam on one-hot fields.
+
+    Every epoch is one pass with steps of ``batch_size`` rows, followed by the valid primary;
+    the best epoch is kept, and ``patience`` epochs without a gain end the fit. Vocabularies
+    are exact at any size unless the caller asks for ``hashed`` slots a field. Beyond
+    ``shard_rows`` rows the shards train side by side and are averaged after each epoch.
+    """
+    enc = encoder or fit_sparse(df, features, numeric_bins, hashed)
+    rows = _encoded(df, enc, features)
+    train = train_rows(rows).select("row_id", "ids", F.col("long_view").cast("double").alias("label"))
+    valid = rows.where(F.col("split") == "valid")
+    n = train.count()
+    if n == 0:
+        raise RuntimeError(f"the train split of {len(features)} features has no rows to fit on")
+    shards = Shards(train, n, shard_rows)
+    stop, hot, steps = Stopper(patience), hot_users(valid), 0
+    table = cut_lineage(start_table(df.sparkSession, enc.dimension, k, seed))
+    try:
+        for epoch in range(1, epochs + 1):
+            table, taken = shards.epoch(table, k, lr, l2, batch_size, steps, seed * 1009 + epoch)
+            steps += taken
+            model = FmModel(enc, *_split_bias(table, k), k, [])
+            if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
+                break
+    finally:
+        shards.release()
+        rows.unpersist()
+    best = stop.state
+    return FmModel(enc, best.params, best.bias, k, stop.seen)
 
 
 def fit_fm_pairwise(
@@ -234,44 +237,49 @@ def fit_fm_pairwise(
     pairwise_epochs: int = 6,
     pairwise_patience: int = 2,
     pairs_per_user: int = 4,
+    pair_batch: int = 4096,
     l2: float = 1e-6,
     seed: int = 0,
     k: int = 16,
+    shard_rows: int = SHARD_ROWS,
     **fm,
-) -> PairwiseModel:
+) -> FmModel:
     """A pointwise fit, then Adam steps on the logit difference of same-user pairs.
 
-    Fresh pairs are drawn each epoch; the bias cancels in a difference and stays. Each
-    epoch's parameter table is checkpointed, and the best valid primary is kept.
+    Fresh pairs are drawn each epoch and taken in steps of ``pair_batch``; the bias cancels in
+    a difference and stays. The best valid primary is kept.
     """
     base = base or fit_fm(df, features, k=k, l2=l2, seed=seed, **fm)
-    k = base.model.factors.numCols
-    params, bias = parameter_table(base, df)
-    enc = base.encoder
-    kept = df.select(*[c for c in PREDICTION if c in df.columns], *features)
-    rows = enc.transform(kept.where(F.col("split").isin("train", "valid")))
-    rows = even(rows.select(*[c for c in PREDICTION if c in kept.columns], "ids")).persist()
-    train = train_rows(rows)
-    valid = rows.where(F.col("split") == "valid")
-    table = cut_lineage(adam_table(params, k))
-    plain = ["id", "w", *_factors(k)]
-    as_model = lambda t: PairwiseModel(enc, t.select(*plain), bias, k, [])
-    stop, hot = Stopper(pairwise_patience), hot_users(valid)
-    stop.offer(primary_of(_pairwise_scores(valid, as_model(table)), hot=hot), table)
+    k, enc = base.k, base.encoder
+    spark = df.sparkSession
+    bias = spark.createDataFrame([(BIAS, base.bias, *[0.0] * k)], base.params.schema)
+    table = cut_lineage(adam_table(base.params.unionByName(bias), k))
+    rows = _encoded(df, enc, features)
+    train, valid = train_rows(rows), rows.where(F.col("split") == "valid")
+    as_model = lambda t: FmModel(enc, *_split_bias(t, k), k, [], raw=True)
+    stop, hot, steps = Stopper(pairwise_patience), hot_users(valid), 0
+    start = as_model(table)
+    stop.offer(primary_of(_scores(valid, start), hot=hot), start)
+    ids = train.select("row_id", "ids")
     for epoch in range(1, pairwise_epochs + 1):
         drawn = same_user_pairs(train, pairs_per_user, seed=seed * 1009 + epoch)
-        pairs = drawn.select(
-            F.concat_ws(":", "user_id", "pair").alias("pair_id"), "pos_row", "neg_row"
-        ).persist()
+        pairs = (
+            drawn.select(F.col("pos_row").alias("row_id"), "neg_row")
+            .join(ids, "row_id")
+            .join(ids.select(F.col("row_id").alias("neg_row"), F.col("ids").alias("other")), "neg_row")
+            .select(F.xxhash64("row_id", "neg_row").alias("row_id"), "ids", "other")
+        )
+        pairs = cut_lineage(pairs)
         count = pairs.count()
         if count == 0:
             raise RuntimeError("no user has both a positive and a negative training row")
-        grads, _ = pair_gradients(
-            pairs, train.select("row_id", "ids"), table.select(*plain), enc.dimension, k
-        )
-        table = cut_lineage(adam_step(table, grads, k, pairwise_lr, epoch, 1.0 / count, l2))
-        pairs.unpersist()
-        if stop.offer(primary_of(_pairwise_scores(valid, as_model(table)), hot=hot), table):
+        shards = Shards(pairs, count, shard_rows)
+        table, taken = shards.epoch(table, k, pairwise_lr, l2, pair_batch, steps, seed * 1009 + epoch)
+        steps += taken
+        shards.release()
+        model = as_model(table)
+        if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
             break
     rows.unpersist()
-    return PairwiseModel(enc, stop.state.select(*plain), bias, k, stop.seen)
+    best = stop.state
+    return FmModel(enc, best.params, best.bias, k, stop.seen, raw=True)

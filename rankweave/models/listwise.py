@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
 
@@ -15,6 +14,10 @@ from ..plans.ordering import group_totals
 from ..schemas import KEYS
 from ..session import cut_lineage
 from .common import PREDICTION, Stopper, hot_users, predictions, primary_of, train_rows
+from .local import listwise_epoch
+
+#: ranking sets trained in one task
+SHARD_SETS = 1 << 13
 
 
 def inputs(df: DataFrame, features: list[str], by: str) -> DataFrame:
@@ -37,6 +40,7 @@ class ListwiseModel:
     scale: dict[str, tuple[float, float]]
     weights: dict[str, float]
     history: list[float]
+    losses: list[float] = field(default_factory=list)
 
     def score(self, df: DataFrame) -> DataFrame:
         """Sets are scored as the metric ranks them: all rows of a user in a split."""
@@ -82,11 +86,18 @@ def fit_listwise(
     lr: float = 1e-3,
     weight_decay: float = 1e-6,
     max_set_size: int = 48,
+    set_batch: int = 64,
+    clip: float = 5.0,
     seed: int = 0,
+    shard_sets: int = SHARD_SETS,
 ) -> ListwiseModel:
     """Linear scorer on set-aware inputs. Mixed sets only; sets above ``max_set_size`` are
-    drawn anew each epoch. The weights are a handful of numbers, so Adam runs on the driver;
-    gradients are sums over the cluster."""
+    drawn anew each epoch.
+
+    An epoch is one pass: the sets are dealt into shards by a hash, every shard takes Adam
+    steps of ``set_batch`` sets with gradients clipped at norm ``clip``, and the weights, a
+    handful of numbers, are averaged by the sets of each shard.
+    """
     keys = set_keys(train_group)
     names = input_names(features)
     medians = fit_median(train_rows(df), features)
@@ -94,31 +105,43 @@ def fit_listwise(
     train = inputs(mixed_sets(train_rows(lean), train_group), features, train_group)
     stats = train.agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_distinct(*keys).alias("sets"),
         *[F.avg(n).alias(f"m_{n}") for n in names],
         *[F.stddev_pop(n).alias(f"s_{n}") for n in names],
     ).first()
     if not stats["n"]:
-        raise RuntimeError("no discriminative training sets available")
+        raise RuntimeError(f"no train set by {keys} has rows of both outcomes")
     scale = {n: (float(stats[f"m_{n}"]), float(stats[f"s_{n}"]) or 1.0) for n in names}
     scaled = lambda frame, kept: frame.select(*kept, *[_scaled(n, scale).alias(n) for n in names])
     train = cut_lineage(scaled(train, [*dict.fromkeys([*keys, "row_id", "long_view"])]))
     valid = inputs(lean.where(F.col("split") == "valid"), features, "user")
     valid = cut_lineage(scaled(valid, PREDICTION))
     plain = {n: (0.0, 1.0) for n in names}
-    weights = {n: 0.0 for n in names}
-    m1, m2 = dict(weights), dict(weights)
-    stop, hot = Stopper(patience), hot_users(valid)
+    shards = max(1, -(-stats["sets"] // shard_sets))
+    state = {p: [0.0] * len(names) for p in "wmu"}
+    stop, hot, steps, losses = Stopper(patience), hot_users(valid), 0, []
     for epoch in range(1, epochs + 1):
         drawn = cap_sets(train, train_group, max_set_size, seed * 1009 + epoch)
-        drawn = drawn.withColumn("score", _linear(plain, weights))
-        row = listwise_gradient(drawn, keys, names, hot=None).first()  # capped sets are small
-        for n in names:
-            g = (row[f"g_{n}"] or 0.0) / max(row["sets"] or 0.0, 1.0) + weight_decay * weights[n]
-            m1[n] = 0.9 * m1[n] + 0.1 * g
-            m2[n] = 0.999 * m2[n] + 0.001 * g * g
-            step = (m1[n] / (1 - 0.9**epoch)) / (math.sqrt(m2[n] / (1 - 0.999**epoch)) + 1e-8)
-            weights[n] -= lr * step
+        group = F.xxhash64(*keys)
+        rows = drawn.select(
+            F.pmod(group, F.lit(shards)).alias("shard"), group.alias("set"), "row_id",
+            F.col("long_view").cast("double").alias("label"), F.array(*names).alias("x"),
+        )
+        run = listwise_epoch(*[state[p] for p in "wmu"], lr, weight_decay, set_batch, steps, clip, seed * 1009 + epoch)
+        parts = rows.groupBy("shard").applyInArrow(
+            run, "w array<double>, m array<double>, u array<double>, sets long, steps long, loss double"
+        )
+        mean = lambda p, i: F.sum(F.element_at(p, i + 1) * F.col("sets")) / F.sum("sets")
+        row = parts.agg(
+            F.max("steps").alias("steps"),
+            (F.sum("loss") / F.sum("sets")).alias("loss"),
+            *[mean(p, i).alias(f"{p}{i}") for p in "wmu" for i in range(len(names))],
+        ).first()
+        state = {p: [row[f"{p}{i}"] for i in range(len(names))] for p in "wmu"}
+        steps += row["steps"]
+        losses.append(row["loss"])
+        weights = dict(zip(names, state["w"]))
         primary = primary_of(predictions(valid, _linear(plain, weights)), hot=hot)
-        if stop.offer(primary, dict(weights)):
+        if stop.offer(primary, weights):
             break
-    return ListwiseModel(list(features), medians, scale, stop.state, stop.seen)
+    return ListwiseModel(list(features), medians, scale, stop.state, stop.seen, losses)

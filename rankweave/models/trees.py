@@ -16,6 +16,8 @@ from ..session import cut_lineage
 from .common import even, predictions, probability, train_rows
 
 CHECKPOINT_ROUNDS = 10
+#: fields of up to so many values are split as sets, larger ones along their label rate
+MOST_SETS = 64
 
 
 def depth_for(num_leaves: int) -> int:
@@ -47,7 +49,9 @@ def fit_gbt(
     colsample: float = 1.0,
     seed: int = 0,
 ) -> GbtModel:
-    prep = fit_dense(df, features)
+    """Boosted trees under log loss. Categorical fields are split as sets of their values, not
+    by the order of their codes."""
+    prep = fit_dense(df, features, rate_label="long_view", most_sets=MOST_SETS)
     lean = train_rows(df).select("split", "row_id", *features, F.col("long_view").cast("double").alias("label"))
     train = even(prep.transform(lean).select("features", "label"))
     model = GBTClassifier(
@@ -58,6 +62,7 @@ def fit_gbt(
         subsamplingRate=subsample,
         featureSubsetStrategy=_column_share(colsample),
         checkpointInterval=CHECKPOINT_ROUNDS,
+        maxBins=max(32, prep.largest),
         seed=seed,
     ).fit(train)
     return GbtModel(prep, model)
@@ -195,16 +200,19 @@ def fit_lambdarank(
     subsample: float = 1.0,
     colsample: float = 1.0,
     truncation: int = 30,
+    reg_lambda: float = 0.0,
     seed: int = 0,
 ) -> RankTrees:
     """Boosting on ranking gradients: each round fits a regression tree to ``-g/h`` weighted
-    by ``h``, so its leaves are Newton steps.
+    by ``h``, so its leaves are Newton steps; ``reg_lambda`` is added to each ``h`` in the step.
+
+    ``truncation`` belongs to the loss: pairs with both members behind that place carry none.
 
     Only mixed sets carry a gradient, so only they are trained on. Scores depend on the
     features alone; the running sum is checkpointed every ten rounds.
     """
     keys = set_keys(group_by)
-    prep = fit_dense(df, features)
+    prep = fit_dense(df, features, rate_label="long_view", most_sets=MOST_SETS)
     lean = train_rows(df).select(
         *dict.fromkeys(["split", "row_id", *keys, "long_view", *features])
     )
@@ -217,13 +225,20 @@ def fit_lambdarank(
     trees = []
     for number in range(n_estimators):
         grads = lambdas(rows, keys, truncation=truncation, hot=hot).where(F.col("h") > 0)
-        target = grads.select("features", (-F.col("g") / F.col("h")).alias("target"), F.col("h").alias("weight"))
+        # a tree fit passes over its rows several times
+        target = grads.select(
+            "features",
+            (-F.col("g") / (F.col("h") + F.lit(reg_lambda))).alias("target"),
+            F.col("h").alias("weight"),
+        ).persist()
         tree = RandomForestRegressor(  # one tree: the forest class also samples rows and columns
             numTrees=1, bootstrap=False, subsamplingRate=subsample,
             featureSubsetStrategy=_column_share(colsample), labelCol="target", weightCol="weight",
             predictionCol="_leaf", maxDepth=depth_for(num_leaves),
-            minInstancesPerNode=min_child_samples, seed=seed + number,
+            minInstancesPerNode=min_child_samples, maxBins=max(32, prep.largest),
+            seed=seed + number,
         ).fit(target)
+        target.unpersist()
         trees.append(tree)
         rows = _boosted(rows, tree, "score", lr)
         if (number + 1) % CHECKPOINT_ROUNDS == 0:

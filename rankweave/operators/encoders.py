@@ -124,34 +124,83 @@ def merge_features(*bundles: DataFrame, check_rows: bool = False) -> DataFrame:
 
 @dataclass
 class DensePrep:
-    """Fitted dense preparation: codes for categoricals, imputed numerics, one vector."""
+    """Fitted dense preparation: codes for categoricals, imputed numerics, one vector.
+
+    Code columns are declared as categories, so that tree models split them as sets. Fields in
+    ``rates`` stand for their value's smoothed train label rate instead: for two classes, sets
+    of categories are best cut along that order.
+    """
 
     categorical: list[str]
     numeric: list[str]
     vocab: DataFrame | None
     medians: dict[str, float]
     dims: dict[str, int] = field(default_factory=dict)
+    rates: dict[str, tuple[DataFrame, float]] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
         kept = df.columns
         out = impute(df, self.medians)
         if self.categorical:
             out = encode(out, self.vocab, self.categorical, "first")
-        inputs = [f"{c}_code" for c in self.categorical] + self.numeric
+        inputs = []
+        for name in self.categorical:
+            if name in self.rates:
+                table, prior = self.rates[name]
+                out = out.join(table, out[name].cast("string") == table["_value"], "left").drop("_value")
+                out = out.withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(prior)))
+                inputs.append(f"{name}_rate")
+            else:
+                meta = {"ml_attr": {"type": "nominal", "num_vals": self.dims[name]}}
+                code = f"{name}_code"
+                out = out.withColumn(code, F.col(code).cast("double")).withMetadata(code, meta)
+                inputs.append(code)
         return (
-            VectorAssembler(inputCols=inputs, outputCol=output)
+            VectorAssembler(inputCols=inputs + self.numeric, outputCol=output)
             .transform(out)
             .select(*[c for c in kept if c not in self.numeric], *self.numeric, output)
         )
 
+    @property
+    def largest(self) -> int:
+        """The most categories of a field that is split as sets."""
+        return max([n for c, n in self.dims.items() if c not in self.rates], default=0)
+
+    def release(self) -> None:
+        if self.vocab is not None:
+            self.vocab.unpersist()
+
+
+def label_rates(
+    train: DataFrame, name: str, label: str = "long_view", smoothing: float = 10.0
+) -> tuple[DataFrame, float]:
+    """``(value, smoothed label rate)`` of a field's values, and the overall rate."""
+    overall = train.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    table = train.groupBy(F.col(name).cast("string").alias("_value")).agg(
+        ((F.sum(F.col(label).cast("double")) + smoothing * overall) / (F.count(F.lit(1)) + smoothing)).alias(
+            f"{name}_rate"
+        )
+    )
+    return table.where("_value IS NOT NULL"), float(overall)
+
 
 def split_kinds(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
     categorical = [c for c in features if is_categorical(df, c)]
     return categorical, [c for c in features if c not in categorical]
 
 
-def fit_dense(df: DataFrame, features: list[str], accuracy: int | None = None) -> DensePrep:
-    """Fits vocabularies and medians on the train rows of ``df``."""
+def fit_dense(
+    df: DataFrame,
+    features: list[str],
+    accuracy: int | None = None,
+    rate_label: str | None = None,
+    most_sets: int = 64,
+) -> DensePrep:
+    """Fits vocabularies and medians on the train rows of ``df``.
+
+    With ``rate_label``, fields of more than ``most_sets`` values are ordered by that label's
+    train rate instead of split as sets.
+    """
     if not features:
         raise ValueError("at least one feature column is required")
     train = df.where(F.col("split") == "train")
@@ -159,7 +208,9 @@ def fit_dense(df: DataFrame, features: list[str], accuracy: int | None = None) -
     vocab = fit_vocab(train, categorical).persist() if categorical else None
     dims = {c: n + 1 for c, n in vocab_sizes(vocab).items()} if categorical else {}
     medians = fit_median(train, numeric, accuracy) if numeric else {}
-    return DensePrep(categorical, numeric, vocab, medians, dims)
+    wide = [c for c in categorical if rate_label and dims[c] > most_sets]
+    rates = {c: label_rates(train, c, rate_label) for c in wide}
+    return DensePrep(categorical, numeric, vocab, medians, dims, rates)
 
 
 def assemble(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:

@@ -44,26 +44,78 @@ def check(data, pred, floor=0.6):
 
 
 def test_fm(data):
-    args = dict(k=4, lr=0.1, epochs=20, checkpoints=2, numeric_bins=4)
+    args = dict(k=4, lr=0.1, epochs=8, numeric_bins=4, batch_size=32)
     model = fm.fit_fm(data, FEATURES, **args)
     scores = check(data, model.score(data))
     again = {(r["split"], r["row_id"]): r["score"] for r in fm.fit_fm(data, FEATURES, **args).score(data).collect()}
     assert again == pytest.approx(scores)
-    # the parameter table scores like the fitted model
-    params, bias = fm.parameter_table(model, data)
-    table = fm.PairwiseModel(model.encoder, params, bias, 4, []).score(data).collect()
-    for r in table:
-        assert 1 / (1 + math.exp(-r["score"])) == pytest.approx(scores[(r["split"], r["row_id"])], abs=1e-9)
+    # the primary is taken after every epoch, and patience counts epochs
+    assert len(model.history) <= 8
+    stopped = fm.fit_fm(data, FEATURES, k=4, lr=1e-12, epochs=8, numeric_bins=4, patience=2)
+    assert len(stopped.history) <= 5
 
 
-def test_hashed_fm(data):
-    check(data, fm.fit_fm(data, FEATURES, k=2, lr=0.1, epochs=20, checkpoints=1, hashed=64).score(data))
+def test_fm_in_shards(data):
+    model = fm.fit_fm(data, FEATURES, k=4, lr=0.1, epochs=6, numeric_bins=4, batch_size=32, shard_rows=70)
+    check(data, model.score(data))
 
 
-def test_large_vocabularies_are_hashed(data, monkeypatch):
-    monkeypatch.setattr(fm, "MAX_PARAMETERS", 250)
-    enc = fm.encoder_for(data, FEATURES, k=16, numeric_bins=2)
-    assert enc.hashed and enc.dimension * 17 <= 250
+def test_hashed_fm(data):
+    check(data, fm.fit_fm(data, FEATURES, k=2, lr=0.1, epochs=6, batch_size=32, hashed=64).score(data))
+
+
+def test_vocabularies_stay_exact(spark):
+    """No size makes two values share a slot."""
+    rows = [("train", i, f"u{i % 50}", f"v{i}", i % 2) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "split string, row_id long, user_id string, cat_item string, long_view int")
+    df = df.unionByName(df.where("row_id < 300").withColumn("split", F.lit("valid")))
+    model = fm.fit_fm(df, ["cat_item"], k=1, epochs=1, batch_size=1 << 14)
+    assert model.encoder.hashed is None and model.encoder.dimension == 40_001
+    assert model.params.count() == 40_001
+
+
+def test_local_steps_are_adam():
+    """One shard's pass against a plain loop over dense parameters."""
+    import pyarrow as pa
+
+    from rankweave.models import local
+
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 6, (10, 2))
+    label = rng.integers(0, 2, 10).astype(float)
+    start = np.vstack(([0.1, 0.0, 0.0], rng.normal(size=(6, 3))))
+    names, lr, l2 = ["w", "v0", "v1"], 0.05, 1e-3
+    columns = {"id": np.arange(-1, 6)}
+    for prefix, values in (("", start), ("m_", 0 * start), ("u_", 0 * start)):
+        columns.update({prefix + n: values[:, i] for i, n in enumerate(names)})
+    rows = pa.table({"row_id": np.arange(10), "ids": pa.array(ids.tolist(), pa.list_(pa.int32())), "label": label})
+    out = local.fm_epoch(names, lr, l2, 4, 0, 9)(rows, pa.table(columns)).sort_by("id")
+    got = np.stack([out.column(n).to_numpy() for n in names], axis=1)
+
+    p, m, u = start.copy(), 0 * start, 0 * start
+
+    def loss(flat, pick):
+        q = flat.reshape(-1, 3)
+        total = 0.0
+        for i in pick:
+            v = q[ids[i] + 1, 1:]
+            z = q[ids[i] + 1, 0].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum() + q[0, 0]
+            total += math.log1p(math.exp(z)) - label[i] * z
+        return total / len(pick)
+
+    order = np.random.default_rng((9, 0, 10)).permutation(10)
+    for t, at in enumerate(range(0, 10, 4), 1):
+        pick, g = order[at : at + 4], np.zeros_like(p)
+        for j in range(p.size):
+            up, down = p.copy().ravel(), p.copy().ravel()
+            up[j] += 1e-6
+            down[j] -= 1e-6
+            g.flat[j] = (loss(up, pick) - loss(down, pick)) / 2e-6
+        g += l2 * p
+        g[0, 1:] = 0
+        m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
+        p = p - lr * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.999**t)) + 1e-8)
+    assert got == pytest.approx(p, abs=1e-5)
 
 
 def pair_setup(spark):
@@ -100,27 +152,37 @@ def test_pair_gradient_is_the_derivative(spark):
             assert got.get(i, [0.0] * (k + 1))[c] == pytest.approx(want, abs=1e-6)
 
 
-def test_pair_margin_grows(spark):
-    _, table, rows, pairs, k, dim = pair_setup(spark)
-    from rankweave.session import cut_lineage
-
-    state, seen = fm.adam_table(table, k), []
-    for t in range(1, 6):
-        plain = state.select("id", "w", *[f"v{f}" for f in range(k)])
-        grads, margins = fm.pair_gradients(pairs, rows, plain, dim, k)
-        seen.append(margins.agg(F.sum("margin")).first()[0])
-        state = cut_lineage(fm.adam_step(state, grads, k, 0.05, t, 0.5))
-    assert seen == sorted(seen) and seen[-1] > seen[0]
-
-
 def test_fm_pairwise(data):
     model = fm.fit_fm_pairwise(
-        data, FEATURES, k=4, lr=0.1, epochs=20, checkpoints=1, numeric_bins=4, pairwise_epochs=2, pairwise_lr=0.01
+        data, FEATURES, k=4, lr=0.1, epochs=6, batch_size=32, numeric_bins=4, pairwise_epochs=2, pairwise_lr=0.01,
+        pair_batch=16,
     )
     check(data, model.score(data))
     assert len(model.history) >= 2
 
 
+def test_pairwise_learns_from_nothing(data):
+    """Differences alone, from zero weights, rank as well as the labels allow."""
+    base = fm.fit_fm(data, FEATURES, k=2, lr=1e-9, epochs=1, numeric_bins=4)
+    model = fm.fit_fm_pairwise(data, FEATURES, base=base, pairwise_epochs=6, pairwise_lr=0.05, pair_batch=16)
+    assert max(model.history) > model.history[0] + 0.05
+    check(data, model.score(data))
+
+
+def test_unordered_categories_are_split_as_sets(spark):
+    """Odd codes are liked: no threshold on the code tells the classes apart."""
+    rows = [(s, i, f"u{i % 40}", f"v{i % 24:02d}", (i % 24) % 2) for s in ("train", "valid") for i in range(960)]
+    df = spark.createDataFrame(rows, "split string, row_id long, user_id string, cat_item string, long_view int")
+    model = trees.fit_gbt(df, ["cat_item"], n_estimators=1, num_leaves=2, min_child_samples=1)
+    assert common.primary_of(model.score(df)) > 0.99
+    # beyond the limit, values are ordered by their label rate
+    wide = df.withColumn("cat_item", F.concat("cat_item", F.col("row_id") % 5))
+    prep = trees.fit_dense(wide, ["cat_item"], rate_label="long_view", most_sets=64)
+    assert set(prep.rates) == {"cat_item"} and prep.largest == 0
+    model = trees.fit_gbt(wide, ["cat_item"], n_estimators=1, num_leaves=2, min_child_samples=1)
+    assert common.primary_of(model.score(wide)) > 0.99
+
+
 def test_gbt(data):
     check(data, trees.fit_gbt(data, FEATURES, n_estimators=5, num_leaves=8, min_child_samples=5).score(data))
 
@@ -184,13 +246,15 @@ def test_lambdarank(data, by):
 
 def test_deepfm(data):
     model = deep.fit_deepfm(
-        data, FEATURES, hidden_dim=6, hash_dim=32, deep_epochs=1, k=2, lr=0.1, epochs=10, checkpoints=1, numeric_bins=4
+        data, FEATURES, hidden_dim=6, deep_epochs=1, k=2, lr=0.1, epochs=6, batch_size=32, numeric_bins=4
     )
     check(data, model.score(data))
 
 
 def test_multitask(data):
-    check(data, multitask.fit_multitask(data, FEATURES, ["is_click"], hash_dim=512, max_iter=20).score(data))
+    check(data, multitask.fit_multitask(data, FEATURES, ["is_click"], max_iter=20).score(data))
+    one, two = (multitask.fit_multitask(data, FEATURES, ["is_click"], max_iter=20, seed=s) for s in (1, 2))
+    assert one.model.coefficients != two.model.coefficients
     from rankweave.evaluation.guards import LeakageError
 
     with pytest.raises(LeakageError):
@@ -216,10 +280,25 @@ def test_listwise_gradient(spark):
 
 
 def test_listwise(data):
-    model = listwise.fit_listwise(data.withColumn("numeric", -F.col("numeric")), ["numeric"], epochs=5, lr=0.1)
+    model = listwise.fit_listwise(
+        data.withColumn("numeric", -F.col("numeric")), ["numeric"], epochs=5, lr=0.1, set_batch=8, shard_sets=40
+    )
     check(data, model.score(data.withColumn("numeric", -F.col("numeric"))))
 
 
+def test_listwise_learns_at_its_defaults(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for split, users in (("train", 2500), ("valid", 50)):
+        for u in range(users):
+            for _ in range(4):
+                x = float(rng.normal())
+                rows.append((split, len(rows), f"u{u}", 20220410, int(x + rng.normal(0, 0.3) > 0), x))
+    df = spark.createDataFrame(rows, "split string, row_id long, user_id string, date int, long_view int, x double")
+    model = listwise.fit_listwise(df, ["x"], patience=20)
+    assert model.losses[-1] < 0.9 * model.losses[0] and model.weights["x"] > 0
+
+
 def test_listwise_scores_depend_on_the_set(spark):
     rows = [("test", i, u, 20220429, 0, x) for i, (u, x) in enumerate(
         [("u0", 1.0), ("u0", 2.0), ("u0", 3.0), ("u1", 1.0), ("u1", 9.0), ("u1", 9.0)])]
