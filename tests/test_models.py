@@ -171,7 +171,7 @@ def test_pairwise_learns_from_nothing(data):
 
 def test_unordered_categories_are_split_as_sets(spark):
     """Odd codes are liked: no threshold on the code tells the classes apart."""
-    rows = [(s, i, f"u{i % 40}", f"v{i % 24:02d}", (i % 24) % 2) for s in ("train", "valid") for i in range(960)]
+    rows = [(s, i, f"u{i // 24}", f"v{i % 24:02d}", (i % 24) % 2) for s in ("train", "valid") for i in range(960)]
     df = spark.createDataFrame(rows, "split string, row_id long, user_id string, cat_item string, long_view int")
     model = trees.fit_gbt(df, ["cat_item"], n_estimators=1, num_leaves=2, min_child_samples=1)
     assert common.primary_of(model.score(df)) > 0.99
