@@ -264,18 +264,18 @@ def alignment_check(spark, sf):
 # --- joins ---
 
 _CUST = (
-    ", cu AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_mktsegment AS user_active_degree,"
+    ", cu AS (SELECT CAST(c_custkey*2 AS VARCHAR) AS user_id, c_mktsegment AS user_active_degree,"
     " 'r' || (c_custkey % 4) AS follow_user_num_range, 'f' || (c_custkey % 3) AS fans_user_num_range,"
     " 'n' || c_nationkey AS friend_user_num_range, 'd' || (c_custkey % 6) AS register_days_range, "
     + ", ".join(f"CAST((c_custkey+{i}) % {i + 2} AS VARCHAR) AS onehot_feat{i}" for i in range(18))
     + ", CAST(c_custkey % 2 AS DOUBLE) AS is_live_streamer, CAST(c_nationkey % 2 AS DOUBLE) AS is_video_author,"
     " floor(c_acctbal) AS follow_user_num, CAST(c_custkey*7 AS DOUBLE) AS fans_user_num,"
     " CAST(5-c_custkey AS DOUBLE) AS friend_user_num, CASE WHEN c_nationkey >= 5 THEN c_custkey+30.0::DOUBLE END"
-    " AS register_days FROM customer WHERE c_acctbal >= 0)"
-    ", pa AS (SELECT CAST(p_partkey AS VARCHAR) AS video_id, p_type AS video_type, p_brand AS upload_type,"
+    " AS register_days FROM customer)"
+    ", pa AS (SELECT CAST(p_partkey*2 AS VARCHAR) AS video_id, p_type AS video_type, p_brand AS upload_type,"
     " CAST(p_partkey % 3 AS VARCHAR) AS music_type, '2024-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR),2,'0') AS upload_dt,"
     " CAST(p_size % 5 AS DOUBLE) AS server_width, CAST(p_size AS DOUBLE) AS server_height,"
-    " floor(p_retailprice) AS video_duration FROM part WHERE p_type <> 'ECONOMY')"
+    " floor(p_retailprice) AS video_duration FROM part)"
 )
 
 
@@ -306,12 +306,12 @@ def static_side(spark, sf):
 
 @query(
     "one_to_one_merge",
-    IMP + " SELECT split, row_id, user_id, duration_ms FROM imp WHERE tag <> 'UNK'",
+    IMP + " SELECT split, row_id, user_id, duration_ms FROM imp",
 )
 def one_to_one_merge(spark, sf):
     imp = event_impressions(spark, sf)
     left = imp.select("split", "row_id", "user_id")
-    right = imp.where("tag <> 'UNK'").select("split", "row_id", "duration_ms")
+    right = imp.select("split", "row_id", "duration_ms")
     return joins.merge_one_to_one(left, right, checked=True)
 
 
@@ -337,12 +337,14 @@ def reindex(spark, sf):
 
 @query(
     "drop_rejected",
-    OUTCOMES + " SELECT run_id, hypothesis_id, seq FROM outcomes o WHERE NOT EXISTS (SELECT 1 FROM outcomes r WHERE"
-    " NOT r.accepted AND r.cents > 15000 AND r.hypothesis_id=o.hypothesis_id)",
+    OUTCOMES + ", q AS (SELECT run_id, run_id || ':' || hypothesis_id AS hypothesis_id, seq, accepted FROM outcomes)"
+    " SELECT run_id, hypothesis_id, seq FROM q o WHERE NOT EXISTS (SELECT 1 FROM q r WHERE"
+    " NOT r.accepted AND r.hypothesis_id=o.hypothesis_id)",
 )
 def drop_rejected(spark, sf):
-    o = event_outcomes(spark, sf)
-    return joins.drop_rejected(o, o.where("cents > 15000")).select("run_id", "hypothesis_id", "seq")
+    # an idea belongs to the run that had it
+    o = event_outcomes(spark, sf).withColumn("hypothesis_id", F.concat_ws(":", "run_id", "hypothesis_id"))
+    return joins.drop_rejected(o, o).select("run_id", "hypothesis_id", "seq")
 
 
 # --- set operations ---
@@ -363,7 +365,7 @@ def union_all(spark, sf):
 @query(
     "unknown_names",
     "SELECT DISTINCT CAST(user_id AS VARCHAR) AS name FROM events WHERE CAST(user_id AS VARCHAR) NOT IN"
-    " (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal >= 0)",
+    " (SELECT CAST(c_custkey*2 AS VARCHAR) FROM customer)",
 )
 def unknown_names(spark, sf):
     asked = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("name"))

@@ -180,16 +180,21 @@ def lineage_guard(spark, sf):
 
 @query(
     "rejection_log",
-    "SELECT rule, event, layer, count(*) AS rejections FROM (SELECT rule, 'leakage_rejection' AS event,"
-    f" 'static' AS layer FROM ({_LINEAGE_SQL})) GROUP BY ALL",
+    "SELECT rule, event, layer, node_id, CASE rule WHEN 'missing_lineage' THEN 'no lineage is declared'"
+    " WHEN 'same_row_outcome' THEN 'reads outcomes of its own row' ELSE 'reads randomized rows past the cutoff' END"
+    " AS reason, count(*) AS rejections FROM (SELECT rule, 'leakage_rejection' AS event, 'static' AS layer,"
+    f" 'node_1' AS node_id FROM ({{_LINEAGE_SQL}})) GROUP BY ALL".format(_LINEAGE_SQL=_LINEAGE_SQL),
 )
 def rejection_log(spark, sf):
     path = work_path(spark, "rejections")
     found = guards.lineage_rejections(event_lineage(spark, sf))
-    guards.append_rejections(found.where("rule <> 'missing_lineage'"), path)
-    guards.append_rejections(found.where("rule = 'missing_lineage'"), path)
-    log = spark.read.schema("event string, layer string, rule string").json(path)
-    return log.groupBy("rule", "event", "layer").agg(F.count(F.lit(1)).alias("rejections"))
+    guards.append_rejections(found.where("rule <> 'missing_lineage'"), path, "node_1")
+    guards.append_rejections(found.where("rule = 'missing_lineage'"), path, "node_1")
+    log = spark.read.schema(
+        "event string, layer string, node_id string, reason string, details struct<rule: string>"
+    ).json(path)
+    kinds = ["event", "layer", "node_id", F.split("reason", ": ")[1].alias("reason")]
+    return log.groupBy(F.col("details.rule").alias("rule"), *kinds).agg(F.count(F.lit(1)).alias("rejections"))
 
 
 @query(
@@ -288,16 +293,14 @@ def metrics_file(spark, sf):
 _USERS3 = (
     OUTCOMES + ", c AS (SELECT run_id AS candidate, sum(cents)/count(*)/10000.0 AS score,"
     " max(cents)/40000.0 AS base FROM outcomes GROUP BY 1),"
-    " s AS (SELECT run_id AS candidate, arm, sum(cents)/count(*)/10000.0 AS score FROM outcomes"
-    " WHERE arm IN ('click','purchase','view') GROUP BY ALL),"
-    " full3 AS (SELECT candidate FROM s GROUP BY 1 HAVING count(*)=3)"
+    " s AS (SELECT run_id AS candidate, seq % 3 AS seed, sum(cents)/count(*)/10000.0 AS score FROM outcomes GROUP BY ALL)"
 )
 
 
 @query(
     "significance",
     _USERS3 + ", f AS (SELECT c.candidate, any_value(c.score) AS score, any_value(c.base) AS base, avg(s.score) AS mean,"
-    " count(*) FILTER (s.score > c.base) AS up FROM c JOIN s USING (candidate) SEMI JOIN full3 USING (candidate)"
+    " count(*) FILTER (s.score > c.base) AS up FROM c JOIN s USING (candidate)"
     " GROUP BY c.candidate), r AS (SELECT *, score-base-0.0016 > 1e-12 AS clear FROM f)"
     " SELECT candidate, round(score,6) AS score, round(score-base,6)+0.0 AS raw_delta,"
     " CASE WHEN clear THEN 'delta_above_two_sigma' WHEN mean > base AND up >= 2 THEN 'confirmed_by_three_seed_rerun'"
@@ -308,13 +311,11 @@ _USERS3 = (
 def significance(spark, sf):
     o = event_outcomes(spark, sf)
     mean = F.sum("cents") / F.count(F.lit(1)) / F.lit(10000.0)
-    runs = o.where(F.col("arm").isin("click", "purchase", "view")).groupBy(
-        F.col("run_id").alias("candidate"), F.col("arm").alias("seed")
-    ).agg(mean.alias("score"))
-    complete = runs.groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("candidate")
+    # the remainder of the number stands for the seed of a re-run
+    runs = o.groupBy(F.col("run_id").alias("candidate"), (F.col("seq") % 3).alias("seed")).agg(mean.alias("score"))
     candidates = o.groupBy(F.col("run_id").alias("candidate")).agg(
         mean.alias("primary"), (F.max("cents") / F.lit(40000.0)).alias("incumbent")
-    ).join(complete, "candidate", "left_semi")
+    )
     out = ex.significance("incumbent", candidates, runs).withColumnRenamed("primary", "score")
     return _rounded(out, "score", "raw_delta", "seed_mean")
 
@@ -408,24 +409,30 @@ def distinct_scores(spark, sf):
 
 @query(
     "rejected_ids",
-    OUTCOMES + " SELECT DISTINCT hypothesis_id FROM outcomes WHERE NOT accepted AND cents > 15000",
+    OUTCOMES + " SELECT DISTINCT run_id || ':' || hypothesis_id AS hypothesis_id FROM outcomes WHERE NOT accepted",
 )
 def rejected_ids(spark, sf):
-    return ex.rejected_ids(event_outcomes(spark, sf).where("cents > 15000"))
+    ideas = F.concat_ws(":", "run_id", "hypothesis_id")
+    return ex.rejected_ids(event_outcomes(spark, sf).withColumn("hypothesis_id", ideas))
 
 
 @query(
     "iteration_report",
-    OUTCOMES + ", r AS (SELECT run_id, seq AS iteration, cents/100000.0 AS p, max(cents/100000.0) OVER (PARTITION BY run_id"
-    " ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM outcomes)"
+    OUTCOMES + ", i AS (SELECT run_id, CASE WHEN CAST(run_id AS BIGINT) % 3 > 0 THEN (CAST(run_id AS BIGINT) % 7)/100.0"
+    " ELSE -1 END AS start FROM (SELECT DISTINCT run_id FROM outcomes)),"
+    " r AS (SELECT run_id, seq AS iteration, cents/100000.0 AS p, greatest(start, max(cents/100000.0) OVER (PARTITION BY"
+    " run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS b FROM outcomes JOIN i USING (run_id))"
     " SELECT run_id, iteration, round(p,6) AS score, round(p-0.03,6)+0.0 AS vs_baseline, round(b,6) AS best_before,"
-    " b IS NULL OR p > b AS accepted FROM r",
+    " p > b AS accepted FROM r",
 )
 def iteration_report(spark, sf):
     runs = event_outcomes(spark, sf).select(
         "run_id", F.col("seq").alias("iteration"), (F.col("cents") / F.lit(100000.0)).alias("primary")
     )
-    out = ex.iteration_report(runs, 0.03).withColumnRenamed("primary", "score")
+    # a third of the runs has no starting score
+    run = F.col("run_id").cast("long")
+    runs = runs.withColumn("start", F.when(run % 3 > 0, (run % 7) / F.lit(100.0)))
+    out = ex.iteration_report(runs, 0.03, initial="start").withColumnRenamed("primary", "score")
     return _rounded(out, "score", "vs_baseline", "best_before")
 
 
@@ -583,7 +590,7 @@ def aux_label_profile(spark, sf):
 
 @query(
     "side_coverage",
-    LINES + ", d AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer WHERE c_acctbal >= 0),"
+    LINES + ", d AS (SELECT CAST(c_custkey*2 AS VARCHAR) AS user_id FROM customer),"
     " k AS (SELECT split, user_id, count(*) AS n FROM lines GROUP BY ALL)"
     " SELECT split, sum(n)::BIGINT AS rows, round(sum(CASE WHEN d.user_id IS NOT NULL THEN n ELSE 0 END)/sum(n),6) AS"
     " row_coverage, count(*) AS distinct_keys, round(avg((d.user_id IS NOT NULL)::INTEGER),6) AS key_coverage"

@@ -40,11 +40,35 @@ def _as_log(spark, sf):
     paths = []
     for name, part in (("early", F.col("split") == "train"), ("late", F.col("split") != "train")):
         path = work_path(spark, f"log-{name}")
-        log.where(part).drop("split").write.csv(path, header=True)
+        # the second file has its columns in another order
+        order = sorted(log.columns) if name == "late" else log.columns
+        log.where(part).select(*[c for c in order if c != "split"]).write.csv(path, header=True)
         paths.append(path)
     return paths
 
 
+@query(
+    "load_log",
+    IMP + ", v AS (SELECT video_id, min(author_id) AS author_id, max(duration_ms) AS duration_ms, CASE WHEN"
+    " CAST(video_id AS INTEGER) % 5 > 0 THEN max(tag) END AS tag FROM imp GROUP BY video_id)"
+    " SELECT split, date, imp.user_id, video_id, hourmin, time_ms, long_view, v.author_id, v.duration_ms,"
+    " coalesce(v.tag,'UNK') AS tag, row_number() OVER"
+    " (PARTITION BY split ORDER BY date, time_ms, imp.user_id, video_id, hourmin, long_view) - 1 AS row_id"
+    " FROM imp JOIN v USING (video_id)",
+)
+def load_log(spark, sf):
+    columns = ["date", "user_id", "video_id", "hourmin", "time_ms", "long_view"]
+    imp = event_impressions(spark, sf)
+    lacking = F.col("video_id").cast("int") % 5 == 0
+    videos = imp.groupBy("video_id").agg(
+        F.min("author_id").alias("author_id"), F.max("duration_ms").alias("duration_ms"), F.max("tag").alias("tag")
+    ).withColumn("tag", F.when(~lacking, F.col("tag")))
+    return src.load_log(
+        spark, _as_log(spark, sf), videos, ["date", "time_ms"], splits=EVENT_SPLITS, columns=columns,
+        details=("author_id", "duration_ms"),
+    )
+
+
 @query(
     "load_csv_impressions",
     IMP + " SELECT split, date, user_id, video_id, hourmin, time_ms, long_view, row_number() OVER"
@@ -124,13 +148,13 @@ def reconcile_copies(spark, sf):
 
 @query(
     "tag_lookup",
-    IMP + ", dim AS (SELECT CAST(p_partkey AS VARCHAR) AS video_id, p_brand AS brand, p_type AS kind FROM part"
-    " WHERE p_type <> 'ECONOMY') SELECT split, row_id, video_id, coalesce(brand,'UNK') AS brand,"
+    IMP + ", dim AS (SELECT CAST(p_partkey*2 AS VARCHAR) AS video_id, p_brand AS brand, p_type AS kind FROM part"
+    ") SELECT split, row_id, video_id, coalesce(brand,'UNK') AS brand,"
     " coalesce(kind,'UNK') AS kind FROM imp LEFT JOIN dim USING (video_id)",
 )
 def tag_lookup(spark, sf):
-    dim = table(spark, sf, "part").where("p_type <> 'ECONOMY'").select(
-        F.col("p_partkey").alias("video_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")
+    dim = table(spark, sf, "part").select(
+        (F.col("p_partkey") * 2).alias("video_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")
     )
     rows = event_impressions(spark, sf).select("split", "row_id", "video_id")
     return src.lookup(rows, dim, "video_id", ["brand", "kind"], checked=True)
@@ -417,8 +441,8 @@ def vocabulary_codes_unseen_last(spark, sf):
 
 
 _SIDE_SIZE = (
-    ", pv AS (SELECT CAST(p_partkey AS VARCHAR) AS video_id, CAST(p_size AS DOUBLE) AS size,"
-    " floor(p_retailprice) AS price FROM part WHERE p_type <> 'ECONOMY')"
+    ", pv AS (SELECT CAST(p_partkey*2 AS VARCHAR) AS video_id, CAST(p_size AS DOUBLE) AS size,"
+    " floor(p_retailprice) AS price FROM part)"
 )
 
 

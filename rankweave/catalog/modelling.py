@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
-from ..evaluation import experiments as ex, metrics as m
+from ..evaluation import analyses as an, experiments as ex, metrics as m
 from ..functions.lineage import SAME_ROW, STRICTLY_EARLIER
 from ..models import common, deep, fm, listwise, multitask, trees
-from ..operators import blend, builder, history as h, rowwise
+from ..operators import blend, builder, history as h, rowwise, sets
+from ..schemas import CONFIRM_SEEDS
 from ..session import cut_lineage
-from ..sources.tables import EVENT_START, event_impressions
+from ..sources.tables import EVENT_START, event_impressions, event_scores
 from .features import _halves, _rate_sql, _rounded
-from .registry import IMP, query
+from .judging import _metric_columns, _metric_sql
+from .registry import IMP, query, sql_score
 
 FEATURES = ["cat_video_id", "cat_author_id", "cat_tab", "cat_dur_bucket", "cat_tag", "item_pop_rate", "log_duration"]
 NUMERIC = ["item_pop_rate", "log_duration", "temporal_day_index"]
@@ -82,58 +88,222 @@ def listwise_scores(spark, sf):
     return listwise.fit_listwise(rows, NUMERIC).score(rows).select(*_SCORE)
 
 
-@query("batch_scoring")
-def batch_scoring(spark, sf):
-    rows = model_frame(spark, sf)
-    model = trees.fit_gbt(rows, NUMERIC, n_estimators=2, num_leaves=4)
-    return common.score(model.model, model.prep.transform(rows)).select(*_SCORE)
+# --- the steps of the models on fixed parameters ---
+
+_FIELDS = 3
+_K = 2
+
+
+def _id_rows(df):
+    """Three fields in one id space: video (100), tab (4), author (10)."""
+    ids = [F.col("video_id").cast("int"), F.col("tab").cast("int") + 100, F.col("author_id").cast("int") + 104]
+    return df.select("split", "row_id", "user_id", "long_view", F.array(*ids).alias("ids"))
+
+
+def _parameters(spark, dimension=114):
+    value = lambda a, b: ((F.col("id") * a + b) % 17 - 8) / F.lit(20.0)
+    return spark.range(dimension).select(
+        "id", value(5, 1).alias("w"), *[value(7 + f, 3 * f).alias(f"v{f}") for f in range(_K)]
+    )
+
+
+_FM_SQL = (
+    IMP + ", par AS (SELECT id, ((id*5+1)%17-8)/20.0 AS w, ((id*7+0)%17-8)/20.0 AS v0, ((id*8+3)%17-8)/20.0 AS v1"
+    " FROM range(114) t(id)), ids AS (SELECT split, row_id, user_id, long_view, unnest([CAST(video_id AS INTEGER),"
+    " CAST(tab AS INTEGER)+100, CAST(author_id AS INTEGER)+104]) AS id FROM imp), z AS (SELECT split, row_id,"
+    " any_value(user_id) AS user_id, any_value(long_view) AS long_view, sum(w) + 0.5*(sum(v0)*sum(v0) + sum(v1)*sum(v1)"
+    " - sum(v0*v0) - sum(v1*v1)) AS z, sum(v0) AS s0, sum(v1) AS s1 FROM ids JOIN par USING (id) GROUP BY split, row_id)"
+)
+
+
+@query("fm_logits", _FM_SQL + " SELECT split, row_id, round(z, 6) + 0.0 AS z FROM z")
+def fm_logits(spark, sf):
+    rows = _id_rows(event_impressions(spark, sf))
+    return _rounded(fm.fm_logits(rows, ["split", "row_id"], _parameters(spark), 114, _K).select("split", "row_id", "z"), "z")
+
+
+@query(
+    "pair_gradients",
+    _FM_SQL + ", pairs AS (SELECT p.row_id AS a, n.row_id AS b, 1/(1+exp(p.z-n.z)) AS g FROM z p JOIN z n ON"
+    " n.row_id = p.row_id + 1 WHERE p.split='train' AND n.split='train' AND p.long_view=1 AND n.long_view=0),"
+    " back AS (SELECT a AS row_id, -g AS f FROM pairs UNION ALL SELECT b, g FROM pairs)"
+    " SELECT id, round(sum(f),6)+0.0 AS g_w, round(sum(f*(s0-v0)),6)+0.0 AS g_v0, round(sum(f*(s1-v1)),6)+0.0 AS g_v1"
+    " FROM back JOIN z ON z.row_id=back.row_id AND z.split='train' JOIN ids ON ids.row_id=back.row_id AND"
+    " ids.split='train' JOIN par USING (id) GROUP BY id",
+)
+def pair_gradients(spark, sf):
+    train = _id_rows(event_impressions(spark, sf)).where("split = 'train'")
+    after = train.select((F.col("row_id") - 1).alias("pos_row"), F.col("row_id").alias("neg_row"), F.col("long_view").alias("y"))
+    pairs = train.where("long_view = 1").select(F.col("row_id").alias("pos_row")).join(after.where("y = 0"), "pos_row")
+    pairs = pairs.select(F.col("pos_row").cast("string").alias("pair_id"), "pos_row", "neg_row")
+    grads, _ = fm.pair_gradients(pairs, train.select("row_id", "ids"), _parameters(spark), 114, _K)
+    return _rounded(grads, "g_w", "g_v0", "g_v1")
+
+
+@query(
+    "listwise_gradient",
+    IMP + ", m AS (SELECT user_id, date FROM imp WHERE split='train' GROUP BY ALL HAVING min(long_view) < max(long_view)),"
+    " s AS (SELECT imp.*, count(*) OVER w AS n, sum(long_view) OVER w AS y FROM imp SEMI JOIN m USING (user_id, date)"
+    " WHERE split='train' WINDOW w AS (PARTITION BY user_id, date))"
+    " SELECT round(sum(-(long_view::DOUBLE/y)*(-ln(n))),4) AS loss, round(sum(1.0/n),4) AS sets,"
+    " round(sum((1.0/n - long_view::DOUBLE/y)*ln(1+duration_ms)),4) AS g_x FROM s",
+)
+def listwise_gradient(spark, sf):
+    """The first step of the listwise fit, at zero weights."""
+    train = event_impressions(spark, sf).where("split = 'train'")
+    rows = sets.mixed_sets(train, "user_date").withColumns(
+        {"score": F.lit(0.0), "x": F.log1p(F.col("duration_ms").cast("double"))}
+    )
+    out = listwise.listwise_gradient(rows, sets.set_keys("user_date"), ["x"], hot=None)
+    return _rounded(out, "loss", "sets", "g_x", places=4)
+
+
+@query(
+    "lambdarank_gradients",
+    IMP + f", sc AS (SELECT split, row_id, user_id, long_view AS y, {sql_score()} AS s FROM imp), mx AS (SELECT split, user_id,"
+    " sum(y) AS pos, max(s) AS hi, min(s) AS lo FROM sc GROUP BY ALL HAVING min(y) < max(y)),"
+    " pl AS (SELECT sc.*, pos, hi, lo, row_number() OVER (PARTITION BY split, user_id ORDER BY s DESC, row_id) - 1 AS p"
+    " FROM sc JOIN mx USING (split, user_id)), idl AS (SELECT n, sum(1/log2(r+2)) AS best FROM range(1,31) a(n),"
+    " range(30) b(r) WHERE r < n GROUP BY n), pr AS (SELECT a.split, a.user_id, a.row_id AS ra, b.row_id AS rb,"
+    " CASE WHEN a.y > b.y THEN 1.0 ELSE -1.0 END AS up, 1/(1+exp(CASE WHEN a.y > b.y THEN a.s-b.s ELSE b.s-a.s END)) AS q,"
+    " abs(1/log2(a.p+2)-1/log2(b.p+2))/best / CASE WHEN a.hi <> a.lo THEN 0.01+abs(a.s-b.s) ELSE 1 END AS w"
+    " FROM pl a JOIN pl b ON a.split=b.split AND a.user_id=b.user_id AND a.p < b.p AND a.p < 30 AND a.y <> b.y"
+    " JOIN idl ON idl.n = least(30, a.pos)),"
+    " al AS (SELECT split, user_id, sum(2*q*w) AS t FROM pr GROUP BY ALL), ea AS (SELECT split, user_id, ra AS row_id,"
+    " -q*w*up AS g, q*(1-q)*w AS h FROM pr UNION ALL SELECT split, user_id, rb, q*w*up, q*(1-q)*w FROM pr)"
+    " SELECT pl.split, pl.row_id, round(coalesce(sum(g),0)*max(CASE WHEN t > 0 THEN log2(1+t)/t ELSE 1 END),6)+0.0 AS g,"
+    " round(coalesce(sum(h),0)*max(CASE WHEN t > 0 THEN log2(1+t)/t ELSE 1 END),6)+0.0 AS h"
+    " FROM pl LEFT JOIN ea USING (split, user_id, row_id) LEFT JOIN al ON al.split=pl.split AND al.user_id=pl.user_id"
+    " GROUP BY pl.split, pl.row_id",
+)
+def lambdarank_gradients(spark, sf):
+    scored = event_scores(event_impressions(spark, sf))
+    rows = sets.mixed_sets(scored, "user").select(
+        "split", "user_id", "row_id", "score", F.col("long_view").cast("double").alias("label")
+    )
+    out = trees.lambdas(rows, ["split", "user_id"], hot=None).select("split", "row_id", "g", "h")
+    return _rounded(out, "g", "h")
+
 
+# --- bags, confirmations and ablations of a model that SQL can state ---
 
-def _small_gbt(rows, seed, names=NUMERIC):
-    model = trees.fit_gbt(rows, names, n_estimators=2, num_leaves=4, subsample=0.7, seed=seed)
-    return model.score(rows)
 
+def _popularity_fit(weight=0.1):
+    """Scores every row by its video's train rate, and a little by a seeded hash."""
 
-@query("seed_bag_job")
+    def fit(rows, seed):
+        train = rows.where("split = 'train'")
+        rate = train.groupBy("video_id").agg((F.sum("long_view") / F.count(F.lit(1))).alias("rate"))
+        noise = an.hash_score(seed) * weight
+        scored = rows.join(rate, "video_id", "left").withColumn("score", F.coalesce("rate", F.lit(0.0)) + noise)
+        return scored.select("split", "row_id", "user_id", "long_view", "score")
+
+    return fit
+
+
+def _fit_sql(seed, name, weight=0.1):
+    return (
+        f", {name} AS (SELECT split, row_id, user_id, long_view, coalesce(rate,0) +"
+        f" ('0x' || substr(md5('{seed}:' || row_id),1,8))::BIGINT/4294967296.0*{weight} AS score FROM imp LEFT JOIN"
+        " (SELECT video_id, sum(long_view)/count(*) AS rate FROM imp WHERE split='train' GROUP BY 1) USING (video_id))"
+    )
+
+
+_SEEDS = (3, 5, 8)
+_THREE = IMP + "".join(_fit_sql(s, f"f{s}") for s in _SEEDS)
+
+
+def _blend_sql(value):
+    parts = " UNION ALL ".join(f"SELECT split, row_id, user_id, {value} AS v FROM f{s}" for s in _SEEDS)
+    return f" SELECT split, row_id, user_id, round(avg(v),6) AS score FROM ({parts}) GROUP BY ALL"
+
+
+@query("seed_bag_job", _THREE + _blend_sql("score"))
 def seed_bag_job(spark, sf):
-    return blend.bag(_small_gbt, model_frame(spark, sf), [0, 1])
+    return _rounded(blend.bag(_popularity_fit(), event_impressions(spark, sf), list(_SEEDS)), "score")
+
+
+_OF_USER = "PARTITION BY split, user_id"
 
 
-@query("rank_bag_job")
+@query(
+    "rank_bag_job",
+    _THREE + _blend_sql(
+        f"(rank() OVER ({_OF_USER} ORDER BY score) + (count(*) OVER ({_OF_USER}, score) - 1)/2.0)"
+        f" / count(*) OVER ({_OF_USER})"
+    ),
+)
 def rank_bag_job(spark, sf):
-    return blend.bag(_small_gbt, model_frame(spark, sf), [0, 1], "rank_average")
+    out = blend.bag(_popularity_fit(), event_impressions(spark, sf), list(_SEEDS), "rank_average")
+    return _rounded(out, "score")
 
 
-@query("seed_confirmation")
+@query(
+    "seed_confirmation",
+    IMP + "".join(_fit_sql(s, f"f{s}") for s in CONFIRM_SEEDS) + ", cf AS ("
+    + " UNION ALL ".join(f"SELECT {s} AS seed, * FROM f{s} WHERE split='valid'" for s in CONFIRM_SEEDS)
+    + ")" + _metric_sql("cf", keys="seed, split"),
+)
 def seed_confirmation(spark, sf):
-    out = blend.confirm_seeds(_small_gbt, model_frame(spark, sf), m.evaluate)
-    return out.select("seed", "split", "gauc", "ndcg5", F.col("primary").alias("primary_score"))
+    out = blend.confirm_seeds(_popularity_fit(), event_impressions(spark, sf), m.evaluate)
+    return _metric_columns(out)
+
+
+@query(
+    "batch_scoring",
+    IMP + " SELECT split, row_id, user_id, round(0.25*CAST(tab AS INTEGER) - 0.5*is_like + ln(1+duration_ms)/10,6) AS score"
+    " FROM imp",
+)
+def batch_scoring(spark, sf):
+    """Scores of all splits under a transformer with given weights."""
+    given = "0.25D * CAST(tab AS INT) - 0.5D * is_like + ln(1 + duration_ms) / 10"
+    model = SQLTransformer(statement=f"SELECT *, {given} AS prediction FROM __THIS__")
+    return _rounded(common.score(model, event_impressions(spark, sf), raw=True).select(*_SCORE), "score")
+
 
+_PARTS = {"duration": "ln(1+duration_ms)", "hour": "CAST(hourmin AS DOUBLE)/100", "tab": "CAST(tab AS DOUBLE)"}
 
-@query("leave_one_out")
+
+@query(
+    "leave_one_out",
+    IMP + ", ab AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{without}' AS kind, split, row_id, user_id, long_view, "
+        + " + ".join(sql for name, sql in _PARTS.items() if name != without) + " AS score FROM imp WHERE split='valid'"
+        for without in ["none", *_PARTS]
+    )
+    + ")" + _metric_sql(
+        "ab", keys="kind, split",
+        tail=" SELECT kind AS node, round((gauc+ndcg5)/2,6) AS score_without, round((SELECT (gauc+ndcg5)/2 FROM mt WHERE"
+        " kind='none') - (gauc+ndcg5)/2,6)+0.0 AS removal_cost, 'scored' AS status FROM mt WHERE kind <> 'none'",
+    ),
+)
 def leave_one_out(spark, sf):
-    rows = model_frame(spark, sf)
+    """Removal costs under a fit that adds its features up."""
+    from ..operators.encoders import merge_features
+
+    rows = event_impressions(spark, sf)
     keys = ["split", "row_id"]
-    bundles = {
-        "popularity": rows.select(*keys, "item_pop_rate"),
-        "duration": rows.select(*keys, "log_duration"),
-        "time": rows.select(*keys, "temporal_day_index"),
+    values = {
+        "duration": F.log1p(F.col("duration_ms").cast("double")),
+        "hour": F.col("hourmin").cast("double") / 100,
+        "tab": F.col("tab").cast("double"),
     }
+    bundles = {name: rows.select(*keys, value.alias(f"x_{name}")) for name, value in values.items()}
     labels = rows.select(*keys, "user_id", "long_view")
 
     def neutral(bundle):
         name = next(c for c in bundle.columns if c not in keys)
-        return rowwise.constant_feature(bundle).withColumnRenamed("ablation_constant", f"without_{name}")
+        return rowwise.constant_feature(bundle).withColumnRenamed("ablation_constant", name)
 
     def fit(parts):
-        from ..operators.encoders import merge_features
-
-        merged = cut_lineage(merge_features(*parts).join(labels, keys))
-        names = [c for c in merged.columns if c not in (*keys, "user_id", "long_view")]
-        return _small_gbt(merged, 0, names)
+        total = reduce(add, [F.col(f"x_{name}") for name in values])
+        merged = merge_features(*parts).join(labels, keys)
+        return merged.select(*keys, "user_id", "long_view", total.alias("score"))
 
     incumbent = common.primary_of(fit(list(bundles.values())))
-    return ex.leave_one_out(bundles, fit, common.primary_of, neutral, incumbent)
+    out = ex.leave_one_out(bundles, fit, common.primary_of, neutral, incumbent).drop("position")
+    return _rounded(out, "score_without", "removal_cost")
 
 
 # --- user-written builders ---

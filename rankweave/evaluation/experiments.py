@@ -171,21 +171,24 @@ def rejected_ids(outcomes: DataFrame, key: str = "hypothesis_id") -> DataFrame:
 
 def iteration_report(
     runs: DataFrame, baseline: float, by: str = "run_id", order: str = "iteration",
-    min_rows: int | None = None,
+    min_rows: int | None = None, initial: float | str = -1.0,
 ) -> DataFrame:
     """Each iteration with its gain over the baseline and over the best one before it.
 
-    ``accepted`` marks a new running best of the raw scores (not the significance decision).
+    ``accepted`` marks a new running best of the raw scores (not the significance decision). The
+    bar starts at ``initial``: a number, or the column with the score that a run started from
+    (null: -1).
     """
     seen = running_before(runs.where(F.col("primary").isNotNull()), [by], [order], ["primary"], "max", min_rows)
-    best = F.col("primary_before")
+    start = F.coalesce(F.col(initial), F.lit(-1.0)) if isinstance(initial, str) else F.lit(float(initial))
+    best = F.greatest(F.col("primary_before"), start)
     return seen.select(
         by,
         order,
         "primary",
         (F.col("primary") - F.lit(float(baseline))).alias("vs_baseline"),
         best.alias("best_before"),
-        (best.isNull() | (F.col("primary") > best)).alias("accepted"),
+        (F.col("primary") > best).alias("accepted"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import RANDOMIZED, STRICTLY_EARLIER, lineage_table
@@ -54,25 +56,47 @@ def lineage_rejections(
 
 
 _REASONS = {
-    "missing_lineage": "feature {feature!r} is missing lineage metadata",
-    "same_row_outcome": "feature {feature!r} uses same-row outcome data: {sources}",
-    "randomized_after_cutoff": "feature {feature!r} must prove restriction to training dates",
+    "missing_lineage": "no lineage is declared",
+    "same_row_outcome": "reads outcomes of its own row",
+    "randomized_after_cutoff": "reads randomized rows past the cutoff",
 }
 
 
+def reason_of(rule, feature, sources, max_source_date):
+    """What the guard saw: column, rule, and the values that broke it."""
+    said = reduce(lambda c, r: F.when(rule == r, _REASONS[r]).otherwise(c), _REASONS, F.lit(None).cast("string"))
+    seen = F.when(rule == "same_row_outcome", F.concat(F.lit(": "), sources)).when(
+        rule == "randomized_after_cutoff",
+        F.concat(F.lit(": last date "), F.coalesce(max_source_date.cast("string"), F.lit("unknown"))),
+    )
+    return F.concat(feature, F.lit(": "), said, F.coalesce(seen, F.lit("")))
+
+
 def check_lineage(df: DataFrame, keys=KEYS, cutoff: int = TRAIN_END) -> DataFrame:
     """Rejections of a feature frame, from its schema; no data is scanned."""
     return lineage_rejections(lineage_table(df, keys), cutoff=cutoff)
 
 
-def require_lineage(df: DataFrame, keys=KEYS, cutoff: int = TRAIN_END) -> DataFrame:
-    """The frame itself, or :class:`LeakageError`."""
-    found = [r.asDict() for r in check_lineage(df, keys, cutoff).orderBy("feature").collect()]
+def require_lineage(
+    df: DataFrame, keys=KEYS, cutoff: int = TRAIN_END, log: str | None = None, node_id: str | None = None
+) -> DataFrame:
+    """The frame itself, or :class:`LeakageError`; with ``log``, recorded there first."""
+    bad = check_lineage(df, keys, cutoff)
+    found = [r.asDict() for r in _with_reason(bad).orderBy("feature").collect()]
     if found:
-        raise LeakageError([{**r, "reason": _REASONS[r["rule"]].format(**r)} for r in found])
+        if log:
+            append_rejections(bad, log, node_id)
+        raise LeakageError(found)
     return df
 
 
+def _with_reason(found: DataFrame) -> DataFrame:
+    if "rule" not in found.columns:
+        return found
+    made = reason_of(*[F.col(c) for c in ("rule", "feature", "sources", "max_source_date")])
+    return found.withColumn("reason", made)
+
+
 def check_auxiliary(requested: DataFrame, allowed=AUXILIARY_ALLOWED) -> DataFrame:
     """Requested auxiliary labels that are not allowed."""
     names = requested.sparkSession.createDataFrame([(n,) for n in allowed], "name string")
@@ -92,20 +116,32 @@ def check_metrics(df: DataFrame, tripwire: float = PRIMARY_TRIPWIRE, split: str
     return kept.where(F.col("primary") > tripwire)
 
 
-def require_metrics(df: DataFrame, tripwire: float = PRIMARY_TRIPWIRE) -> DataFrame:
-    found = [r.asDict() for r in check_metrics(df, tripwire).collect()]
+def require_metrics(
+    df: DataFrame, tripwire: float = PRIMARY_TRIPWIRE, log: str | None = None, node_id: str | None = None
+) -> DataFrame:
+    """The frame itself, or :class:`LeakageError` with the worst offenders; recorded first."""
+    bad = check_metrics(df, tripwire)
+    said = F.concat(F.lit("metric: primary "), F.round("primary", 6).cast("string"), F.lit(f" is over {tripwire}"))
+    found = [r.asDict() for r in bad.withColumn("reason", said).orderBy(F.col("primary").desc()).limit(20).collect()]
     if found:
-        raise LeakageError(
-            [{**r, "reason": f"primary {r['primary']:.6f} exceeds {tripwire}"} for r in found]
-        )
+        if log:
+            append_rejections(bad.withColumn("reason", said), log, node_id, "empirical")
+        raise LeakageError(found)
     return df
 
 
-def append_rejections(df: DataFrame, path: str, layer: str = "static") -> None:
-    """Appends rejection records to a JSON-lines log."""
-    df.select(
+def append_rejections(
+    df: DataFrame, path: str, node_id: str | None = None, layer: str = "static"
+) -> None:
+    """Appends rejection records to a JSON-lines log: time, event, layer, node, reason, the
+    feature if there is one, and the other columns as details."""
+    rows = df if "reason" in df.columns else _with_reason(df)
+    details = [c for c in rows.columns if c not in ("reason", "feature")]
+    rows.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"),
         F.lit("leakage_rejection").alias("event"),
         F.lit(layer).alias("layer"),
-        *df.columns,
+        F.lit(node_id).alias("node_id"),
+        *[c for c in ("reason", "feature") if c in rows.columns],
+        F.struct(*details).alias("details"),
     ).write.mode("append").json(path)

@@ -149,45 +149,42 @@ def select_checkpoint(history: DataFrame, patience: int, by: list[str] = []) ->
     An epoch gains when it beats every earlier one by more than 1e-5; training stops at the
     first epoch whose streak of non-gains reaches ``patience``. One row per epoch.
     """
-    from pyspark.sql import Window as W
-
-    run = W.partitionBy(*by).orderBy("epoch") if by else W.orderBy("epoch")
-    before = run.rowsBetween(W.unboundedPreceding, -1)
-    upto = run.rowsBetween(W.unboundedPreceding, W.currentRow)
-    # only gains move the bar, so the bar is the best gaining primary, found by a fold
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("epoch", "primary")).over(upto)),
-        F.struct(
-            F.lit(float("-inf")).alias("bar"),
-            F.lit(-1).cast("long").alias("kept"),
-            F.lit(0).alias("streak"),
-            F.lit(False).alias("stopped"),
-        ),
-        lambda a, e: F.when(a["stopped"], a)
-        .when(
-            e["primary"] > a["bar"] + GAIN_EPS,
-            F.struct(
-                e["primary"].alias("bar"),
-                e["epoch"].cast("long").alias("kept"),
-                F.lit(0).alias("streak"),
-                F.lit(False).alias("stopped"),
-            ),
-        )
-        .otherwise(
-            F.struct(
-                a["bar"].alias("bar"),
-                a["kept"].alias("kept"),
-                (a["streak"] + 1).alias("streak"),
-                (a["streak"] + 1 >= patience).alias("stopped"),
-            )
-        ),
+    start = F.struct(
+        F.lit(float("-inf")).alias("bar"),
+        F.lit(-1).cast("long").alias("kept"),
+        F.lit(0).alias("streak"),
+        F.lit(False).alias("stopped"),
+        F.array().cast("array<struct<epoch:bigint,primary:double,trained:boolean,streak:int,kept:bigint>>").alias("rows"),
     )
-    state = history.withColumn("_state", folded)
-    return state.select(
+
+    def fold(a, e):
+        gain = ~a["stopped"] & (e["primary"] > a["bar"] + GAIN_EPS)
+        kept = F.when(gain, e["epoch"].cast("long")).otherwise(a["kept"])
+        streak = F.when(a["stopped"], a["streak"]).when(gain, 0).otherwise(a["streak"] + 1)
+        row = F.struct(
+            e["epoch"].cast("long").alias("epoch"),
+            e["primary"].cast("double").alias("primary"),
+            (~a["stopped"]).alias("trained"),
+            streak.alias("streak"),
+            kept.alias("kept"),
+        )
+        return F.struct(
+            F.when(gain, e["primary"]).otherwise(a["bar"]).alias("bar"),
+            kept.alias("kept"),
+            streak.alias("streak"),
+            (a["stopped"] | (~gain & (streak >= patience))).alias("stopped"),
+            F.concat(a["rows"], F.array(row)).alias("rows"),
+        )
+
+    # only gains move the bar; one fold over a group's epochs, which are as many as a fit has
+    epochs = F.array_sort(F.collect_list(F.struct("epoch", F.col("primary").cast("double").alias("primary"))))
+    folded = history.groupBy(*by).agg(F.aggregate(epochs, start, fold)["rows"].alias("_rows"))
+    kind = history.schema["epoch"].dataType
+    return folded.select(*by, F.explode("_rows").alias("r")).select(
         *by,
-        "epoch",
-        "primary",
-        (~F.coalesce(F.lag("_state.stopped").over(run), F.lit(False))).alias("trained"),
-        F.col("_state.streak").alias("bad_streak"),
-        F.col("_state.kept").alias("kept_epoch"),
+        F.col("r.epoch").cast(kind).alias("epoch"),
+        "r.primary",
+        "r.trained",
+        F.col("r.streak").alias("bad_streak"),
+        F.col("r.kept").alias("kept_epoch"),
     )

@@ -16,6 +16,8 @@ from ..schemas import DECAY_ATTRIBUTES, KEYS, USER_ATTRIBUTES
 from .rowwise import attribute_column, duration_edges
 
 BLOCK_HALF_LIVES = 256
+#: blocks that can still weigh: 5 * 256 half-lives are beyond a double's range
+CARRIED_BLOCKS = 5
 
 
 def daily_counts(
@@ -251,8 +253,9 @@ def decayed_state(
 
     ``days`` has one row per key and day. Weights ``2^((d - a) / h)`` relative to an anchor
     ``a`` turn the decay into a running sum. Anchors sit 256 half-lives apart, so no power
-    overflows at any half-life, and the last two earlier blocks carry over; anything older
-    is below double precision next to them. Work is linear in the days of a key.
+    overflows at any half-life. The totals of the five blocks before carry over, each with its
+    own weight; what is older weighs less than 2^-1280, which a double cannot hold. Work is
+    linear in the days of a key.
     """
     h = float(half_life)
     span = max(1, int(BLOCK_HALF_LIVES * h))
@@ -264,7 +267,8 @@ def decayed_state(
     block = W.partitionBy(*keys, "_block").orderBy(day)
     inside = block.rowsBetween(W.unboundedPreceding, -1)
     upto = block.rowsBetween(W.unboundedPreceding, W.currentRow)
-    earlier = W.partitionBy(*keys).orderBy("_block").rangeBetween(W.unboundedPreceding, -1)
+    along = W.partitionBy(*keys).orderBy(day)
+    earlier = W.partitionBy(*keys).orderBy("_block").rangeBetween(-CARRIED_BLOCKS, -1)
     total = lambda name, frame: F.coalesce(F.sum(name).over(frame), F.lit(0.0))
     cut = cut.select(
         *days.columns,
@@ -274,22 +278,25 @@ def decayed_state(
         total("_w", upto).alias("_bw"),
         total("_y", upto).alias("_by"),
     )
-    # the last day with rows in an earlier block carries that block's totals
-    seen = lambda *rest: F.when(F.col("impressions") > 0, F.struct(F.col(day).alias("_d"), *rest))
-    cut = cut.withColumn("_one", F.max(seen(F.col("_block"), F.col("_bw"), F.col("_by"))).over(earlier))
-    cut = cut.withColumn("_two", F.max(seen(F.col("_one"))).over(earlier)["_one"])
+    # the last day of a block carries that block's totals: one entry a block
+    last = ~F.coalesce(F.lead("_block").over(along) == F.col("_block"), F.lit(False))
+    cut = cut.withColumn("_end", F.when(last, F.struct("_block", "_bw", "_by")))
+    cut = cut.withColumn("_past", F.collect_list("_end").over(earlier))
 
-    def shift(source: str, field: str) -> Column:
-        gap = (F.col("_block") - F.col(source)["_block"]) * span / h
-        # 2^-gap times a sum of up to 2^256 each: apply in two steps to stay in range
-        half = F.pow(F.lit(2.0), -gap / 2)
-        return F.coalesce(F.col(source)[field] * half * half, F.lit(0.0))
+    def carried(field: str) -> Column:
+        def one(entry):
+            gap = (F.col("_block") - entry["_block"]) * span / h
+            # 2^-gap times a sum of up to 2^256: in steps, to stay in range
+            part = F.pow(F.lit(2.0), -gap / 4)
+            return entry[field] * part * part * part * part
+
+        return F.aggregate("_past", F.lit(0.0), lambda total, entry: total + one(entry))
 
     shrink = F.pow(F.lit(2.0), -since)
     return cut.select(
         *days.columns,
-        ((F.col("_lw") + shift("_one", "_bw") + shift("_two", "_bw")) * shrink).alias("weight"),
-        ((F.col("_ly") + shift("_one", "_by") + shift("_two", "_by")) * shrink).alias("weighted"),
+        ((F.col("_lw") + carried("_bw")) * shrink).alias("weight"),
+        ((F.col("_ly") + carried("_by")) * shrink).alias("weighted"),
     )
 
 

@@ -1,8 +1,8 @@
 """Order-dependent work on groups of any size.
 
 A plain window puts a whole group into one task, and adaptive execution does not split
-windows. So groups holding more than their share of the rows ("hot", at most one per
-range) are found first by a counting job. All others take one plain window. A hot group is
+windows. So groups with more rows than a task should hold ("hot") are found first by a
+counting job. All others take one plain window. A hot group is
 cut into ranges of its order key; each range is summed in its own task and the range
 totals, one row per range, are carried forward. The answer is exact either way.
 """
@@ -96,7 +96,7 @@ def prefix_totals(
     ``(group, order)`` must be unique and ``group`` without nulls. Few huge groups are fine:
     no task gets more than one range of one group. When ``df`` is an aggregate, the range
     bounds can be sampled from the rows below it (``sample_from``), which spares running the
-    aggregate again; copies only make the ranges smaller.
+    aggregate again; with many copies of a key the ranges get coarser.
     """
     fold, meet, empty = COMBINE[how]
     ranges = ranges or range_count(df.sparkSession)
@@ -121,21 +121,18 @@ def prefix_totals(
 
 
 def find_hot(df: DataFrame, group: list[str], min_rows: int | None = None) -> DataFrame | None:
-    """Keys of groups with more than ``rows / ranges`` rows, numbered as ``_hot``; or None.
+    """Keys of groups with more than ``min_rows`` rows, numbered as ``_hot``; or None.
 
     Runs one counting job now, like a sort samples its input: the plan depends on the
-    outcome. By counting, at most ``ranges`` groups qualify, so the keys fit anywhere.
-    ``min_rows`` is the size below which a group is never hot.
+    outcome. The limit is rows in a task, whatever the input: a million rows yield at most one
+    hot key, so the keys are few next to the data.
     """
-    ranges = range_count(df.sparkSession)
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
+    limit = MIN_HOT_ROWS if min_rows is None else min_rows
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    seen = counts.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("biggest")).first()
-    limit = max(floor, (seen["total"] or 0) / ranges)
-    if (seen["biggest"] or 0) <= limit:
-        return None
     keys = counts.where(F.col("_rows") > limit).select(*group)
     numbered = [(*key, i) for i, key in enumerate(keys.collect())]
+    if not numbered:
+        return None
     return df.sparkSession.createDataFrame(
         numbered, StructType([*keys.schema.fields, StructField("_hot", IntegerType())])
     )
@@ -284,7 +281,15 @@ def top_rows(
     """First ``k`` rows of each group.
 
     Spark puts a partial group limit below the exchange, so a task sends at most ``k``
-    rows of any group and a hot group never travels whole.
+    rows of any group and a hot group never travels whole. It does so up to the ``k`` of its
+    ``windowGroupLimitThreshold``; for a larger one the rows of a group are first cut to ``k``
+    in each of many parts, found by a hash.
     """
-    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return df.withColumn(name, place).where(F.col(name) <= k)
+    session = df.sparkSession
+    own = W.partitionBy(*group).orderBy(*order)
+    if k > int(session.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(range_count(session)))
+        cut = W.partitionBy(*group, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_cut", F.row_number().over(cut))
+        df = df.where(F.col("_cut") <= k).drop("_part", "_cut")
+    return df.withColumn(name, F.row_number().over(own)).where(F.col(name) <= k)

@@ -17,16 +17,20 @@ def scan_csv(
     """CSV with a header, read by column name under declared types; nothing is inferred.
 
     CSV schemas bind by position, so the header gives the order and files may hold more
-    columns than the schema names. Only the asked ones are parsed; bad text raises.
+    columns than the schema names. All files under one path share an order: each one's own
+    header is compared with it when it is read, and a file that differs raises instead of being
+    misread; such files are read as paths of their own. Only the asked columns are parsed; bad
+    text raises.
     """
     wanted = columns or schema.fieldNames()
     header = spark.read.csv(path, header=True).columns
     missing = sorted(set(wanted) - set(header))
     if missing:
-        raise ValueError(f"{path} lacks columns {missing}")
+        raise ValueError(f"{path} has columns {header} but not {missing}")
     types = {field.name: field.dataType for field in schema.fields}
     full = StructType([StructField(name, types.get(name, StringType())) for name in header])
-    return spark.read.schema(full).csv(path, header=True, mode="FAILFAST").select(*wanted)
+    read = spark.read.schema(full).options(header=True, mode="FAILFAST", enforceSchema=False)
+    return read.csv(path).select(*wanted)
 
 
 def union_logs(*logs: DataFrame) -> DataFrame:
@@ -100,6 +104,40 @@ def load_impressions(
     return add_row_id(frame, order_cols, unique) if order_cols else frame
 
 
+def load_log(
+    spark: SparkSession,
+    paths: list[str],
+    videos: DataFrame,
+    order_cols: list[str],
+    splits=SPLITS,
+    schema: StructType = LOG_SCHEMA,
+    columns: list[str] | None = None,
+    details: tuple[str, ...] = ("author_id", "tab", "duration_ms"),
+    check: DataFrame | None = None,
+    check_columns: tuple[str, ...] = ("user_id", "video_id"),
+    **source,
+) -> DataFrame:
+    """Logs ready for use: rows numbered within their split, with the columns of the video table.
+
+    ``videos`` has one row per ``video_id``; of it ``details`` and ``tag`` are looked up (misses:
+    null, and ``UNK`` for the tag). With ``check``, another copy of the same rows, a row on which
+    ``check_columns`` differ, or that one of them lacks, raises.
+    """
+    rows = load_impressions(spark, paths, schema, splits, columns, order_cols, **source)
+    held = [c for c in details if c not in rows.columns and c in videos.columns]
+    missing = sorted(set(details) - set(rows.columns) - set(held))
+    if missing:
+        raise ValueError(f"neither the logs nor the video table have {missing}")
+    rows = lookup(rows, videos, "video_id", held, default=None, checked=True) if held else rows
+    if "tag" in videos.columns and "tag" not in rows.columns:
+        rows = lookup(rows, videos, "video_id", ["tag"])
+    if check is not None:
+        found = reconcile(rows, check, columns=check_columns).limit(3).collect()
+        if found:
+            raise ValueError(f"the two copies of the log differ, e.g. {[r.asDict() for r in found]}")
+    return rows
+
+
 def admit(
     df: DataFrame, source_log: str = "standard", max_date: int | None = None, date: str = "date"
 ) -> DataFrame:

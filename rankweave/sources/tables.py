@@ -111,9 +111,9 @@ def line_impressions(
 
 
 def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``customer`` in the shape of the user side table. The loss-making ones are left out,
-    so that some impressions find no profile."""
-    c = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
+    """``customer`` in the shape of the user side table, under even user ids: users with an odd
+    one have no profile."""
+    c = table(spark, sf_dir, "customer")
     key, bal = F.col("c_custkey"), F.col("c_acctbal")
     derived = {
         "user_active_degree": F.col("c_mktsegment"),
@@ -130,16 +130,16 @@ def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "register_days": F.when(F.col("c_nationkey") < 5, "n/a").otherwise((key + 30).cast("string")),
     }
     return c.select(
-        key.cast("string").alias("user_id"),
+        (key * 2).cast("string").alias("user_id"),
         *[derived[n].alias(n) for n in (*USER_CATEGORICAL, *USER_NUMERIC)],
     )
 
 
 def part_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``part`` in the shape of the video side table, without the economy parts."""
-    p = table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'")
+    """``part`` in the shape of the video side table, under even video ids."""
+    p = table(spark, sf_dir, "part")
     return p.select(
-        F.col("p_partkey").cast("string").alias("video_id"),
+        (F.col("p_partkey") * 2).cast("string").alias("video_id"),
         F.col("p_type").alias("video_type"),
         F.col("p_brand").alias("upload_type"),
         (F.col("p_partkey") % 3).cast("string").alias("music_type"),
