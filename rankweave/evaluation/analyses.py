@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.sets import group_sizes
+from ..plans.ordering import find_hot
 from ..schemas import KEYS
-from .metrics import evaluate
+from .metrics import USER, evaluate
 
 
 def _rows(df: DataFrame, keys: list[str], parts: list[tuple]) -> DataFrame:
@@ -64,10 +65,11 @@ def attainable_range(
         "random": hash_score(seed),
     }
     lean = df.select(*KEYS, "user_id", label)
+    hot = find_hot(lean.where(F.col("split").isin(*splits)), USER, min_rows)  # the same rows thrice
     return reduce(
         lambda a, b: a.unionByName(b),
         [
-            evaluate(lean.withColumn("score", s), splits, label=label, min_rows=min_rows)
+            evaluate(lean.withColumn("score", s), splits, label=label, min_rows=min_rows, hot=hot)
             .withColumn("kind", F.lit(kind))
             for kind, s in kinds.items()
         ],
