@@ -188,30 +188,44 @@ def _cache(path: str) -> PieceCache:
     return PieceCache(ranks(path).encode)
 
 
-def _through(df: DataFrame, column: str, work, out: str, kind: str) -> DataFrame:
-    """All columns of `df`, whatever their names, and one that `work` makes of `column`."""
+def _through(df: DataFrame, column: str, work, out: dict[str, str]) -> DataFrame:
+    """All columns of `df`, whatever their names, and those that `work` makes of `column`."""
     names = [f"c{i}" for i in range(len(df.columns))]
     kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema)]
+    kinds += [f"{n} {k}" for n, k in zip(("made", "decoded"), out.values())]
     rows = df.select("*", F.col(column)).toDF(*names, "given")
-    return rows.mapInArrow(work, ", ".join([*kinds, f"made {kind}"])).toDF(*df.columns, out)
+    return rows.mapInArrow(work, ", ".join(kinds)).toDF(*df.columns, *out)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def _decoded(table: Ranks, ids: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of every text, of whose ids `begin` tells the first, and the total."""
+    data, token = table.decode(ids)
+    offsets = pa.py_buffer(token[begin].astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, offsets, pa.py_buffer(data)])
+
+
+def encode(
+    docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """`docs` with the ids of every whole text as an array column; null and empty give none.
 
     Each piece of the split pattern is merged by the ranks in `path`; no special tokens.
-    Distinct pieces are merged once a worker.
+    Distinct pieces are merged once a worker. `decoded` names one more column, of the bytes that
+    the ids stand for, made in the same pass.
     """
 
     def work(batches):
-        cache = _cache(path)
+        cache, table = _cache(path), ranks(path)
         for batch in chunks(batches, "given", CHUNK):
             raw, begin = cache.ids([t or "" for t in batch.column("given").to_pylist()])
-            ids = pa.array(np.frombuffer(raw, "<i4"))
-            made = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), ids)
-            yield with_columns(batch, ("given",), {"made": made})
+            ids = np.frombuffer(raw, "<i4")
+            made = {"made": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids))}
+            if decoded:
+                made["decoded"] = _decoded(table, ids, begin)
+            yield with_columns(batch, ("given",), made)
 
-    return _through(docs, text_col, work, out, "array<int>")
+    more = {decoded: "binary"} if decoded else {}
+    return _through(docs, text_col, work, {out: "array<int>", **more})
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -223,12 +237,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
             given = batch.column("given").fill_null([]) if batch.num_rows else None
             if given is None:
                 continue
-            data, begin = table.decode(given.flatten().to_numpy(zero_copy_only=False))
             offsets = given.offsets.to_numpy()
-            offsets = begin[offsets - offsets[0]].astype(np.int32)
-            made = pa.Array.from_buffers(
-                pa.binary(), len(given), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
-            )
+            made = _decoded(table, given.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
             yield with_columns(batch, ("given",), {"made": made})
 
-    return _through(df, ids_col, work, out, "binary")
+    return _through(df, ids_col, work, {out: "binary"})

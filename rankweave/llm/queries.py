@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import decode, encode
+from .byte_bpe import encode
 from .embedding_dedup import near_vectors
 from .language_id import fit_prototypes, identify, training_fold
 from .line_dedup import MIN_SITES, remove_boilerplate
@@ -108,8 +108,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path).select("doc_id", "ids")
-    both = decode(ids, path)
+    both = encode(docs, path, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -380,6 +380,8 @@ def test_encode_and_decode(odd, nothing):
         assert r["ids"] == plain.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
     assert byte_bpe.encode(nothing, RANKS).count() == 0
+    both = byte_bpe.encode(odd, RANKS, decoded="back").collect()
+    assert all(bytes(r["back"]) == (r["text"] or "").encode() for r in both)
 
 
 def test_decode_takes_nulls(spark):
