@@ -347,12 +347,33 @@ def generated_feature_same_row(spark, sf):
 def generated_keyed_feature(spark, sf):
     hist, imp = _halves(spark, sf)
 
-    def build(past, day):
+    def build(past, day, context):
         n, p = float(past["impressions"].sum()), float(past["positives"].sum())
-        return {"keyed_impressions": n, "keyed_rate": (p + 10.0) / (n + 20.0)}
+        s = context.params["smoothing"]
+        return {"keyed_impressions": n, "keyed_rate": (p + s / 2) / (n + s)}
 
     out = builder.apply_keyed_builder(
         hist, imp, build, ["user_id", "tag"], "keyed_impressions double, keyed_rate double",
-        ["date", "user_id", "tag", "long_view"],
+        ["date", "user_id", "tag", "long_view"], context=builder.BuildContext({"smoothing": 20.0}),
     )
     return _rounded(out, "keyed_rate")
+
+
+@query(
+    "generated_measure",
+    IMP + ", d AS (SELECT user_id, date, sum(duration_ms) AS w, count(*) AS n FROM hist GROUP BY ALL)"
+    " SELECT split, row_id, round(coalesce((SELECT sum(w)/sum(n) FROM d WHERE d.user_id=imp.user_id AND d.date < imp.date),"
+    " 0),4) AS mean_watched FROM imp",
+)
+def generated_measure(spark, sf):
+    """The user's earlier mean of a column that is no outcome count."""
+    hist, imp = _halves(spark, sf)
+
+    def build(past, day):
+        return {"mean_watched": float(past["watched"].sum()) / max(1.0, float(past["impressions"].sum()))}
+
+    out = builder.apply_keyed_builder(
+        hist, imp, build, ["user_id"], "mean_watched double", ["date", "user_id", "duration_ms"],
+        measures={"watched": F.sum("duration_ms")},
+    )
+    return _rounded(out, "mean_watched", places=4)

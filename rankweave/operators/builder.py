@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..evaluation.guards import require_lineage
@@ -15,6 +17,21 @@ from .history import _attach, check_alignment, daily_counts
 from .joins import reindex
 
 
+@dataclass(frozen=True)
+class BuildContext:
+    """What a builder may know besides its rows."""
+
+    params: dict = field(default_factory=dict)
+    date_column: str = "date"
+    label_column: str = "long_view"
+
+
+def _with_context(build, context: BuildContext):
+    """The builder itself, or, if it takes a third argument, with the context in it."""
+    taken = [p for p in inspect.signature(build).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+    return (lambda past, rows: build(past, rows, context)) if len(taken) > 2 else build
+
+
 def _contract(built, target: DataFrame, strict: bool) -> None:
     """Refuses a result that is no DataFrame, lacks the keys, or has other rows than asked."""
     if not isinstance(built, DataFrame):
@@ -41,10 +58,10 @@ def apply_builder(
     source_log: str = STANDARD,
     max_source_date: int | None = None,
     categorical=(),
-    date: str = "date",
     checked: bool = True,
+    context: BuildContext = BuildContext(),
 ) -> DataFrame:
-    """Runs ``build(history, target) -> DataFrame`` and ships its columns under lineage.
+    """Runs ``build(history, target[, context]) -> DataFrame`` and ships its columns under lineage.
 
     With a strictly-earlier scope it is called once per target date and sees only history
     before that date, whatever it does; rows it leaves out become null. Dates are days, so
@@ -53,6 +70,7 @@ def apply_builder(
     can work from that: each part then reads the small table.
     Other scopes get one call on everything and must return every row.
     """
+    date, build = context.date_column, _with_context(build, context)
     if scope == STRICTLY_EARLIER:
         days = sorted(r[0] for r in target.select(date).distinct().collect())
         parts = [
@@ -79,18 +97,21 @@ def apply_keyed_builder(
     source_log: str = STANDARD,
     max_source_date: int | None = None,
     categorical=(),
-    date: str = "date",
-    label: str = "long_view",
+    measures: dict[str, Column] | None = None,
+    context: BuildContext = BuildContext(),
 ) -> DataFrame:
     """A pandas builder that works key by key.
 
-    ``build(past, day) -> dict`` gets the key's daily counts of strictly earlier days and the
-    asked day, and returns the feature values named in ``schema``. History and questions are
+    ``build(past, day[, context]) -> dict`` gets the key's strictly earlier days and the asked
+    day, and returns the feature values named in ``schema``. A day has the counts of
+    :func:`~rankweave.operators.history.daily_counts` and the ``measures``, aggregates of any
+    columns of history (``{"watched": F.sum("play_time_ms")}``). History and questions are
     both reduced to one row per key and day before they are grouped, so a group never holds
     more rows than there are days; the answers are joined back to the rows.
     """
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    days = daily_counts(history, keys, label, date)
+    date, build = context.date_column, _with_context(build, context)
+    days = daily_counts(history, keys, context.label_column, date, measures)
     asked = target.select(*keys, date).distinct()
     names = fields.fieldNames()
     out = StructType([f for f in asked.schema.fields] + list(fields.fields))

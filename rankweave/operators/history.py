@@ -21,12 +21,15 @@ CARRIED_BLOCKS = 5
 
 
 def daily_counts(
-    df: DataFrame, keys: list[str], label: str = "long_view", date: str = "date"
+    df: DataFrame, keys: list[str], label: str = "long_view", date: str = "date",
+    measures: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Positives and rows per day and key set; null keys are a group of their own."""
+    """Positives and rows per day and key set, with any other aggregates; null keys are a group
+    of their own."""
     return df.groupBy(date, *keys).agg(
         F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("positives"),
         F.count(label).alias("impressions"),
+        *[value.alias(name) for name, value in (measures or {}).items()],
     )
 
 
