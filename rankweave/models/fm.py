@@ -122,43 +122,34 @@ class Shards:
         bias = self.rows.select("shard", F.lit(BIAS).alias("id"))
         wanted = used.unionByName(bias).select("shard", F.col("id").cast("long")).distinct()
         self.wanted = cut_lineage(wanted)
+        self.longest = self.rows.groupBy("shard").count().agg(F.max("count")).first()[0]
 
     def release(self) -> None:
         self.rows.unpersist()
 
-    def epoch(self, table: DataFrame, k: int, lr, l2, batch_size, steps, seed) -> tuple[DataFrame, int]:
-        """The parameter table after a pass, and the steps that the longest shard took."""
+    def epoch(self, table: DataFrame, k: int, lr, l2, batch_size, number, seed) -> DataFrame:
+        """The parameter table after a pass, the ``number``-th from 0."""
+        steps = number * -(-self.longest // batch_size)
         names = ["w", *_factors(k)]
         wide = [p + n for p in ("", "m_", "u_") for n in names]
-        schema = "id long, touched long, steps long, " + ", ".join(f"{n} double" for n in wide)
+        schema = "id long, touched long, " + ", ".join(f"{n} double" for n in wide)
         run = fm_epoch(names, lr, l2, batch_size, steps, seed)
         near = self.wanted.join(table, "id")
         trained = self.rows.groupBy("shard").cogroup(near.groupBy("shard")).applyInArrow(run, schema)
         # a parameter is the mean over its shards, by the rows that touched it
         merged = trained.groupBy("id").agg(
-            F.max("steps").alias("steps"),
             *[(F.sum(F.col(n) * F.col("touched")) / F.sum("touched")).alias(f"new_{n}") for n in wide],
         )
         both = table.join(merged, "id", "left")
-        out = cut_lineage(
-            both.select(
-                "id", *[F.coalesce(f"new_{n}", n).alias(n) for n in wide],
-                F.coalesce("steps", F.lit(0)).alias("steps"),
-            )
-        )
-        return out.drop("steps"), int(out.agg(F.max("steps")).first()[0])
-
-
-def _split_bias(table: DataFrame, k: int) -> tuple[DataFrame, float]:
-    plain = table.select("id", "w", *_factors(k))
-    return plain.where(F.col("id") != BIAS), float(plain.where(F.col("id") == BIAS).first()["w"])
+        return cut_lineage(both.select("id", *[F.coalesce(f"new_{n}", n).alias(n) for n in wide]))
 
 
 @dataclass
 class FmModel:
+    """Parameters by id; the bias is the weight of id -1, whose factors are 0."""
+
     encoder: SparseEncoder
     params: DataFrame
-    bias: float
     k: int
     history: list[float]
     raw: bool = False
@@ -171,8 +162,9 @@ class FmModel:
 
 def _scores(rows: DataFrame, model: FmModel) -> DataFrame:
     kept = [c for c in PREDICTION if c in rows.columns]
+    rows = rows.withColumn("ids", F.concat("ids", F.array(F.lit(BIAS))))
     logits = fm_logits(rows, kept, model.params, model.encoder.dimension, model.k)
-    z = F.col("z") + F.lit(model.bias)
+    z = F.col("z")
     return predictions(logits, z if model.raw else 1.0 / (1.0 + F.exp(-z)))
 
 
@@ -213,20 +205,18 @@ def fit_fm(
     if n == 0:
         raise RuntimeError(f"the train split of {len(features)} features has no rows to fit on")
     shards = Shards(train, n, shard_rows)
-    stop, hot, steps = Stopper(patience), hot_users(valid), 0
+    stop, hot = Stopper(patience), hot_users(valid)
     table = cut_lineage(start_table(df.sparkSession, enc.dimension, k, seed))
     try:
-        for epoch in range(1, epochs + 1):
-            table, taken = shards.epoch(table, k, lr, l2, batch_size, steps, seed * 1009 + epoch)
-            steps += taken
-            model = FmModel(enc, *_split_bias(table, k), k, [])
+        for epoch in range(epochs):
+            table = shards.epoch(table, k, lr, l2, batch_size, epoch, seed * 1009 + epoch)
+            model = FmModel(enc, table.select("id", "w", *_factors(k)), k, [])
             if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
                 break
     finally:
         shards.release()
         rows.unpersist()
-    best = stop.state
-    return FmModel(enc, best.params, best.bias, k, stop.seen)
+    return FmModel(enc, stop.state.params, k, stop.seen)
 
 
 def fit_fm_pairwise(
@@ -251,17 +241,15 @@ def fit_fm_pairwise(
     """
     base = base or fit_fm(df, features, k=k, l2=l2, seed=seed, **fm)
     k, enc = base.k, base.encoder
-    spark = df.sparkSession
-    bias = spark.createDataFrame([(BIAS, base.bias, *[0.0] * k)], base.params.schema)
-    table = cut_lineage(adam_table(base.params.unionByName(bias), k))
+    table = cut_lineage(adam_table(base.params, k))
     rows = _encoded(df, enc, features)
     train, valid = train_rows(rows), rows.where(F.col("split") == "valid")
-    as_model = lambda t: FmModel(enc, *_split_bias(t, k), k, [], raw=True)
-    stop, hot, steps = Stopper(pairwise_patience), hot_users(valid), 0
+    as_model = lambda t: FmModel(enc, t.select("id", "w", *_factors(k)), k, [], raw=True)
+    stop, hot = Stopper(pairwise_patience), hot_users(valid)
     start = as_model(table)
     stop.offer(primary_of(_scores(valid, start), hot=hot), start)
     ids = train.select("row_id", "ids")
-    for epoch in range(1, pairwise_epochs + 1):
+    for epoch in range(pairwise_epochs):
         drawn = same_user_pairs(train, pairs_per_user, seed=seed * 1009 + epoch)
         pairs = (
             drawn.select(F.col("pos_row").alias("row_id"), "neg_row")
@@ -274,12 +262,10 @@ def fit_fm_pairwise(
         if count == 0:
             raise RuntimeError("no user has both a positive and a negative training row")
         shards = Shards(pairs, count, shard_rows)
-        table, taken = shards.epoch(table, k, pairwise_lr, l2, pair_batch, steps, seed * 1009 + epoch)
-        steps += taken
+        table = shards.epoch(table, k, pairwise_lr, l2, pair_batch, epoch, seed * 1009 + epoch)
         shards.release()
         model = as_model(table)
         if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
             break
     rows.unpersist()
-    best = stop.state
-    return FmModel(enc, best.params, best.bias, k, stop.seen, raw=True)
+    return FmModel(enc, stop.state.params, k, stop.seen, raw=True)

@@ -105,7 +105,7 @@ def fm_epoch(names: list[str], lr: float, l2: float, batch_size: int, steps: int
             if paired:
                 gradient[bias] = 0.0
             adam.step(gradient)
-        columns = {"id": known, "touched": touched, "steps": np.full(len(known), adam.steps - steps)}
+        columns = {"id": known, "touched": touched}
         for prefix, values in (("", adam.values), ("m_", adam.first), ("u_", adam.second)):
             columns.update({prefix + n: values[:, i] for i, n in enumerate(names)})
         return pa.table(columns)

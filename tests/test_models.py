@@ -71,7 +71,7 @@ def test_vocabularies_stay_exact(spark):
     df = df.unionByName(df.where("row_id < 300").withColumn("split", F.lit("valid")))
     model = fm.fit_fm(df, ["cat_item"], k=1, epochs=1, batch_size=1 << 14)
     assert model.encoder.hashed is None and model.encoder.dimension == 40_001
-    assert model.params.count() == 40_001
+    assert model.params.count() == 40_002  # and the bias
 
 
 def test_local_steps_are_adam():
