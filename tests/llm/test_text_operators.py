@@ -298,6 +298,17 @@ def test_fuzzy_passage(spark):
     assert found["words"] >= 75
 
 
+def test_chain_over_a_gap_is_parted():
+    """Two equal runs in different surroundings, near enough to be chained."""
+    from .conftest import invented
+
+    one, two, here, there = (invented(s, n) for s, n in ((31, 45), (32, 45), (33, 30), (34, 30)))
+    a, b = f"{one} {here} {two}", f"{one} {there} {two}"
+    anchors = [(0, 0), (len(f"{one} {here} ".encode()), len(f"{one} {there} ".encode()))]
+    found = passages.aligned(a.encode(), b.encode(), anchors, 8, 36, 0.9)
+    assert sorted(f[4] for f in found) == [45, 45]
+
+
 def test_chain_is_the_best(spark):
     rng = random.Random(8)
     for _ in range(200):
