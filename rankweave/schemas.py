@@ -95,6 +95,11 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 
+#: a log with the exposure's tab and the video's length beside the outcomes
+READY_SCHEMA = T.StructType(
+    [*LOG_SCHEMA.fields, T.StructField("tab", T.StringType()), T.StructField("duration_ms", T.LongType())]
+)
+
 USER_SCHEMA = T.StructType(
     [
         T.StructField("user_id", T.StringType()),

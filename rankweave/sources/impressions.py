@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..plans.ordering import prefix_totals
-from ..schemas import LOG_SCHEMA, SPLITS, TRAIN_END, USER_SCHEMA, VIDEO_SCHEMA
+from ..schemas import LOG_SCHEMA, READY_SCHEMA, SPLITS, TRAIN_END, USER_SCHEMA, VIDEO_SCHEMA
 
 
 def scan_csv(
@@ -110,7 +110,7 @@ def load_log(
     videos: DataFrame,
     order_cols: list[str],
     splits=SPLITS,
-    schema: StructType = LOG_SCHEMA,
+    schema: StructType = READY_SCHEMA,
     columns: list[str] | None = None,
     details: tuple[str, ...] = ("author_id", "tab", "duration_ms"),
     check: DataFrame | None = None,
@@ -119,8 +119,8 @@ def load_log(
 ) -> DataFrame:
     """Logs ready for use: rows numbered within their split, with the columns of the video table.
 
-    ``videos`` has one row per ``video_id``; of it ``details`` and ``tag`` are looked up (misses:
-    null, and ``UNK`` for the tag). With ``check``, another copy of the same rows, a row on which
+    ``videos`` has one row per ``video_id``; those of the ``details`` that the logs lack are
+    looked up in it, and the ``tag`` (misses: null, and ``UNK`` for the tag). With ``check``, another copy of the same rows, a row on which
     ``check_columns`` differ, or that one of them lacks, raises.
     """
     rows = load_impressions(spark, paths, schema, splits, columns, order_cols, **source)
@@ -153,8 +153,9 @@ def load_users(spark: SparkSession, path: str) -> DataFrame:
     return scan_csv(spark, path, USER_SCHEMA)
 
 
-def load_videos(spark: SparkSession, path: str) -> DataFrame:
-    return scan_csv(spark, path, VIDEO_SCHEMA)
+def load_videos(spark: SparkSession, path: str, more: tuple[str, ...] = ("author_id",)) -> DataFrame:
+    """The video side table, with ``more`` of its columns as text."""
+    return scan_csv(spark, path, VIDEO_SCHEMA, [*more, *VIDEO_SCHEMA.fieldNames()])
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
