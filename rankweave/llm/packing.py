@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,9 +35,9 @@ def _tokens(path: str) -> PieceCache:
 
     def encode(pieces: list[bytes]) -> list[bytes]:
         found = tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
-    return PieceCache(encode)
+    return PieceCache(encode, 1 << 20)
 
 
 def token_pieces(
