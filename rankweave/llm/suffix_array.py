@@ -5,22 +5,27 @@ from __future__ import annotations
 import numpy as np
 
 
+#: see `suffix_array`
+RICH = 64
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes in order.
 
     `text` holds whole numbers; its last entry must be smaller than any other. Suffixes are
     classified as smaller or larger than their right neighbour; the substrings between
     leftmost-smaller positions are sorted by one round of induction and named; if names repeat,
-    the string of names is sorted by recursion, or, when under a quarter of it is not yet told
-    apart, by settling those alone; a second round of induction gives the rest.
+    the string of names is sorted by recursion; a second round of induction gives the rest. A
+    string of names with a rich alphabet (a name for every `RICH` places) is settled by doubling
+    instead: its buckets are too short to be read in whole-array steps.
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, dtype=np.int64)
+        return np.zeros(1, dtype=np.int32)
     used, s = np.unique(text, return_inverse=True) if text.dtype.itemsize > 2 else _dense(text)
     sigma = len(used)
     smaller = _smaller(s)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     guess = lms[np.argsort(s[lms], kind="stable")]
     rough = _induce(s, sigma, smaller, guess)
     is_lms = np.zeros(n, dtype=bool)
@@ -30,9 +35,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         where = np.zeros(n, dtype=np.int32)
         where[order] = names
-        alone = np.bincount(names)[names] == 1
-        few = 4 * np.count_nonzero(~alone) < len(lms)
-        order = lms[(_settle if few else suffix_array)(where[lms])]
+        rich = RICH * int(names[-1]) > len(lms)
+        order = lms[(_settle if rich else suffix_array)(where[lms])]
     return _induce(s, sigma, smaller, order)
 
 
@@ -68,7 +72,7 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _settle(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names most of which occur once (the last one does).
+    """Order of the suffixes of a string of names; its last one occurs once.
 
     Ranks double in reach each round; only suffixes that share a rank are sorted again.
     """
@@ -81,7 +85,7 @@ def _settle(names: np.ndarray) -> np.ndarray:
     while len(open_):
         items = order[open_]
         low, high = rank[items], rank[items + reach]
-        by = np.lexsort((high, low))
+        by = np.argsort(low * len(names) + high)
         items, low, high = items[by], low[by], high[by]
         order[open_] = items
         new = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
@@ -96,8 +100,9 @@ def _induce(s: np.ndarray, sigma: int, smaller: np.ndarray, seeds: np.ndarray) -
     larger = _sweep(s, sigma, ~smaller, seeds)
     last = np.arange(len(s)) == len(s) - 1
     down = _sweep(sigma - 1 - s, sigma, smaller & ~last, larger[::-1])
-    both = np.concatenate((larger, [len(s) - 1], down[::-1]))
-    return both[np.argsort(s[both], kind="stable")]
+    both = np.concatenate((larger, np.array([len(s) - 1], dtype=np.int32), down[::-1]))
+    letter = s[both].astype(np.uint16) if sigma < 1 << 16 else s[both]
+    return both[np.argsort(letter, kind="stable")]
 
 
 def _sweep(s: np.ndarray, sigma: int, movable: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -110,12 +115,18 @@ def _sweep(s: np.ndarray, sigma: int, movable: np.ndarray, seeds: np.ndarray) ->
     size = np.bincount(s[movable], minlength=sigma)
     start = np.concatenate(([0], np.cumsum(size)))
     head = start[:-1].copy()
-    out = np.zeros(start[-1], dtype=np.int64)
+    out = np.zeros(start[-1], dtype=np.int32)
     seeded = np.concatenate(([0], np.cumsum(np.bincount(s[seeds], minlength=sigma))))
+    # where a suffix goes when its right neighbour is read: its letter, or -1; or the same run
+    edge = s[:-1] != s[1:]
+    goes = np.full(len(s), -1, dtype=np.int32)
+    goes[:-1][movable[:-1] & edge] = s[:-1][movable[:-1] & edge]
+    runs = np.zeros(len(s), dtype=bool)
+    runs[:-1] = movable[:-1] & ~edge
     # the lowest bucket that a bucket induces into
-    reach = np.full(sigma, sigma, dtype=np.int64)
-    move = np.flatnonzero(movable[:-1] & (s[:-1] != s[1:]))
-    np.minimum.at(reach, s[move + 1], s[move].astype(np.int64))
+    reach = np.full(sigma, sigma, dtype=np.int32)
+    move = np.flatnonzero(goes >= 0)
+    np.minimum.at(reach, s[move + 1], goes[move])
     low, width = 0, 64
     while low < sigma:
         bound = np.minimum.accumulate(reach[low : low + width])
@@ -127,21 +138,23 @@ def _sweep(s: np.ndarray, sigma: int, movable: np.ndarray, seeds: np.ndarray) ->
         total = int(fill.sum())
         wave = out[_ramp(start[low:high], fill, total)]
         while len(wave):
-            wave = wave[wave > 0] - 1
-            wave = wave[movable[wave] & (s[wave] == s[wave + 1])]
+            # place -1 is the last entry, which never moves
+            wave = wave - 1
+            wave = wave[runs[wave]]
             if len(wave):
                 _append(out, head, wave, s[wave])
         own, extra = out[start[low] : start[high]], seeds[seeded[low] : seeded[high]]
         if high == low + 1 or not len(extra) or not len(own):
             read = np.concatenate((own, extra))
         else:
-            read = np.zeros(len(own) + len(extra), dtype=np.int64)
+            read = np.zeros(len(own) + len(extra), dtype=np.int32)
             read[np.arange(len(own)) + seeded[s[own]] - seeded[low]] = own
             read[np.arange(len(extra)) + start[s[extra] + 1] - start[low]] = extra
-        read = read[read > 0] - 1
-        read = read[movable[read] & (s[read] != s[read + 1])]
+        read = read - 1
+        letter = goes[read]
+        there = letter >= 0
+        read, letter = read[there], letter[there]
         if len(read):
-            letter = s[read]
             order = np.argsort(letter.astype(np.uint16) if sigma < 1 << 16 else letter, kind="stable")
             _append(out, head, read[order], letter[order])
         low = high
@@ -158,6 +171,12 @@ def _append(out: np.ndarray, head: np.ndarray, items: np.ndarray, letters: np.nd
     first = np.concatenate(([0], np.flatnonzero(letters[1:] != letters[:-1]) + 1))
     run = np.diff(first, append=len(letters))
     which = letters[first]
+    if len(items) > 32 * len(which):
+        at = head[which].tolist()
+        for h, f, n in zip(at, first.tolist(), run.tolist()):
+            out[h : h + n] = items[f : f + n]
+        head[which] += run
+        return
     out[np.repeat(head[which] - first, run) + np.arange(len(items))] = items
     head[which] += run
 

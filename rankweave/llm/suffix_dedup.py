@@ -16,12 +16,12 @@ from .suffix_array import repeated_starts
 
 #: bytes of a string that counts as repeated
 WIDTH = 400
-#: bytes of the anchor that picks a string's shard
-ANCHOR = 32
+#: bytes of the anchor that picks a string's shard; longer than most lines that many texts share
+ANCHOR = 128
 #: string starts looked at in one step
 STEP = 1 << 20
 #: bytes of one suffix array; an anchor with more different text goes another way
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: bytes of text worked on at once
 CHUNK = 4 << 20
 
