@@ -15,23 +15,28 @@ from ..session import cut_lineage
 PAIRS = 1 << 18
 
 
-def deal(rows: DataFrame, keys: list[str], node: str, block: int) -> DataFrame:
-    """`rows` dealt out so that any two members of a bucket meet, sorted by bucket.
-
-    A bucket of up to `block` members is one group. A larger one is cut into blocks by a hash of
-    `node`, and every two blocks (`lo`, `hi`) are a group; `own` says which a row is of. No
-    group holds more than about twice `block` rows.
+def deal(
+    members: DataFrame, payload: DataFrame, keys: list[str], node: str, block: int
+) -> DataFrame:
+    """The members of all buckets of two or more, so dealt out that any two of a bucket meet.
+
+    `members` says which `node` is in which bucket (`keys`); `payload` has one row a node, which
+    is joined to the members that have company only. A bucket of up to `block` members is one
+    group. A larger one is cut into blocks by a hash of `node`, and every two blocks (`lo`, `hi`)
+    are a group; `own` says which a row is of. No group holds more than about twice `block`
+    rows. Rows come sorted by bucket and group.
     """
-    hot = rows.groupBy(*keys).count().where(F.col("count") > block)
-    hot = cut_lineage(hot.select(*keys, F.ceil(F.col("count") / block).cast("int").alias("parts")))
-    dealt = rows.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sizes = members.groupBy(*keys).count().where("count > 1")
+    sizes = cut_lineage(sizes.select(*keys, F.ceil(F.col("count") / block).cast("int").alias("parts")))
+    dealt = members.select(*keys, node).join(sizes, keys)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(
         "*", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")
     ).drop("with", "parts")
     group = [*keys, "lo", "hi"]
-    return dealt.repartition(*group).sortWithinPartitions(*group, "own", node)
+    whole = dealt.join(payload, node)
+    return whole.repartition(*group).sortWithinPartitions(*group, "own", node)
 
 
 def gathered(

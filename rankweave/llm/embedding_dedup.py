@@ -38,13 +38,18 @@ def plan_tables(vectors: int, threshold: float, recall: float) -> tuple[int, int
     """(bits of a code, tables) for so many vectors.
 
     A rotated sign differs with the angle over pi. Bits grow with the logarithm of the vectors,
-    so that buckets keep their size, and the tables follow from the recall.
+    so that buckets keep their size (most hold one vector, which goes no further), and the
+    tables follow from the recall.
     """
     agree = 1 - math.acos(threshold) / math.pi
-    bits = min(26, max(8, round(math.log2(max(vectors, 2))) - 4))
+    bits = min(26, max(8, round(math.log2(max(vectors, 2))) - 2))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def codes(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """A code of `bits` signs for every vector and table."""
     n, d = unit.shape
@@ -108,7 +113,7 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
     """(node, links, other): links of a class found in one bucket, and a class it hangs under.
 
     `classes` has node, grp (only equal ones are compared), size (equal vectors), vector. Every
-    vector goes to one bucket a table; the vectors of a bucket are compared where they meet: the
+    vector goes to one bucket a table, and is sent to those that hold another one; there the
     binary codes estimate each inner product, and pairs that may reach the threshold are
     computed in double precision. A pair counts in the first table in which it meets. Each
     bucket sends one row a vector, not its pairs. A bucket of more than `block` vectors is dealt
@@ -116,30 +121,25 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
     """
     bits, tables = plan_tables(classes.count(), threshold, recall)
 
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
+
     def spread(batches):
         for batch in batches:
             for d in set(batch.column("dim").to_pylist()):
                 part = batch.filter(pc.equal(batch.column("dim"), d))
                 flat = part.column("vector").flatten().to_numpy(zero_copy_only=False)
-                rows = flat.astype(np.float64).reshape(-1, d)
-                unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-                code = codes(unit, bits, tables)
-                n = len(unit)
+                code = codes(_unit(flat.astype(np.float64).reshape(-1, d)), bits, tables)
+                n = part.num_rows
                 take = pa.array(np.repeat(np.arange(n), tables))
-                wide = pa.array([c.astype("<i4").tobytes() for c in code], pa.binary()).take(take)
-                data = pa.array([u.tobytes() for u in unit], pa.binary()).take(take)
-                columns = [part.column(c).take(take) for c in ("node", "grp", "size", "dim")]
-                columns += [pa.array(np.tile(np.arange(tables, dtype=np.int32), n))]
-                columns += [pa.array(code.ravel()), wide, data]
-                yield pa.RecordBatch.from_arrays(
-                    columns, names=["node", "grp", "size", "dim", "tab", "code", "codes", "unit"]
-                )
+                columns = [part.column(c).take(take) for c in ("node", "grp", "dim")]
+                columns += [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(code.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "grp", "dim", "tab", "code"])
 
     keys = ["grp", "dim", "tab", "code"]
-    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    head = f"node {kinds['node']}, grp {kinds['grp']}, size long, dim int, tab int, code long"
-    near = classes.mapInArrow(spread, head + ", codes binary, unit binary")
-    dealt = deal(near, keys, "node", block)
+    near = classes.select("node", "grp", "dim", "vector").mapInArrow(
+        spread, f"node {kinds['node']}, grp {kinds['grp']}, dim int, tab int, code long"
+    )
+    dealt = deal(near, classes.select("node", "size", "vector"), keys, "node", block)
 
     def solve(rows, groups):
         dim = np.array(rows["dim"])
@@ -151,8 +151,8 @@ def vector_links(classes: DataFrame, threshold: float, recall: float, block: int
                 for s, m, e in groups
                 if dim[s] == d
             ]
-            unit = np.frombuffer(b"".join(rows["unit"][i] for i in pick), np.float64).reshape(-1, d)
-            code = np.frombuffer(b"".join(rows["codes"][i] for i in pick), "<i4").reshape(len(pick), -1)
+            unit = _unit(np.array([rows["vector"][i] for i in pick], dtype=np.float64))
+            code = codes(unit, bits, tables)
             size, table = np.array(rows["size"])[pick], np.array(rows["tab"])[pick]
             count, ends = np.zeros(len(pick)), []
             for a, b, all_a, all_b in _links(Sketch(unit), code, table, own, threshold):
@@ -203,7 +203,7 @@ def near_vectors(
     rows = table.select(
         F.col(id_col).alias("vec"),
         F.col(label_col).alias("grp"),
-        vector.alias("vector"),
+        F.col(vector_col).alias("vector"),
         F.coalesce(fine & some & F.col(label_col).isNotNull(), F.lit(False)).alias("fine"),
     )
     node = F.concat(

@@ -265,32 +265,27 @@ def minhash_groups(
     )
     margin = similarity - 4 * (similarity * (1 - similarity) / SIZE) ** 0.5
 
-    def spread(batches):
+    def sketch(batches):
         for batch in chunks(batches, "text", CHUNK):
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            hashes, start = shingle_hashes(raw)
+            hashes, start = shingle_hashes([t.encode() for t in batch.column("text").to_pylist()])
             rows = signatures(hashes, start)
             sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(start[:-1], start[1:])]
-            codes = np.zeros((len(raw), BANDS), dtype=np.uint64)
+            codes = np.zeros((len(rows), BANDS), dtype=np.uint64)
             for i in range(ROWS):
                 codes = _mix(codes + rows[:, i : BANDS * ROWS : ROWS])
-            take = pa.array(np.repeat(np.arange(len(raw)), BANDS))
-            columns = [batch.column(c).take(take) for c in ("node", "size")]
-            columns += [
-                pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(raw))),
-                pa.array(codes.ravel().view(np.int64)),
-                pa.array([r.tobytes() for r in rows], pa.binary()).take(take),
-                pa.array(sets, pa.binary()).take(take),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                columns, names=["node", "size", "band", "code", "signature", "shingles"]
-            )
+            columns = [batch.column("node"), batch.column("size")]
+            columns += [pa.array([r.tobytes() for r in rows], pa.binary())]
+            columns += [pa.array(sets, pa.binary()), pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "signature", "shingles", "codes"])
 
-    near = classes.select("node", "size", "text").mapInArrow(
-        spread, "node string, size long, band int, code long, signature binary, shingles binary"
-    )
     keys = ["band", "code"]
-    dealt = deal(near, keys, "node", block)
+    sketched = cut_lineage(
+        classes.select("node", "size", "text").mapInArrow(
+            sketch, "node string, size long, signature binary, shingles binary, codes array<long>"
+        )
+    )
+    near = sketched.select("node", F.posexplode("codes").alias("band", "code"))
+    dealt = deal(near, sketched.drop("codes"), keys, "node", block)
 
     def compare(batches):
         for rows, groups in gathered(batches, keys, 4 * block):
