@@ -45,10 +45,14 @@ def spread_lines(
     )
     clear = spread.where(F.col("sites") > min_sites * (1 + band)).select("line1", "line2")
     near = spread.where(F.col("sites") <= min_sites * (1 + band)).select("line1", "line2")
+    # distinct first, combined map-side: a hot line meets the join with one row a site
     exact = (
-        lines.join(near, ["line1", "line2"], "left_semi")
+        lines.where("site IS NOT NULL")
+        .select("line1", "line2", "site")
+        .distinct()
+        .join(near, ["line1", "line2"], "left_semi")
         .groupBy("line1", "line2")
-        .agg(F.count_distinct("site").alias("sites"))
+        .agg(F.count("*").alias("sites"))
         .where(F.col("sites") >= min_sites)
         .select("line1", "line2")
     )
