@@ -238,6 +238,23 @@ def minhash_groups(
 ) -> DataFrame:
     """(doc, n_links, component_id) for every row: near copies by shingle sets.
 
+    See `shingle_groups`.
+    """
+    groups = shingle_groups(docs, id_col, text_col, similarity, block)
+    return groups.select("doc", "n_links", "component_id")
+
+
+def shingle_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = SIMILARITY,
+    block: int = BLOCK,
+    words: int = WORDS,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(doc, the carried columns, root, n_links, component_id) for every row.
+
     Texts with equal words are one class. Signatures are cut into bands; classes that share a
     band meet there, the likeness of their signatures sorts out most pairs (those more than four
     standard deviations short), and the Jaccard similarity of the shingle sets decides the rest.
@@ -245,7 +262,7 @@ def minhash_groups(
     links. n_links counts the other rows linked. Texts without words are copies of each other.
     Null ids are ignored in the smallest id; repeated rows stay.
     """
-    words = F.filter(
+    parts = F.filter(
         F.split(
             F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")),
                         "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
@@ -253,8 +270,8 @@ def minhash_groups(
         ),
         lambda w: w != "",
     )
-    plain = docs.select(F.col(id_col).alias("doc"), F.array_join(words, " ").alias("text"))
-    keyed = plain.select("doc", "text", *text_key(F.col("text")))
+    plain = docs.select(F.col(id_col).alias("doc"), *carry, F.array_join(parts, " ").alias("text"))
+    keyed = plain.select("doc", *carry, "text", *text_key(F.col("text")))
     keyed = keyed.withColumn(
         "node", F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("key1", "key2")])
     ).drop("key1", "key2")
@@ -267,7 +284,8 @@ def minhash_groups(
 
     def sketch(batches):
         for batch in chunks(batches, "text", CHUNK):
-            hashes, start = shingle_hashes([t.encode() for t in batch.column("text").to_pylist()])
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            hashes, start = shingle_hashes(texts, words)
             rows = signatures(hashes, start)
             sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(start[:-1], start[1:])]
             codes = np.zeros((len(rows), BANDS), dtype=np.uint64)
@@ -322,11 +340,16 @@ def minhash_groups(
     labels = cut_lineage(
         tops.join(least, "root").join(counts, "node", "left").select(
             "node",
+            "root",
             (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
             "component_id",
         )
     )
-    return keyed.select("doc", "node").join(labels, "node").select("doc", "n_links", "component_id")
+    return (
+        keyed.select("doc", *carry, "node")
+        .join(labels, "node")
+        .select("doc", *carry, "root", "n_links", "component_id")
+    )
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:

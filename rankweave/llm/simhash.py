@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 from .common import fresh, text_key, with_columns
 from .components import connected_components
+from .minhash import shingle_groups
 
 BITS = 64
 SEED = 42
@@ -123,8 +124,19 @@ def simhash_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each SimHash group, all columns as they were.
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = SHINGLE,
+    similarity: float | None = None,
+) -> DataFrame:
+    """The row with the smallest id of each group of near copies, all columns as they were.
+
+    Without `similarity` the groups are those of `simhash_groups`, whose shingles have 3 words.
+    With it, texts are linked whose sets of shingles of `words` words have at least that
+    Jaccard similarity; candidates meet in bands of minima (`shingle_groups`; a pair of
+    similarity 0.8 meets with probability 0.99995), and the exact similarity decides.
 
     Null ids come last in that order, ties go by a hash of the text, and of rows with equal id
     and text one stays. Rows are found again by id and text together, so a group of copies, a
@@ -133,7 +145,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = [fresh(docs, f"mark{i}") for i in (1, 2, 3)]
     key = [c.alias(m) for c, m in zip([*text_key(F.col(text_col)), F.xxhash64(id_col)], marks)]
     marked = docs.select("*", *key)
-    groups = simhash_groups(marked, id_col, text_col, carry=tuple(marks))
+    if similarity is None:
+        if words != SHINGLE:
+            raise ValueError("other shingles need a similarity")
+        groups = simhash_groups(marked, id_col, text_col, carry=tuple(marks))
+    else:
+        groups = shingle_groups(
+            marked, id_col, text_col, similarity, words=words, carry=tuple(marks)
+        )
     lead = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc").isNull(), "doc", *marks)).alias("lead")
     )
