@@ -19,6 +19,8 @@ SIZE = 128
 #: 25 bands of 5: a pair of similarity 0.8 meets in one with probability 0.99995
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+#: two minima that differ have equal signatures with this probability
+CHANCE = 2.0**-16
 #: bytes of text, and shingles, worked on at once
 CHUNK = 2 << 20
 STEP = 1 << 12
@@ -84,10 +86,12 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
 
 
 def signatures(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A row of 16-bit minima for each text; a text without shingles has only 65535.
+    """A row of 16 bits of each minimum for each text; a text without shingles has only 65535.
 
     Each hash function is a x + b modulo 2^64, of which the upper bits count, with random odd a
-    and b: universal over the 32-bit shingle hashes x.
+    and b: universal over the 32-bit shingle hashes x. The whole minimum is mixed before it is
+    cut: the minimum of many hashes is small, so its own upper bits would be zero for any long
+    text. What is kept is uniform at any length; unequal minima agree with chance 2^-16.
     """
     _, factor, term = _random()
     out = np.full((len(start) - 1, SIZE), np.iinfo(np.uint64).max)
@@ -99,7 +103,9 @@ def signatures(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
         first = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
         who = part[first]
         out[who] = np.minimum(out[who], np.minimum.reduceat(values, first, axis=1).T)
-    return (out >> np.uint64(48)).astype(np.uint16)
+    cut = (_mix(out) >> np.uint64(48)).astype(np.uint16)
+    cut[np.diff(start) == 0] = np.iinfo(np.uint16).max
+    return cut
 
 
 def fingerprint_texts(texts: list[str | None]) -> np.ndarray:
@@ -114,8 +120,8 @@ def digits(rows: np.ndarray) -> list[str]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The share of equal minima, row by row: an estimate of the Jaccard similarity."""
-    return (a == b).mean(axis=1)
+    """An estimate of the Jaccard similarity, row by row: equal minima, less those equal by chance."""
+    return np.maximum(((a == b).mean(axis=1) - CHANCE) / (1 - CHANCE), 0.0)
 
 
 def edited(text: str, following: str) -> str:

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from rankweave.llm import simhash
+from rankweave.llm import minhash, simhash
 
 from .conftest import SCHEMA, invented
 from .test_url_vectors_minhash import jaccard, shingles
@@ -36,3 +37,22 @@ def test_near_copies_by_similarity(spark, words):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
     # groups of two bits leave many of them
     assert len(want) < simhash.drop_near_copies(df).count()
+
+
+@pytest.mark.parametrize("words", [30_000, 130_000])
+def test_long_texts_are_as_alike_as_they_are(words):
+    rng = np.random.default_rng(words)
+    own, other = (" ".join(map(str, rng.integers(0, 1 << 40, words))) for _ in range(2))
+    first = own.split(" ")
+    half = " ".join(first[: words // 2] + other.split(" ")[: words - words // 2])
+    rows = minhash.fingerprint_texts([own, other, half, own])
+    assert minhash.likeness(rows[:1], rows[1:2])[0] < 0.02
+    assert abs(minhash.likeness(rows[:1], rows[2:3])[0] - 1 / 3) < 0.17
+    assert minhash.likeness(rows[:1], rows[3:])[0] == 1.0
+    # the 16 bits are spread over their whole range
+    assert abs(rows[:2].mean() / 65535 - 0.5) < 0.1
+
+
+def test_texts_without_words_have_their_own_signature():
+    rows = minhash.fingerprint_texts([None, " ", "a"])
+    assert (rows[:2] == 65535).all() and minhash.likeness(rows[:1], rows[2:])[0] < 0.05
