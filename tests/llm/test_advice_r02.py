@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rankweave.llm import minhash, simhash
+from rankweave.llm import minhash, passages, simhash
 
 from .conftest import SCHEMA, invented
 from .test_url_vectors_minhash import jaccard, shingles
@@ -56,3 +56,17 @@ def test_long_texts_are_as_alike_as_they_are(words):
 def test_texts_without_words_have_their_own_signature():
     rows = minhash.fingerprint_texts([None, " ", "a"])
     assert (rows[:2] == 65535).all() and minhash.likeness(rows[:1], rows[2:])[0] < 0.05
+
+
+def test_fuzzy_passages_with_close_changes(spark):
+    rows, changes = [], [9, 10, 11, 12, 13]
+    for n, every in enumerate(changes * 6):
+        own = invented(9000 + n, 60).split(" ")
+        other = [w if i % every != every - 1 else f"z{i}" for i, w in enumerate(own)]
+        for side, words in enumerate((own, other)):
+            text = [invented(9100 + 2 * n + side, 50), " ".join(words), invented(9200 + 2 * n + side, 50)]
+            rows.append((2 * n + side, " ".join(text), "", ""))
+    got = passages.shared_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    # eight equal words are a seed, wherever they are; 36 equal ones are not asked for
+    assert {r["doc"]: r["class_id"] for r in got} == {r[0]: r[0] // 2 * 2 for r in rows}
+    assert all(r["n_links"] == 1 for r in got)
