@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import SparseEncoder, fit_sparse
@@ -22,6 +23,8 @@ from .local import fm_epoch
 BROADCAST_BYTES = 64 << 20
 #: rows trained in one task; a shard's parameters are those its rows touch
 SHARD_ROWS = 1 << 16
+#: steps of the batch size, over all shards together, between two averages
+ROUND_STEPS = 8
 #: spread of the factors at the start
 INIT_SPREAD = 0.01
 BIAS = -1
@@ -112,33 +115,58 @@ def start_table(spark, dimension: int, k: int, seed: int, spread: float = INIT_S
 
 
 class Shards:
-    """Training rows dealt into shards by a hash, with the parameter ids of each shard."""
+    """Training rows dealt into shards by a hash, with the parameter ids of each shard.
 
-    def __init__(self, rows: DataFrame, count: int, shard_rows: int):
+    One shard takes an epoch's steps of ``batch_size`` rows in order. Several take as many steps
+    together: each gives its part of a batch, and parameters are averaged after every
+    ``ROUND_STEPS`` steps. So an epoch has ``count / batch_size`` sequential steps at any size.
+    """
+
+    def __init__(self, rows: DataFrame, count: int, shard_rows: int, batch_size: int):
         self.parts = max(1, -(-count // shard_rows))
-        self.rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(self.parts)).cast("int")).persist()
+        self.batch_size, self.steps = batch_size, -(-count // batch_size)
+        self.rounds = -(-self.steps // ROUND_STEPS) if self.parts > 1 else 1
+        placed = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(self.parts)).cast("int"))
+        if self.rounds > 1:
+            drawn = F.pmod(F.xxhash64(F.lit("round"), "row_id"), F.lit(self.rounds)).cast("int")
+            # sorted, so that a round reads only its own batches of the cache
+            placed = placed.withColumn("round", drawn).sortWithinPartitions("round")
+        self.rows = placed.persist()
         ids = [F.explode(c).alias("id") for c in ("ids", "other") if c in rows.columns]
         used = reduce(DataFrame.unionByName, [self.rows.select("shard", i) for i in ids])
         bias = self.rows.select("shard", F.lit(BIAS).alias("id"))
         wanted = used.unionByName(bias).select("shard", F.col("id").cast("long")).distinct()
         self.wanted = cut_lineage(wanted)
-        self.longest = self.rows.groupBy("shard").count().agg(F.max("count")).first()[0]
 
     def release(self) -> None:
         self.rows.unpersist()
 
-    def epoch(self, table: DataFrame, k: int, lr, l2, batch_size, number, seed) -> DataFrame:
-        """The parameter table after a pass, the ``number``-th from 0."""
-        steps = number * -(-self.longest // batch_size)
+    def epoch(self, table: DataFrame, k: int, lr, l2, taken: int, seed) -> DataFrame:
+        """The parameter table after a pass; ``taken`` steps went before."""
+        if self.parts == 1:
+            return self._pass(self.rows, table, k, lr, l2, taken, seed)
+        order = np.random.default_rng(seed).permutation(self.rounds)
+        for n, number in enumerate(order.tolist()):
+            first, last = (i * self.steps // self.rounds for i in (n, n + 1))
+            own = self.rows.where(F.col("round") == number).drop("round") if self.rounds > 1 else self.rows
+            table = self._pass(own, table, k, lr, l2, taken + first, seed, last - first)
+        return table
+
+    def _pass(self, rows, table, k, lr, l2, steps, seed, count=None) -> DataFrame:
         names = ["w", *_factors(k)]
         wide = [p + n for p in ("", "m_", "u_") for n in names]
         schema = "id long, touched long, " + ", ".join(f"{n} double" for n in wide)
-        run = fm_epoch(names, lr, l2, batch_size, steps, seed)
+        run = fm_epoch(names, lr, l2, self.batch_size, steps, seed, count)
         near = self.wanted.join(table, "id")
-        trained = self.rows.groupBy("shard").cogroup(near.groupBy("shard")).applyInArrow(run, schema)
-        # a parameter is the mean over its shards, by the rows that touched it
+        trained = rows.groupBy("shard").cogroup(near.groupBy("shard")).applyInArrow(run, schema)
+        # a parameter is the mean over its shards, by the rows that touched it; one that no row of
+        # the round touched still moves by its moments, the same in all shards
+        seen = F.sum("touched")
         merged = trained.groupBy("id").agg(
-            *[(F.sum(F.col(n) * F.col("touched")) / F.sum("touched")).alias(f"new_{n}") for n in wide],
+            *[
+                F.when(seen > 0, F.sum(F.col(n) * F.col("touched")) / seen).otherwise(F.avg(n)).alias(f"new_{n}")
+                for n in wide
+            ],
         )
         both = table.join(merged, "id", "left")
         return cut_lineage(both.select("id", *[F.coalesce(f"new_{n}", n).alias(n) for n in wide]))
@@ -195,7 +223,8 @@ def fit_fm(
     Every epoch is one pass with steps of ``batch_size`` rows, followed by the valid primary;
     the best epoch is kept, and ``patience`` epochs without a gain end the fit. Vocabularies
     are exact at any size unless the caller asks for ``hashed`` slots a field. Beyond
-    ``shard_rows`` rows the shards train side by side and are averaged after each epoch.
+    ``shard_rows`` rows the shards share every step's rows and are averaged after every
+    ``ROUND_STEPS`` steps, so the number of sequential steps does not depend on the shards.
     """
     enc = encoder or fit_sparse(df, features, numeric_bins, hashed)
     rows = _encoded(df, enc, features)
@@ -204,12 +233,12 @@ def fit_fm(
     n = train.count()
     if n == 0:
         raise RuntimeError(f"the train split of {len(features)} features has no rows to fit on")
-    shards = Shards(train, n, shard_rows)
+    shards = Shards(train, n, shard_rows, batch_size)
     stop, hot = Stopper(patience), hot_users(valid)
     table = cut_lineage(start_table(df.sparkSession, enc.dimension, k, seed))
     try:
         for epoch in range(epochs):
-            table = shards.epoch(table, k, lr, l2, batch_size, epoch, seed * 1009 + epoch)
+            table = shards.epoch(table, k, lr, l2, epoch * shards.steps, seed * 1009 + epoch)
             model = FmModel(enc, table.select("id", "w", *_factors(k)), k, [])
             if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
                 break
@@ -249,6 +278,7 @@ def fit_fm_pairwise(
     start = as_model(table)
     stop.offer(primary_of(_scores(valid, start), hot=hot), start)
     ids = train.select("row_id", "ids")
+    taken = 0
     for epoch in range(pairwise_epochs):
         drawn = same_user_pairs(train, pairs_per_user, seed=seed * 1009 + epoch)
         pairs = (
@@ -261,8 +291,9 @@ def fit_fm_pairwise(
         count = pairs.count()
         if count == 0:
             raise RuntimeError("no user has both a positive and a negative training row")
-        shards = Shards(pairs, count, shard_rows)
-        table = shards.epoch(table, k, pairwise_lr, l2, pair_batch, epoch, seed * 1009 + epoch)
+        shards = Shards(pairs, count, shard_rows, pair_batch)
+        table = shards.epoch(table, k, pairwise_lr, l2, taken, seed * 1009 + epoch)
+        taken += shards.steps
         shards.release()
         model = as_model(table)
         if stop.offer(primary_of(_scores(valid, model), hot=hot), model):

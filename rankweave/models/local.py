@@ -1,4 +1,4 @@
-"""Mini-batch Adam inside a task, for parameters that are averaged between passes.
+"""Mini-batch Adam inside a task, for parameters that are averaged between passes or rounds of steps.
 
 Training rows are dealt into shards of bounded size by a hash. A pass over the rows takes
 optimizer steps of the caller's batch size in every shard at once, each on its own copy of the
@@ -60,12 +60,17 @@ def fm_gradient(size: int, ids: np.ndarray, pull: np.ndarray, own: np.ndarray, t
 
 def _ids(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name).combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    wide = -1 if len(column) else 0
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), wide)
 
 
-def fm_epoch(names: list[str], lr: float, l2: float, batch_size: int, steps: int, seed: int):
+def fm_epoch(
+    names: list[str], lr: float, l2: float, batch_size: int, steps: int, seed: int, count: int | None = None
+):
     """The pass of one shard: a function of its rows and its parameters.
 
+    Steps are of ``batch_size`` rows; with ``count`` there are so many of even size instead.
+
     Rows have ``row_id``, ``ids`` and either ``label`` (log loss) or ``other`` (the ids of a
     row that should score lower; logistic loss of the difference). The parameter id -1 is the
     bias; a difference leaves it alone.
@@ -87,9 +92,11 @@ def fm_epoch(names: list[str], lr: float, l2: float, batch_size: int, steps: int
         bias = int(np.searchsorted(known, -1))
         touched[bias] = len(ids)
         order = np.random.default_rng((seed, steps, len(ids))).permutation(len(ids))
-        for at in range(0, len(order), batch_size):
-            pick = order[at : at + batch_size]
-            if paired:
+        cuts = count or range(batch_size, len(order), batch_size)
+        for pick in np.array_split(order, cuts):
+            if not len(pick):
+                gradient = np.zeros_like(adam.values)
+            elif paired:
                 both = np.concatenate((ids[pick], other[pick]))
                 z, own, total = fm_parts(adam.values, both)
                 half = len(pick)
