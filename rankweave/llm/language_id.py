@@ -207,8 +207,14 @@ def training_fold(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang"
 ) -> DataFrame:
-    """`docs` without the rows in which no language is found (`und`); columns as they were."""
+    """`docs` without the rows in which no language is found (`und`); columns as they were.
+
+    Rejected are only null texts and those without a letter, whatever the cosine of the others.
+    Without a labelled row to learn from, the same rows go.
+    """
     model = fit_prototypes(training_fold(docs, id_col), text_col, label_col)
+    if model is None:
+        model = Prototypes(["any"], np.zeros((1, DIMENSIONS)), np.zeros(DIMENSIONS))
     label, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     found = identify(docs, model, text_col, label, score)
     return found.where(F.col(label) != UNKNOWN).select(docs.columns)

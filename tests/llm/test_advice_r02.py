@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rankweave.llm import minhash, passages, simhash
+from rankweave.llm import language_id, minhash, passages, simhash
 
 from .conftest import SCHEMA, invented
 from .test_url_vectors_minhash import jaccard, shingles
@@ -70,3 +70,10 @@ def test_fuzzy_passages_with_close_changes(spark):
     # eight equal words are a seed, wherever they are; 36 equal ones are not asked for
     assert {r["doc"]: r["class_id"] for r in got} == {r[0]: r[0] // 2 * 2 for r in rows}
     assert all(r["n_links"] == 1 for r in got)
+
+
+def test_unlabelled_corpus_keeps_texts_with_letters(spark):
+    texts = ["some words of a text", None, "12 34 !?", "", "ein anderer Text"]
+    rows = [(i, t, None, "s") for i, t in enumerate(texts)]
+    kept = language_id.keep_identified(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4]
