@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode
+from .decontamination import WIDTH, find_matches, words_hit
 from .embedding_dedup import near_vectors
 from .language_id import fit_prototypes, identify, training_fold
 from .line_dedup import MIN_SITES, remove_boilerplate
@@ -183,3 +184,53 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = F.array_union("passages.other", F.array("copy_of"))
     linked = F.array_sort(F.filter(others, lambda x: x != F.col("doc_id")))
     return found.withColumnRenamed("doc", "doc_id").withColumn("linked", linked)
+
+
+WORD_RUNS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+LEAKS = f"""
+WITH said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{WORD_RUNS}') AS words FROM documents
+), asked AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{WORD_RUNS}') AS words FROM benchmark
+), sized AS (
+  SELECT item_id, words, least(len(words), {WIDTH}) AS need FROM asked WHERE len(words) > 0
+), starts AS (
+  SELECT item_id, words, need, unnest(range(1, len(words) - need + 2)) AS pos FROM sized
+), windows AS (
+  SELECT DISTINCT item_id, need, array_to_string(words[pos:pos + need - 1], ' ') AS said FROM starts
+), needs AS (SELECT DISTINCT need FROM windows), places AS (
+  SELECT doc_id, words, need, unnest(range(1, len(words) - need + 2)) AS pos
+  FROM said, needs WHERE len(words) >= need
+), found AS (
+  SELECT DISTINCT p.doc_id, p.pos, p.need, w.item_id FROM places p
+  JOIN windows w ON w.need = p.need AND w.said = array_to_string(p.words[p.pos:p.pos + p.need - 1], ' ')
+), hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest(range(pos, pos + need)) AS place FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (
+    SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL)
+  GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit,
+       coalesce(i.n, 0) AS n_items, sha256(coalesce(i.listed, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AS contaminated
+FROM said s LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+
+@query("op11_decontamination", LEAKS)
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_matches(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    n_hit = words_hit(F.col("hit_spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
