@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode
+from .clustering import cluster_vectors
 from .decontamination import WIDTH, find_matches, words_hit
 from .embedding_dedup import near_vectors
 from .language_id import fit_prototypes, identify, training_fold
@@ -19,6 +20,8 @@ from .passages import shared_passages
 from .simhash import simhash_groups
 from .suffix_dedup import remove_repeats
 from .url_filter import Rule, host_and_path, judge_urls
+from .vector_codes import compress_vectors
+from .vector_sql import clustering_sql, vector_codes_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +237,13 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op12_centroid_clustering", clustering_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query("op13_vector_codes", vector_codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))[0].drop("label")
