@@ -1,30 +1,25 @@
 """Factorization machines: pointwise fit, and pairwise fine-tuning on same-user pairs.
 
-Parameters are a table ``(id, w, v0..)`` of any length; a pass over the rows is one job.
+Parameters are a table ``(id, w, v0..)`` of any length; see ``rounds`` for how it is trained.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import SparseEncoder, fit_sparse
 from ..operators.sets import same_user_pairs
 from ..session import cut_lineage
 from .common import PREDICTION, Stopper, even, hot_users, predictions, primary_of, train_rows
-from .local import fm_epoch
+from .losses import PairLoss, PointLoss
+from .rounds import ROUND_STEPS, SHARD_BATCH, Rounds, current, dense_rows, start_rows
 
 #: up to this many bytes of parameters are broadcast to score rows, more are joined
 BROADCAST_BYTES = 64 << 20
-#: rows trained in one task; a shard's parameters are those its rows touch
-SHARD_ROWS = 1 << 16
-#: steps of the batch size, over all shards together, between two averages
-ROUND_STEPS = 8
 #: spread of the factors at the start
 INIT_SPREAD = 0.01
 BIAS = -1
@@ -92,84 +87,9 @@ def pair_gradients(
     return grads, margins
 
 
-def adam_table(params: DataFrame, k: int) -> DataFrame:
-    """Adds zero first and second moments to a parameter table."""
-    names = ["w", *_factors(k)]
-    return params.select(
-        "*", *[F.lit(0.0).alias(f"{p}_{n}") for n in names for p in ("m", "u")]
-    )
-
-
-def start_table(spark, dimension: int, k: int, seed: int, spread: float = INIT_SPREAD) -> DataFrame:
-    """Parameters at the start: zero weights and bias, normal factors drawn from a hash."""
-    ids = spark.range(dimension).unionByName(spark.createDataFrame([(BIAS,)], "id long"))
-
-    def uniform(f, side):
-        drawn = F.xxhash64(F.lit(seed), F.lit(f), F.lit(side), F.col("id"))
-        return (F.pmod(drawn, F.lit(1 << 32)).cast("double") + 0.5) / float(1 << 32)
-
-    normal = lambda f: F.sqrt(-2.0 * F.log(uniform(f, 0))) * F.cos(2.0 * math.pi * uniform(f, 1))
-    factor = lambda f: F.when(F.col("id") == BIAS, 0.0).otherwise(spread * normal(f))
-    rows = ids.select("id", F.lit(0.0).alias("w"), *[factor(f).alias(f"v{f}") for f in range(k)])
-    return adam_table(rows, k)
-
-
-class Shards:
-    """Training rows dealt into shards by a hash, with the parameter ids of each shard.
-
-    One shard takes an epoch's steps of ``batch_size`` rows in order. Several take as many steps
-    together: each gives its part of a batch, and parameters are averaged after every
-    ``ROUND_STEPS`` steps. So an epoch has ``count / batch_size`` sequential steps at any size.
-    """
-
-    def __init__(self, rows: DataFrame, count: int, shard_rows: int, batch_size: int):
-        self.parts = max(1, -(-count // shard_rows))
-        self.batch_size, self.steps = batch_size, -(-count // batch_size)
-        self.rounds = -(-self.steps // ROUND_STEPS) if self.parts > 1 else 1
-        placed = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(self.parts)).cast("int"))
-        if self.rounds > 1:
-            drawn = F.pmod(F.xxhash64(F.lit("round"), "row_id"), F.lit(self.rounds)).cast("int")
-            # sorted, so that a round reads only its own batches of the cache
-            placed = placed.withColumn("round", drawn).sortWithinPartitions("round")
-        self.rows = placed.persist()
-        ids = [F.explode(c).alias("id") for c in ("ids", "other") if c in rows.columns]
-        used = reduce(DataFrame.unionByName, [self.rows.select("shard", i) for i in ids])
-        bias = self.rows.select("shard", F.lit(BIAS).alias("id"))
-        wanted = used.unionByName(bias).select("shard", F.col("id").cast("long")).distinct()
-        self.wanted = cut_lineage(wanted)
-
-    def release(self) -> None:
-        self.rows.unpersist()
-
-    def epoch(self, table: DataFrame, k: int, lr, l2, taken: int, seed) -> DataFrame:
-        """The parameter table after a pass; ``taken`` steps went before."""
-        if self.parts == 1:
-            return self._pass(self.rows, table, k, lr, l2, taken, seed)
-        order = np.random.default_rng(seed).permutation(self.rounds)
-        for n, number in enumerate(order.tolist()):
-            first, last = (i * self.steps // self.rounds for i in (n, n + 1))
-            own = self.rows.where(F.col("round") == number).drop("round") if self.rounds > 1 else self.rows
-            table = self._pass(own, table, k, lr, l2, taken + first, seed, last - first)
-        return table
-
-    def _pass(self, rows, table, k, lr, l2, steps, seed, count=None) -> DataFrame:
-        names = ["w", *_factors(k)]
-        wide = [p + n for p in ("", "m_", "u_") for n in names]
-        schema = "id long, touched long, " + ", ".join(f"{n} double" for n in wide)
-        run = fm_epoch(names, lr, l2, self.batch_size, steps, seed, count)
-        near = self.wanted.join(table, "id")
-        trained = rows.groupBy("shard").cogroup(near.groupBy("shard")).applyInArrow(run, schema)
-        # a parameter is the mean over its shards, by the rows that touched it; one that no row of
-        # the round touched still moves by its moments, the same in all shards
-        seen = F.sum("touched")
-        merged = trained.groupBy("id").agg(
-            *[
-                F.when(seen > 0, F.sum(F.col(n) * F.col("touched")) / seen).otherwise(F.avg(n)).alias(f"new_{n}")
-                for n in wide
-            ],
-        )
-        both = table.join(merged, "id", "left")
-        return cut_lineage(both.select("id", *[F.coalesce(f"new_{n}", n).alias(n) for n in wide]))
+def named(values: DataFrame, k: int) -> DataFrame:
+    """(id, w, v0..) from (id, p)."""
+    return values.select("id", F.col("p")[0].alias("w"), *[F.col("p")[i + 1].alias(v) for i, v in enumerate(_factors(k))])
 
 
 @dataclass
@@ -216,34 +136,36 @@ def fit_fm(
     numeric_bins: int = 32,
     hashed: int | None = None,
     encoder: SparseEncoder | None = None,
-    shard_rows: int = SHARD_ROWS,
+    round_steps: int = ROUND_STEPS,
+    shard_batch: int = SHARD_BATCH,
 ) -> FmModel:
     """Log-loss FM with mini-batch Adam on one-hot fields.
 
     Every epoch is one pass with steps of ``batch_size`` rows, followed by the valid primary;
     the best epoch is kept, and ``patience`` epochs without a gain end the fit. Vocabularies
-    are exact at any size unless the caller asks for ``hashed`` slots a field. Beyond
-    ``shard_rows`` rows the shards share every step's rows and are averaged after every
-    ``ROUND_STEPS`` steps, so the number of sequential steps does not depend on the shards.
+    are exact at any size unless the caller asks for ``hashed`` slots a field. A batch is shared
+    by ``batch_size / shard_batch`` shards, whose parameters are averaged every ``round_steps``
+    steps (see ``rounds``); a batch of fewer than two parts is plain sequential Adam. L2 is
+    charged when a row touches a parameter.
     """
     enc = encoder or fit_sparse(df, features, numeric_bins, hashed)
     rows = _encoded(df, enc, features)
     train = train_rows(rows).select("row_id", "ids", F.col("long_view").cast("double").alias("label"))
     valid = rows.where(F.col("split") == "valid")
-    n = train.count()
-    if n == 0:
-        raise RuntimeError(f"the train split of {len(features)} features has no rows to fit on")
-    shards = Shards(train, n, shard_rows, batch_size)
-    stop, hot = Stopper(patience), hot_users(valid)
-    table = cut_lineage(start_table(df.sparkSession, enc.dimension, k, seed))
+    spark = df.sparkSession
+    stop = Stopper(patience)
     try:
+        plan = Rounds(train, ["ids"], batch_size, 1, k + 1, round_steps, shard_batch)
+        start = start_rows(spark, enc.dimension, k + 1, seed, INIT_SPREAD)
+        plan.begin(start.unionByName(dense_rows(spark, [0.0], k + 1)))
+        hot = hot_users(valid)
         for epoch in range(epochs):
-            table = shards.epoch(table, k, lr, l2, epoch * shards.steps, seed * 1009 + epoch)
-            model = FmModel(enc, table.select("id", "w", *_factors(k)), k, [])
+            plan.epoch(PointLoss(), lr, l2, 0.0, seed * 1009 + epoch)
+            params = cut_lineage(named(current(plan.table(), plan.taken, lr, k + 1), k))
+            model = FmModel(enc, params, k, [])
             if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
                 break
     finally:
-        shards.release()
         rows.unpersist()
     return FmModel(enc, stop.state.params, k, stop.seen)
 
@@ -260,43 +182,47 @@ def fit_fm_pairwise(
     l2: float = 1e-6,
     seed: int = 0,
     k: int = 16,
-    shard_rows: int = SHARD_ROWS,
+    round_steps: int = ROUND_STEPS,
+    shard_batch: int = SHARD_BATCH,
     **fm,
 ) -> FmModel:
     """A pointwise fit, then Adam steps on the logit difference of same-user pairs.
 
-    Fresh pairs are drawn each epoch and taken in steps of ``pair_batch``; the bias cancels in
-    a difference and stays. The best valid primary is kept.
+    Fresh pairs are drawn each epoch, with the ids of both rows, and taken in steps of
+    ``pair_batch``; the bias cancels in a difference and stays. The best valid primary is kept.
     """
-    base = base or fit_fm(df, features, k=k, l2=l2, seed=seed, **fm)
+    base = base or fit_fm(
+        df, features, k=k, l2=l2, seed=seed, round_steps=round_steps, shard_batch=shard_batch, **fm
+    )
     k, enc = base.k, base.encoder
-    table = cut_lineage(adam_table(base.params, k))
+    width = k + 1
     rows = _encoded(df, enc, features)
     train, valid = train_rows(rows), rows.where(F.col("split") == "valid")
-    as_model = lambda t: FmModel(enc, t.select("id", "w", *_factors(k)), k, [], raw=True)
-    stop, hot = Stopper(pairwise_patience), hot_users(valid)
-    start = as_model(table)
+    values = F.array("w", *_factors(k), *[F.lit(0.0)] * (2 * width))
+    table = base.params.select("id", F.lit(0).cast("long").alias("at"), values.alias("s"))
+    stop, hot, taken = Stopper(pairwise_patience), hot_users(valid), 0
+    start = FmModel(enc, base.params, k, [], raw=True)
     stop.offer(primary_of(_scores(valid, start), hot=hot), start)
-    ids = train.select("row_id", "ids")
-    taken = 0
-    for epoch in range(pairwise_epochs):
-        drawn = same_user_pairs(train, pairs_per_user, seed=seed * 1009 + epoch)
-        pairs = (
-            drawn.select(F.col("pos_row").alias("row_id"), "neg_row")
-            .join(ids, "row_id")
-            .join(ids.select(F.col("row_id").alias("neg_row"), F.col("ids").alias("other")), "neg_row")
-            .select(F.xxhash64("row_id", "neg_row").alias("row_id"), "ids", "other")
-        )
-        pairs = cut_lineage(pairs)
-        count = pairs.count()
-        if count == 0:
-            raise RuntimeError("no user has both a positive and a negative training row")
-        shards = Shards(pairs, count, shard_rows, pair_batch)
-        table = shards.epoch(table, k, pairwise_lr, l2, taken, seed * 1009 + epoch)
-        taken += shards.steps
-        shards.release()
-        model = as_model(table)
-        if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
-            break
-    rows.unpersist()
+    try:
+        for epoch in range(pairwise_epochs):
+            drawn = same_user_pairs(train, pairs_per_user, seed=seed * 1009 + epoch, carry=("ids",))
+            pairs = cut_lineage(
+                drawn.select(
+                    F.xxhash64("pos_row", "neg_row").alias("row_id"),
+                    F.col("pos_ids").alias("ids"), F.col("neg_ids").alias("other"),
+                )
+            )
+            if pairs.isEmpty():
+                raise RuntimeError(f"none of the {train.select('user_id').distinct().count()} train users has rows of both outcomes")
+            plan = Rounds(pairs, ["ids", "other"], pair_batch, 0, width, round_steps, shard_batch)
+            plan.begin(table)
+            plan.epoch(PairLoss(), pairwise_lr, l2, 0.0, seed * 1009 + epoch, taken)
+            taken += plan.steps
+            table = plan.table()
+            params = cut_lineage(named(current(table, taken, pairwise_lr, width), k))
+            model = FmModel(enc, params, k, [], raw=True)
+            if stop.offer(primary_of(_scores(valid, model), hot=hot), model):
+                break
+    finally:
+        rows.unpersist()
     return FmModel(enc, stop.state.params, k, stop.seen, raw=True)

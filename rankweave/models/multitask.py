@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, functions as F
 
 from ..evaluation.guards import require_auxiliary
-from ..operators.encoders import SparseEncoder, fit_sparse, split_kinds
 from ..schemas import AUXILIARY_LABELS, KEYS
-from .common import even, predictions, probability, train_rows
+from .common import train_rows
+from .deep import NetworkModel, fit_network
 
 
 def task_labels(
@@ -31,66 +28,25 @@ def task_labels(
     )
 
 
-def _crossed(df: DataFrame, categorical: list[str]) -> DataFrame:
-    """Adds a per-task copy of each categorical."""
-    return df.withColumns({f"cat_{c}__task": F.concat_ws("|", "task", c) for c in categorical})
-
-
-@dataclass
-class MultitaskModel:
-    encoder: SparseEncoder
-    model: object
-    categorical: list[str]
-    label: str
-
-    def score(self, df: DataFrame) -> DataFrame:
-        """Scores of the main task only."""
-        rows = _crossed(df.withColumn("cat__task", F.lit(self.label)).withColumn("task", F.lit(self.label)), self.categorical)
-        rows = self.encoder.one_hot(self.encoder.transform(rows))
-        return predictions(self.model.transform(rows), probability())
-
-
 def fit_multitask(
     df: DataFrame,
     features: list[str],
     auxiliary_targets: list[str] = list(AUXILIARY_LABELS),
     auxiliary_weight: float = 0.3,
-    hashed: int | None = None,
-    numeric_bins: int = 32,
-    max_iter: int = 50,
-    l2: float = 1e-6,
     label: str = "long_view",
-    seed: int | None = None,
-) -> MultitaskModel:
-    """One weighted logistic regression over the long task table: shared fields plus a copy
-    per task, so the tasks lend each other the shared part.
+    **options,
+) -> NetworkModel:
+    """One network with a head a task: the tasks share embeddings and hidden layer, and the loss
+    weighs the auxiliaries by ``auxiliary_weight``; scores are those of ``label``.
 
-    Fields are one-hot under the fitted vocabulary, or ``hashed`` slots each. Only 0/1 labels
-    can be trained on; other allowed outcomes are refused, not dropped. A ``seed`` weighs the
-    rows by exponential draws of mean 1 (a Bayesian bootstrap), for bags; without one every
-    row weighs the same.
+    Auxiliary names outside the allow-list are refused. Only 0/1 labels can be trained on; other
+    allowed outcomes are refused, not dropped. Other options as for ``fit_network``.
     """
     names = require_auxiliary(list(auxiliary_targets))
-    train = even(train_rows(df).select(*dict.fromkeys([*KEYS, label, *names, *features])))
     if names:
-        span = train.agg(*[F.max(~F.col(n).isin(0, 1)).alias(n) for n in names]).first()
+        span = train_rows(df).agg(*[F.max(~F.col(n).isin(0, 1)).alias(n) for n in names]).first()
         bad = [n for n in names if span[n]]
         if bad:
             raise ValueError(f"auxiliary labels must be 0/1, but {bad} hold other values")
-    categorical, _ = split_kinds(df, features)
-    long = task_labels(train, names, auxiliary_weight, label, keep=tuple(features))
-    long = _crossed(long, categorical).withColumn("cat__task", F.col("task"))
-    # every task's copy of a row is a row of its own
-    place = F.array_position(F.array(*[F.lit(t) for t in [label, *names]]), F.col("task")) - 1
-    long = long.withColumn("row_id", F.col("row_id") * (1 + len(names)) + place)
-    fields = ["cat__task", *features, *[f"cat_{c}__task" for c in categorical]]
-    encoder = fit_sparse(long, fields, numeric_bins, hashed)
-    weight = F.col("weight")
-    if seed is not None:
-        drawn = F.pmod(F.xxhash64(F.lit(seed), *KEYS), F.lit(1 << 32)).cast("double") + 0.5
-        weight = weight * -F.log(drawn / float(1 << 32))
-    rows = encoder.one_hot(encoder.transform(long)).select(
-        "features", F.col("label").cast("double").alias("label"), weight.alias("weight")
-    )
-    model = LogisticRegression(maxIter=max_iter, regParam=l2, weightCol="weight").fit(rows)
-    return MultitaskModel(encoder, model, categorical, label)
+    weights = [1.0] + [float(auxiliary_weight)] * len(names)
+    return fit_network(df, features, [label, *names], weights, **options)

@@ -90,16 +90,18 @@ def cap_sets(df: DataFrame, by: str = "user_date", max_set_size: int = 48, seed:
 
 
 def same_user_pairs(
-    df: DataFrame, n: int = 4, seed: int = 0, label: str = "long_view", by: str = "user"
+    df: DataFrame, n: int = 4, seed: int = 0, label: str = "long_view", by: str = "user",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Positive-negative row pairs of one user: ``min(n, max(positives, negatives))`` each.
 
     Pair ``j`` takes the ``j``-th row of each class in the seeded order, cycling through a
     class with fewer rows. Only the first ``n`` rows of a class are ever needed, so each
-    class is cut to ``n`` before any exchange.
+    class is cut to ``n`` before any exchange. The columns ``carry`` of both rows come along, as
+    ``pos_`` and ``neg_`` columns, so that no rows are joined afterwards.
     """
     keys = set_keys(by)
-    lean = df.select(*keys, "row_id", F.col(label).cast("int").alias("_y"))
+    lean = df.select(*keys, "row_id", F.col(label).cast("int").alias("_y"), *carry)
     sizes = lean.groupBy(*keys).agg(
         F.sum("_y").cast("long").alias("_p"), F.count(F.lit(1)).alias("_n")
     ).where((F.col("_p") > 0) & (F.col("_p") < F.col("_n"))).select(
@@ -110,8 +112,8 @@ def same_user_pairs(
     ).groupBy(*keys).agg(  # at most 2n rows per group
         *[
             F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("_y") == y, F.struct("_place", "row_id")))),
-                lambda s: s["row_id"],
+                F.array_sort(F.collect_list(F.when(F.col("_y") == y, F.struct("_place", "row_id", *carry)))),
+                lambda s: F.struct(*[s[c].alias(c) for c in ("row_id", *carry)]),
             ).alias(side)
             for y, side in ((1, "_pos"), (0, "_neg"))
         ]
@@ -121,7 +123,11 @@ def same_user_pairs(
     return (
         sizes.join(drawn, keys)
         .withColumn("pair", F.explode(F.sequence(F.lit(0), count - 1)))
-        .select(*keys, "pair", at("_pos").alias("pos_row"), at("_neg").alias("neg_row"))
+        .select(*keys, "pair", at("_pos").alias("_a"), at("_neg").alias("_b"))
+        .select(
+            *keys, "pair", F.col("_a.row_id").alias("pos_row"), F.col("_b.row_id").alias("neg_row"),
+            *[F.col(f"{s}.{c}").alias(f"{side}_{c}") for c in carry for s, side in (("_a", "pos"), ("_b", "neg"))],
+        )
     )
 
 

@@ -44,19 +44,19 @@ def check(data, pred, floor=0.6):
 
 
 def test_fm(data):
-    args = dict(k=4, lr=0.1, epochs=8, numeric_bins=4, batch_size=32)
+    args = dict(k=4, lr=0.1, epochs=4, numeric_bins=4, batch_size=32)
     model = fm.fit_fm(data, FEATURES, **args)
     scores = check(data, model.score(data))
     again = {(r["split"], r["row_id"]): r["score"] for r in fm.fit_fm(data, FEATURES, **args).score(data).collect()}
     assert again == pytest.approx(scores)
     # the primary is taken after every epoch, and patience counts epochs
-    assert len(model.history) <= 8
-    stopped = fm.fit_fm(data, FEATURES, k=4, lr=1e-12, epochs=8, numeric_bins=4, patience=2)
-    assert len(stopped.history) <= 5
+    assert len(model.history) <= 4
+    stopped = fm.fit_fm(data, FEATURES, k=4, lr=1e-12, epochs=8, numeric_bins=4, patience=1)
+    assert len(stopped.history) <= 4
 
 
 def test_fm_in_shards(data):
-    model = fm.fit_fm(data, FEATURES, k=4, lr=0.1, epochs=6, numeric_bins=4, batch_size=32, shard_rows=70)
+    model = fm.fit_fm(data, FEATURES, k=4, lr=0.1, epochs=6, numeric_bins=4, batch_size=32, shard_batch=8, round_steps=2)
     check(data, model.score(data))
 
 
@@ -74,50 +74,6 @@ def test_vocabularies_stay_exact(spark):
     assert model.params.count() == 40_002  # and the bias
 
 
-def test_local_steps_are_adam():
-    """One shard's pass against a plain loop over dense parameters."""
-    import pyarrow as pa
-
-    from rankweave.models import local
-
-    rng = np.random.default_rng(2)
-    ids = rng.integers(0, 6, (10, 2))
-    label = rng.integers(0, 2, 10).astype(float)
-    start = np.vstack(([0.1, 0.0, 0.0], rng.normal(size=(6, 3))))
-    names, lr, l2 = ["w", "v0", "v1"], 0.05, 1e-3
-    columns = {"id": np.arange(-1, 6)}
-    for prefix, values in (("", start), ("m_", 0 * start), ("u_", 0 * start)):
-        columns.update({prefix + n: values[:, i] for i, n in enumerate(names)})
-    rows = pa.table({"row_id": np.arange(10), "ids": pa.array(ids.tolist(), pa.list_(pa.int32())), "label": label})
-    out = local.fm_epoch(names, lr, l2, 4, 0, 9)(rows, pa.table(columns)).sort_by("id")
-    got = np.stack([out.column(n).to_numpy() for n in names], axis=1)
-
-    p, m, u = start.copy(), 0 * start, 0 * start
-
-    def loss(flat, pick):
-        q = flat.reshape(-1, 3)
-        total = 0.0
-        for i in pick:
-            v = q[ids[i] + 1, 1:]
-            z = q[ids[i] + 1, 0].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum() + q[0, 0]
-            total += math.log1p(math.exp(z)) - label[i] * z
-        return total / len(pick)
-
-    order = np.random.default_rng((9, 0, 10)).permutation(10)
-    for t, at in enumerate(range(0, 10, 4), 1):
-        pick, g = order[at : at + 4], np.zeros_like(p)
-        for j in range(p.size):
-            up, down = p.copy().ravel(), p.copy().ravel()
-            up[j] += 1e-6
-            down[j] -= 1e-6
-            g.flat[j] = (loss(up, pick) - loss(down, pick)) / 2e-6
-        g += l2 * p
-        g[0, 1:] = 0
-        m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
-        p = p - lr * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.999**t)) + 1e-8)
-    assert got == pytest.approx(p, abs=1e-5)
-
-
 def pair_setup(spark):
     rng = np.random.default_rng(1)
     k, dim = 3, 6
@@ -244,17 +200,43 @@ def test_lambdarank(data, by):
         trees.fit_lambdarank(data, FEATURES, "user_id")
 
 
+NETWORK = dict(embedding_dim=4, hidden_dim=8, batch_size=32, epochs=4, lr=0.03)
+
+
 def test_deepfm(data):
-    model = deep.fit_deepfm(
-        data, FEATURES, hidden_dim=6, deep_epochs=1, k=2, lr=0.1, epochs=6, batch_size=32, numeric_bins=4
-    )
+    model = deep.fit_deepfm(data, FEATURES, **NETWORK)
     check(data, model.score(data))
+    assert len(model.history) <= 4 and model.dense.size >= model.tower.size
+    again = deep.fit_deepfm(data, FEATURES, **NETWORK)
+    assert np.allclose(again.dense, model.dense)
+    stopped = deep.fit_deepfm(data, FEATURES, **{**NETWORK, "lr": 0.0, "patience": 1})
+    assert len(stopped.history) == 2
+
+
+def test_deepfm_without_categories_or_valid_rows(data):
+    few = data.where("split <> 'valid'")
+    model = deep.fit_deepfm(few, ["numeric"], **{**NETWORK, "epochs": 2})
+    assert model.history == [] and model.score(data).count() == data.count()
+
+
+def test_network_keeps_the_vocabulary_off_the_driver(spark):
+    """A million values in a field: the driver gets the dense weights alone."""
+    base = spark.range(1_000_000).select(
+        F.lit("train").alias("split"), F.col("id").alias("row_id"), F.concat(F.lit("u"), F.col("id") % 500).alias("user_id"),
+        F.concat(F.lit("v"), F.col("id")).alias("cat_item"), (F.col("id") % 3 == 0).cast("int").alias("long_view"),
+    )
+    df = base.unionByName(base.where("row_id < 2000").withColumn("split", F.lit("valid")))
+    model = deep.fit_deepfm(df, ["cat_item"], embedding_dim=2, hidden_dim=2, epochs=1, batch_size=1 << 17, shard_batch=1 << 14)
+    assert model.inputs.dimension == 1_000_001 and model.embeddings.count() == 1_000_001
+    assert model.dense.size < 30
 
 
 def test_multitask(data):
-    check(data, multitask.fit_multitask(data, FEATURES, ["is_click"], max_iter=20).score(data))
-    one, two = (multitask.fit_multitask(data, FEATURES, ["is_click"], max_iter=20, seed=s) for s in (1, 2))
-    assert one.model.coefficients != two.model.coefficients
+    model = multitask.fit_multitask(data, FEATURES, ["is_click"], **NETWORK)
+    check(data, model.score(data))
+    assert model.tower.weights == [1.0, 0.3]
+    other = multitask.fit_multitask(data, FEATURES, ["is_click"], **NETWORK, seed=2)
+    assert not np.allclose(model.dense, other.dense)
     from rankweave.evaluation.guards import LeakageError
 
     with pytest.raises(LeakageError):
