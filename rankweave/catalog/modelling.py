@@ -68,6 +68,37 @@ def lambdarank(spark, sf):
     return model.score(rows).select(*_SCORE)
 
 
+_CUTS = ["tab", "author_id", "video_id"]
+
+
+@query(
+    "gbt_root_split",
+    IMP + ", base AS (SELECT avg(long_view) AS p FROM imp WHERE split = 'train'), long AS (SELECT unnest([0, 1, 2]) AS f,"
+    " unnest([CAST(tab AS DOUBLE), CAST(author_id AS DOUBLE), CAST(video_id AS DOUBLE)]) AS x, p - long_view AS g,"
+    " p * (1 - p) AS h FROM imp, base WHERE split = 'train'), bins AS (SELECT f, x, sum(g) AS g, sum(h) AS h, count(*) AS n"
+    " FROM long GROUP BY f, x), cuts AS (SELECT f, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,"
+    " sum(g) OVER (PARTITION BY f) AS ga, sum(h) OVER (PARTITION BY f) AS ha, sum(n) OVER (PARTITION BY f) AS na FROM bins"
+    " WINDOW w AS (PARTITION BY f ORDER BY x)), best AS (SELECT *, gl*gl/(hl+1) + (ga-gl)*(ga-gl)/(ha-hl+1) AS gain"
+    " FROM cuts WHERE nl >= 20 AND na - nl >= 20 ORDER BY round(gain, 9) DESC, f, x LIMIT 1)"
+    " SELECT CAST(f AS INTEGER) AS feature, x AS threshold, 'left' AS side, CAST(nl AS BIGINT) AS n,"
+    " round(-gl/(hl+1), 6) + 0.0 AS value FROM best UNION ALL"
+    " SELECT CAST(f AS INTEGER), x, 'right', CAST(na - nl AS BIGINT), round(-(ga-gl)/(ha-hl+1), 6) + 0.0 FROM best",
+)
+def gbt_root_split(spark, sf):
+    """The first split of the boosted trees under log loss, and the Newton steps of its two leaves."""
+    imp = event_impressions(spark, sf).where("split = 'train'")
+    rows = imp.withColumns({f"x{i}": F.col(c).cast("double") for i, c in enumerate(_CUTS)})
+    model = trees.fit_gbt(rows, ["x0", "x1", "x2"], n_estimators=1, num_leaves=2, lr=1.0, reg_lambda=1.0)
+    feature, threshold = model.root()
+    logit = F.log(F.col("score") / (1.0 - F.col("score"))) - F.lit(model.base)
+    sides = model.score(rows).join(rows.select("split", "row_id", f"x{feature}"), ["split", "row_id"])
+    side = F.when(F.col(f"x{feature}") <= threshold, "left").otherwise("right").alias("side")
+    found = sides.groupBy(side).agg(F.count(F.lit(1)).alias("n"), F.avg(logit).alias("value"))
+    return _rounded(
+        found.select(F.lit(feature).alias("feature"), F.lit(threshold).alias("threshold"), "side", "n", "value"), "value"
+    )
+
+
 @query("deep_fm")
 def deep_fm(spark, sf):
     rows = model_frame(spark, sf)

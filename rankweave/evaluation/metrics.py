@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..plans.ordering import FIND, peer_totals, prefix_totals, split_hot, top_rows
+from ..plans.ordering import FIND, find_hot, peer_totals, prefix_totals, split_hot, top_rows
 from ..schemas import BASELINE_VALID, GAIN_EPS, KEYS
 from ..session import cut_lineage
 
@@ -77,6 +79,34 @@ def user_dcg(pred: DataFrame, k: int = 5, score: str = "score", label: str = "lo
     return best.groupBy(*USER).agg(F.sum(F.col("_y") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
 
 
+def _user_metrics(pred: DataFrame, k: int, score: str, label: str) -> DataFrame:
+    """The columns of ``user_auc`` and ``user_dcg`` of ordinary users: one exchange serves both."""
+    y = F.col(label).cast("long")
+    lean = pred.where(reduce(and_, [F.col(c).isNotNull() for c in USER])).select(
+        *USER, "row_id", F.col(score).alias("_s"), F.col(label).alias("_y"), y.alias("_pos"), (1 - y).alias("_neg")
+    )
+    own = W.partitionBy(*USER)
+    best = own.orderBy(F.col("_s").desc(), F.col("row_id").asc())
+    placed = lean.select(
+        "*",
+        F.sum("_neg").over(own.orderBy("_s").rangeBetween(W.unboundedPreceding, W.currentRow)).alias("_upto"),
+        F.sum("_neg").over(W.partitionBy(*USER, "_s")).alias("_peers"),
+        F.row_number().over(best).alias("_place"),
+    )
+    won = F.col("_upto") - F.col("_peers") / 2.0
+    sums = placed.groupBy(*USER).agg(
+        F.sum("_pos").alias("positives"),
+        F.sum("_neg").alias("negatives"),
+        F.sum(F.when(F.col("_pos") > 0, F.col("_pos") * won)).alias("_won"),
+        F.sum(F.when(F.col("_place") <= k, F.col("_y") / F.log2(F.col("_place") + 1.0))).alias("dcg"),
+    )
+    pairs = (F.col("positives") * F.col("negatives")).cast("double")
+    return sums.select(
+        *USER, (F.col("positives") + F.col("negatives")).alias("rows"), "positives", "dcg",
+        F.try_divide(F.col("_won"), pairs).alias("auc"),
+    )
+
+
 def _ndcg(k: int):
     ideal, total = [], 0.0
     for place in range(1, k + 1):
@@ -111,7 +141,12 @@ def evaluate(
     kept = pred.where(F.col("split").isin(*splits))
     if labels is not None:
         kept = with_labels(kept, labels.where(F.col("split").isin(*splits)), label)
-    users = user_auc(kept, score, label, min_rows, hot).join(user_dcg(kept, 5, score, label), USER)
+    if isinstance(hot, str):
+        hot = find_hot(kept, USER, min_rows)
+    if hot is None:
+        users = _user_metrics(kept, 5, score, label)
+    else:
+        users = user_auc(kept, score, label, min_rows, hot).join(user_dcg(kept, 5, score, label), USER)
     return users.groupBy("split").agg(
         _gauc(weighting).alias("gauc"), _ndcg(5).alias("ndcg5")
     ).select("split", "gauc", "ndcg5", ((F.col("gauc") + F.col("ndcg5")) / 2).alias("primary"))

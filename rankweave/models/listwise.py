@@ -12,12 +12,13 @@ from ..operators.encoders import fit_median, impute
 from ..operators.sets import cap_sets, mixed_sets, set_context, set_keys
 from ..plans.ordering import group_totals
 from ..schemas import KEYS
-from ..session import cut_lineage
+from ..session import cut_lineage, work_path
 from .common import PREDICTION, Stopper, hot_users, predictions, primary_of, train_rows
-from .local import listwise_epoch
+from .local import listwise_round
+from .rounds import ROUND_STEPS, shard_count, steps_between
 
-#: ranking sets trained in one task
-SHARD_SETS = 1 << 13
+#: sets of a batch that one shard takes
+SHARD_BATCH = 16
 
 
 def inputs(df: DataFrame, features: list[str], by: str) -> DataFrame:
@@ -86,17 +87,19 @@ def fit_listwise(
     lr: float = 1e-3,
     weight_decay: float = 1e-6,
     max_set_size: int = 48,
-    set_batch: int = 64,
+    set_batch: int = 256,
     clip: float = 5.0,
     seed: int = 0,
-    shard_sets: int = SHARD_SETS,
+    round_steps: int = ROUND_STEPS,
+    shard_batch: int = SHARD_BATCH,
 ) -> ListwiseModel:
     """Linear scorer on set-aware inputs. Mixed sets only; sets above ``max_set_size`` are
     drawn anew each epoch.
 
-    An epoch is one pass: the sets are dealt into shards by a hash, every shard takes Adam
-    steps of ``set_batch`` sets with gradients clipped at norm ``clip``, and the weights, a
-    handful of numbers, are averaged by the sets of each shard.
+    An epoch has ``sets / set_batch`` Adam steps, one after the other, with gradients clipped at
+    norm ``clip``, at any size: the sets are dealt into rounds of ``round_steps`` steps and
+    each round into ``set_batch / shard_batch`` shards, every shard its part of a batch; after a
+    round the weights, a handful of numbers, are averaged by the sets of each shard.
     """
     keys = set_keys(train_group)
     names = input_names(features)
@@ -117,29 +120,44 @@ def fit_listwise(
     valid = inputs(lean.where(F.col("split") == "valid"), features, "user")
     valid = cut_lineage(scaled(valid, PREDICTION))
     plain = {n: (0.0, 1.0) for n in names}
-    shards = max(1, -(-stats["sets"] // shard_sets))
+    total = -(-stats["sets"] // set_batch)
+    rounds, shards = -(-total // round_steps), shard_count(set_batch, shard_batch)
     state = {p: [0.0] * len(names) for p in "wmu"}
-    stop, hot, steps, losses = Stopper(patience), hot_users(valid), 0, []
+    stop, hot, losses = Stopper(patience), hot_users(valid), []
+    group = F.xxhash64(*keys)
+    dealt = lambda name, parts: F.pmod(F.xxhash64(F.lit(name), *keys), F.lit(parts)).cast("int").alias(name)
+    mean = lambda p, i: F.sum(F.element_at(p, i + 1) * F.col("sets")) / F.sum("sets")
     for epoch in range(1, epochs + 1):
         drawn = cap_sets(train, train_group, max_set_size, seed * 1009 + epoch)
-        group = F.xxhash64(*keys)
         rows = drawn.select(
-            F.pmod(group, F.lit(shards)).alias("shard"), group.alias("set"), "row_id",
+            dealt("round", rounds), dealt("shard", shards), group.alias("set"), "row_id",
             F.col("long_view").cast("double").alias("label"), F.array(*names).alias("x"),
         )
-        run = listwise_epoch(*[state[p] for p in "wmu"], lr, weight_decay, set_batch, steps, clip, seed * 1009 + epoch)
-        parts = rows.groupBy("shard").applyInArrow(
-            run, "w array<double>, m array<double>, u array<double>, sets long, steps long, loss double"
-        )
-        mean = lambda p, i: F.sum(F.element_at(p, i + 1) * F.col("sets")) / F.sum("sets")
-        row = parts.agg(
-            F.max("steps").alias("steps"),
-            (F.sum("loss") / F.sum("sets")).alias("loss"),
-            *[mean(p, i).alias(f"{p}{i}") for p in "wmu" for i in range(len(names))],
-        ).first()
-        state = {p: [row[f"{p}{i}"] for i in range(len(names))] for p in "wmu"}
-        steps += row["steps"]
-        losses.append(row["loss"])
+        if rounds > 1:
+            # a round reads its own folder only
+            path = work_path(df.sparkSession, "sets")
+            rows.write.partitionBy("round").parquet(path)
+            rows = df.sparkSession.read.parquet(path)
+        lost, seen = 0.0, 0
+        for n in range(rounds):
+            before, after = steps_between(n, total, rounds)
+            run = listwise_round(
+                *[state[p] for p in "wmu"], lr, weight_decay, after - before, (epoch - 1) * total + before, clip,
+                seed * 1009 + epoch,
+            )
+            own = rows.where(F.col("round") == n).drop("round").repartition(shards, "shard")
+            parts = own.groupBy("shard").applyInArrow(
+                run, "w array<double>, m array<double>, u array<double>, sets long, loss double"
+            )
+            row = parts.agg(
+                F.sum("loss").alias("loss"),
+                F.sum("sets").alias("sets"),
+                *[mean(p, i).alias(f"{p}{i}") for p in "wmu" for i in range(len(names))],
+            ).first()
+            if row["sets"]:
+                state = {p: [row[f"{p}{i}"] for i in range(len(names))] for p in "wmu"}
+                lost, seen = lost + row["loss"], seen + row["sets"]
+        losses.append(lost / seen)
         weights = dict(zip(names, state["w"]))
         primary = primary_of(predictions(valid, _linear(plain, weights)), hot=hot)
         if stop.offer(primary, weights):

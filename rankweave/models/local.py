@@ -1,16 +1,12 @@
-"""Mini-batch Adam inside a task, for parameters that are averaged between passes or rounds of steps.
-
-Training rows are dealt into shards of bounded size by a hash. A pass over the rows takes
-optimizer steps of the caller's batch size in every shard at once, each on its own copy of the
-parameters its rows touch; the copies are then averaged. One shard is plain sequential Adam.
-"""
+"""Listwise steps inside a task: a few weights, copied to every shard and averaged after a round."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
+from .lazy import BETA1, BETA2, EPS, lists
+
 
 
 class Adam:
@@ -29,107 +25,17 @@ class Adam:
         self.values = self.values - self.lr * mean / (spread + EPS)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -60.0, 60.0)))
-
-
-def fm_parts(params: np.ndarray, ids: np.ndarray):
-    """Logits of rows of ids without bias, and the pieces their gradients need.
-
-    ``params`` has the weight in its first column and the factors in the others.
-    """
-    own = params[ids]
-    total = own[:, :, 1:].sum(axis=1)
-    square = (own[:, :, 1:] ** 2).sum(axis=(1, 2))
-    return own[:, :, 0].sum(axis=1) + 0.5 * ((total**2).sum(axis=1) - square), own, total
-
-
-def fm_gradient(size: int, ids: np.ndarray, pull: np.ndarray, own: np.ndarray, total: np.ndarray):
-    """Gradient of every parameter, given the derivative of the loss by each row's logit."""
-    parts = np.empty_like(own)
-    parts[:, :, 0] = 1.0
-    parts[:, :, 1:] = total[:, None, :] - own[:, :, 1:]
-    parts *= pull[:, None, None]
-    flat = ids.ravel()
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    out = np.zeros((size, own.shape[2]))
-    out[flat[order][first]] = np.add.reduceat(parts.reshape(-1, own.shape[2])[order], first, axis=0)
-    return out
-
-
-def _ids(table: pa.Table, name: str) -> np.ndarray:
-    column = table.column(name).combine_chunks()
-    wide = -1 if len(column) else 0
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), wide)
-
+def listwise_round(weights, first, second, lr: float, decay: float, count: int, steps: int, clip: float, seed: int):
+    """The part of a round that one shard of ranking sets takes, under the softmax loss: a function of its rows.
 
-def fm_epoch(
-    names: list[str], lr: float, l2: float, batch_size: int, steps: int, seed: int, count: int | None = None
-):
-    """The pass of one shard: a function of its rows and its parameters.
-
-    Steps are of ``batch_size`` rows; with ``count`` there are so many of even size instead.
-
-    Rows have ``row_id``, ``ids`` and either ``label`` (log loss) or ``other`` (the ids of a
-    row that should score lower; logistic loss of the difference). The parameter id -1 is the
-    bias; a difference leaves it alone.
-    """
-
-    def run(rows: pa.Table, params: pa.Table) -> pa.Table:
-        params = params.sort_by("id")
-        known = params.column("id").to_numpy()
-        read = lambda prefix: np.stack([params.column(prefix + n).to_numpy() for n in names], axis=1)
-        adam = Adam(read(""), read("m_"), read("u_"), steps, lr)
-        rows = rows.sort_by("row_id")
-        ids = np.searchsorted(known, _ids(rows, "ids"))
-        paired = "other" in rows.column_names
-        other = np.searchsorted(known, _ids(rows, "other")) if paired else None
-        label = None if paired else rows.column("label").to_numpy()
-        touched = np.bincount(ids.ravel(), minlength=len(known))
-        if paired:
-            touched += np.bincount(other.ravel(), minlength=len(known))
-        bias = int(np.searchsorted(known, -1))
-        touched[bias] = len(ids)
-        order = np.random.default_rng((seed, steps, len(ids))).permutation(len(ids))
-        cuts = count or range(batch_size, len(order), batch_size)
-        for pick in np.array_split(order, cuts):
-            if not len(pick):
-                gradient = np.zeros_like(adam.values)
-            elif paired:
-                both = np.concatenate((ids[pick], other[pick]))
-                z, own, total = fm_parts(adam.values, both)
-                half = len(pick)
-                pull = -_sigmoid(z[half:] - z[:half]) / half
-                gradient = fm_gradient(len(known), both, np.concatenate((pull, -pull)), own, total)
-            else:
-                z, own, total = fm_parts(adam.values, ids[pick])
-                pull = (_sigmoid(z + adam.values[bias, 0]) - label[pick]) / len(pick)
-                gradient = fm_gradient(len(known), ids[pick], pull, own, total)
-                gradient[bias, 0] = pull.sum()
-            gradient += l2 * adam.values
-            gradient[bias, 1:] = 0.0
-            if paired:
-                gradient[bias] = 0.0
-            adam.step(gradient)
-        columns = {"id": known, "touched": touched}
-        for prefix, values in (("", adam.values), ("m_", adam.first), ("u_", adam.second)):
-            columns.update({prefix + n: values[:, i] for i, n in enumerate(names)})
-        return pa.table(columns)
-
-    return run
-
-
-def listwise_epoch(weights, first, second, lr: float, decay: float, set_batch: int, steps: int, clip: float, seed: int):
-    """The pass of one shard of ranking sets under the softmax loss: a function of its rows.
-
-    Rows have ``set``, ``row_id``, ``label`` and ``x``; the result is one row with the weights,
-    the moments, the sets, the steps and the loss.
+    The sets are taken in a seeded order in ``count`` steps of even size, the steps ``steps + 1``
+    and on; a step that has no set is left out. Rows have ``set``, ``row_id``, ``label`` and ``x``;
+    the result is one row with the weights, the moments, the sets and the loss.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("set", "ascending"), ("row_id", "ascending")])
-        x = _ids(rows, "x")
+        x = lists(rows.column("x"))
         label = rows.column("label").to_numpy().astype(float)
         key = rows.column("set").to_numpy()
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -137,8 +43,10 @@ def listwise_epoch(weights, first, second, lr: float, decay: float, set_batch: i
         adam = Adam(np.array(weights), np.array(first), np.array(second), steps, lr)
         order = np.random.default_rng((seed, steps, len(start))).permutation(len(start))
         lost = 0.0
-        for at in range(0, len(order), set_batch):
-            pick = order[at : at + set_batch]
+        for number, pick in enumerate(np.array_split(order, count)):
+            if not len(pick):
+                continue
+            adam.steps = steps + number
             n = size[pick]
             at_ = np.concatenate(([0], np.cumsum(n)[:-1]))
             index = np.arange(n.sum()) + np.repeat(start[pick] - at_, n)
@@ -153,7 +61,7 @@ def listwise_epoch(weights, first, second, lr: float, decay: float, set_batch: i
         wrap = lambda v: pa.array([v.tolist()], pa.list_(pa.float64()))
         return pa.table(
             {"w": wrap(adam.values), "m": wrap(adam.first), "u": wrap(adam.second),
-             "sets": [len(start)], "steps": [adam.steps - steps], "loss": [lost]}
+             "sets": [len(start)], "loss": [lost]}
         )
 
     return run

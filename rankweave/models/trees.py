@@ -5,37 +5,71 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.regression import RandomForestRegressor
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import DensePrep, fit_dense
 from ..operators.sets import mixed_sets, set_keys
 from ..plans.ordering import find_hot, group_totals, running_before, split_hot
 from ..session import cut_lineage
-from .common import even, predictions, probability, train_rows
+from .common import PREDICTION, even, predictions, train_rows
+from .histograms import Bins, Growth, Tree, binned, boosted, fit_bins, grow, pass_over
 
 CHECKPOINT_ROUNDS = 10
 #: fields of up to so many values are split as sets, larger ones along their label rate
 MOST_SETS = 64
 
 
-def depth_for(num_leaves: int) -> int:
-    """The depth whose full tree has at least ``num_leaves`` leaves."""
-    return max(1, math.ceil(math.log2(num_leaves)))
-
-
-def _column_share(colsample: float) -> str:
-    return "all" if colsample >= 1 else str(colsample)
+def _draw_columns(count: int, share: float, seed: int) -> list[int]:
+    """The features that a tree may split on."""
+    if share >= 1:
+        return list(range(count))
+    picked = np.random.default_rng(seed).permutation(count)[: max(1, round(share * count))]
+    return sorted(picked.tolist())
 
 
 @dataclass
-class GbtModel:
+class BoostedTrees:
+    """Trees over binned features; ``base`` is the score before the first one."""
+
     prep: DensePrep
-    model: object
+    bins: Bins
+    trees: list[Tree]
+    lr: float
+    base: float = 0.0
+    logistic: bool = False
+
+    def root(self, number: int = 0) -> tuple[int, float] | None:
+        """(feature, the greatest value that goes left) of a tree's first split on a number."""
+        tree = self.trees[number]
+        if tree.left[0] < 0:
+            return None
+        feature = int(tree.feature[0])
+        return feature, float(self.bins.edges[feature][np.flatnonzero(tree.masks[0]).max()])
 
     def score(self, df: DataFrame) -> DataFrame:
-        return predictions(self.model.transform(self.prep.transform(df)), probability())
+        kept = [c for c in PREDICTION if c in df.columns]
+        rows = _values(self.prep, df, kept).withColumn("score", F.lit(self.base))
+        rows = boosted(binned(rows, self.bins), self.trees, self.lr)
+        value = F.col("score")
+        return predictions(rows, 1.0 / (1.0 + F.exp(-value)) if self.logistic else value)
+
+
+def _values(prep: DensePrep, df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the prepared features as an array ``x``."""
+    return prep.transform(df).select(*keep, vector_to_array("features").alias("x"))
+
+
+def _prepared(df: DataFrame, features: list[str], train: DataFrame, keep: list[str]):
+    """(preparation, bins, binned training rows)."""
+    prep = fit_dense(df, features, rate_label="long_view", most_sets=MOST_SETS)
+    rows = even(_values(prep, train, keep)).persist()
+    sizes = [None if c in prep.rates else prep.dims[c] for c in prep.categorical]
+    bins = fit_bins(rows, sizes + [None] * len(prep.numeric))
+    out = cut_lineage(binned(rows, bins))
+    rows.unpersist()
+    return prep, bins, out
 
 
 def fit_gbt(
@@ -47,25 +81,36 @@ def fit_gbt(
     min_child_samples: int = 20,
     subsample: float = 1.0,
     colsample: float = 1.0,
+    reg_lambda: float = 0.0,
+    max_depth: int = -1,
     seed: int = 0,
-) -> GbtModel:
-    """Boosted trees under log loss. Categorical fields are split as sets of their values, not
-    by the order of their codes."""
-    prep = fit_dense(df, features, rate_label="long_view", most_sets=MOST_SETS)
-    lean = train_rows(df).select("split", "row_id", *features, F.col("long_view").cast("double").alias("label"))
-    train = even(prep.transform(lean).select("features", "label"))
-    model = GBTClassifier(
-        maxIter=n_estimators,
-        maxDepth=depth_for(num_leaves),
-        stepSize=lr,
-        minInstancesPerNode=min_child_samples,
-        subsamplingRate=subsample,
-        featureSubsetStrategy=_column_share(colsample),
-        checkpointInterval=CHECKPOINT_ROUNDS,
-        maxBins=max(32, prep.largest),
-        seed=seed,
-    ).fit(train)
-    return GbtModel(prep, model)
+) -> BoostedTrees:
+    """Boosted trees under log loss: each grows to ``num_leaves`` leaves, the split of most gain
+    first, with Newton steps as leaves and ``reg_lambda`` added to their second derivatives.
+
+    Categorical fields of few values are split as sets, larger ones along their label rate.
+    Boosting starts at the log odds of the train labels. A pass works out scores from the trees
+    since the last written scores, every ``CHECKPOINT_ROUNDS`` trees.
+    """
+    train = train_rows(df).withColumn("label", F.col("long_view").cast("double"))
+    prep, bins, rows = _prepared(df, features, train, ["row_id", "label"])
+    mean = rows.agg(F.avg("label")).first()[0]
+    if mean is None:
+        raise RuntimeError(f"the train split of {len(features)} features has no rows to fit on")
+    share = min(max(float(mean), 1e-15), 1 - 1e-15)
+    base = math.log(share / (1 - share))
+    rows = rows.withColumn("score", F.lit(base)).persist()
+    trees: list[Tree] = []
+    done = 0
+    for number in range(n_estimators):
+        growth = Growth(num_leaves, min_child_samples, reg_lambda, max_depth, _draw_columns(len(bins.sizes), colsample, seed + number))
+        trees.append(grow(pass_over(rows, bins, trees[done:], lr, (subsample, seed + number)), bins, growth))
+        if len(trees) - done == CHECKPOINT_ROUNDS and number + 1 < n_estimators:
+            moved = cut_lineage(boosted(rows, trees[done:], lr))
+            rows.unpersist()
+            rows, done = moved, len(trees)
+    rows.unpersist()
+    return BoostedTrees(prep, bins, trees, lr, base, logistic=True)
 
 
 def _discount(place):
@@ -168,27 +213,6 @@ def _set_lambdas(rows, keys, score, label, truncation, hot) -> DataFrame:
     )
 
 
-@dataclass
-class RankTrees:
-    prep: DensePrep
-    trees: list
-    lr: float
-
-    def score(self, df: DataFrame) -> DataFrame:
-        rows = self.prep.transform(df).withColumn("_sum", F.lit(0.0))
-        for tree in self.trees:
-            rows = _boosted(rows, tree, "_sum", self.lr)
-        return predictions(rows, F.col("_sum"))
-
-
-def _boosted(rows: DataFrame, tree, column: str, lr: float) -> DataFrame:
-    return (
-        tree.transform(rows)
-        .withColumn(column, F.col(column) + F.lit(lr) * F.col("_leaf"))
-        .drop("_leaf")
-    )
-
-
 def fit_lambdarank(
     df: DataFrame,
     features: list[str],
@@ -201,46 +225,31 @@ def fit_lambdarank(
     colsample: float = 1.0,
     truncation: int = 30,
     reg_lambda: float = 0.0,
+    max_depth: int = -1,
     seed: int = 0,
-) -> RankTrees:
-    """Boosting on ranking gradients: each round fits a regression tree to ``-g/h`` weighted
-    by ``h``, so its leaves are Newton steps; ``reg_lambda`` is added to each ``h`` in the step.
+) -> BoostedTrees:
+    """Boosting on ranking gradients, with trees grown as in ``fit_gbt``.
 
     ``truncation`` belongs to the loss: pairs with both members behind that place carry none.
-
-    Only mixed sets carry a gradient, so only they are trained on. Scores depend on the
-    features alone; the running sum is checkpointed every ten rounds.
+    Only mixed sets carry a gradient, so only they are trained on. Scores depend on the features
+    alone. A round is one pass for the derivatives, which are kept, and those of the tree.
     """
     keys = set_keys(group_by)
-    prep = fit_dense(df, features, rate_label="long_view", most_sets=MOST_SETS)
-    lean = train_rows(df).select(
-        *dict.fromkeys(["split", "row_id", *keys, "long_view", *features])
-    )
-    rows = prep.transform(mixed_sets(lean, group_by)).select(
-        *keys, "row_id", F.col("long_view").cast("double").alias("label"), "features",
-        F.lit(0.0).alias("score"),
-    )
-    rows = cut_lineage(rows)
+    lean = train_rows(df).select(*dict.fromkeys(["split", "row_id", *keys, "long_view", *features]))
+    train = mixed_sets(lean, group_by).withColumn("label", F.col("long_view").cast("double"))
+    prep, bins, rows = _prepared(df, features, train, [*keys, "row_id", "label"])
+    rows = rows.withColumn("score", F.lit(0.0))
     hot = find_hot(rows, keys)
-    trees = []
+    trees: list[Tree] = []
+    done = 0
     for number in range(n_estimators):
-        grads = lambdas(rows, keys, truncation=truncation, hot=hot).where(F.col("h") > 0)
-        # a tree fit passes over its rows several times
-        target = grads.select(
-            "features",
-            (-F.col("g") / (F.col("h") + F.lit(reg_lambda))).alias("target"),
-            F.col("h").alias("weight"),
-        ).persist()
-        tree = RandomForestRegressor(  # one tree: the forest class also samples rows and columns
-            numTrees=1, bootstrap=False, subsamplingRate=subsample,
-            featureSubsetStrategy=_column_share(colsample), labelCol="target", weightCol="weight",
-            predictionCol="_leaf", maxDepth=depth_for(num_leaves),
-            minInstancesPerNode=min_child_samples, maxBins=max(32, prep.largest),
-            seed=seed + number,
-        ).fit(target)
-        target.unpersist()
-        trees.append(tree)
-        rows = _boosted(rows, tree, "score", lr)
-        if (number + 1) % CHECKPOINT_ROUNDS == 0:
-            rows = cut_lineage(rows)
-    return RankTrees(prep, trees, lr)
+        scored = boosted(rows, trees[done:], lr).persist()
+        # a tree passes over the derivatives several times
+        grads = lambdas(scored, keys, truncation=truncation, hot=hot).select("row_id", "bins", "g", "h").persist()
+        growth = Growth(num_leaves, min_child_samples, reg_lambda, max_depth, _draw_columns(len(bins.sizes), colsample, seed + number))
+        trees.append(grow(pass_over(grads, bins, [], lr, (subsample, seed + number)), bins, growth))
+        grads.unpersist()
+        scored.unpersist()
+        if len(trees) - done == CHECKPOINT_ROUNDS and number + 1 < n_estimators:
+            rows, done = cut_lineage(boosted(rows, trees[done:], lr)), len(trees)
+    return BoostedTrees(prep, bins, trees, lr)

@@ -263,11 +263,25 @@ def test_listwise_gradient(spark):
 
 def test_listwise(data):
     model = listwise.fit_listwise(
-        data.withColumn("numeric", -F.col("numeric")), ["numeric"], epochs=5, lr=0.1, set_batch=8, shard_sets=40
+        data.withColumn("numeric", -F.col("numeric")), ["numeric"], epochs=5, lr=0.1, set_batch=8, shard_batch=4, round_steps=5
     )
     check(data, model.score(data.withColumn("numeric", -F.col("numeric"))))
 
 
+def test_listwise_steps_do_not_depend_on_the_shards(spark, monkeypatch):
+    """An epoch has as many steps as batches, whatever the rounds and shards."""
+    rows = [("train", i, f"u{i // 4}", 20220410, int(i % 4 == 0), float(-(i % 4))) for i in range(1200)]
+    rows += [("valid", i, f"u{i // 4}", 20220410, int(i % 4 == 0), float(-(i % 4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "split string, row_id long, user_id string, date int, long_view int, x double")
+    found = {}
+    for name, args in (("one", dict(shard_batch=30)), ("rounds", dict(shard_batch=30, round_steps=3)),
+                       ("shards", dict(shard_batch=10, round_steps=4))):
+        model = listwise.fit_listwise(df, ["x"], epochs=1, set_batch=30, lr=0.01, **args)
+        found[name] = model.weights["x"]
+    # every step of Adam moves the weight by about its rate: ten steps
+    assert all(v == pytest.approx(0.1, rel=0.1) for v in found.values()), found
+
+
 def test_listwise_learns_at_its_defaults(spark):
     rng = np.random.default_rng(4)
     rows = []
@@ -277,7 +291,7 @@ def test_listwise_learns_at_its_defaults(spark):
                 x = float(rng.normal())
                 rows.append((split, len(rows), f"u{u}", 20220410, int(x + rng.normal(0, 0.3) > 0), x))
     df = spark.createDataFrame(rows, "split string, row_id long, user_id string, date int, long_view int, x double")
-    model = listwise.fit_listwise(df, ["x"], patience=20)
+    model = listwise.fit_listwise(df, ["x"], patience=20, lr=5e-3, epochs=12)
     assert model.losses[-1] < 0.9 * model.losses[0] and model.weights["x"] > 0
 
 
