@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import inspect
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..evaluation.guards import require_lineage
 from ..functions.lineage import STANDARD, STRICTLY_EARLIER, Lineage, feature_columns, tag
 from ..schemas import KEYS
+from ..session import work_path
 from .history import _attach, check_alignment, daily_counts
 from .joins import reindex
 
@@ -32,10 +32,14 @@ def _with_context(build, context: BuildContext):
     return (lambda past, rows: build(past, rows, context)) if len(taken) > 2 else build
 
 
+def _require_frame(built) -> None:
+    if not isinstance(built, DataFrame):
+        raise TypeError(f"a builder must return a Spark DataFrame, not {type(built).__name__}")
+
+
 def _contract(built, target: DataFrame, strict: bool) -> None:
     """Refuses a result that is no DataFrame, lacks the keys, or has other rows than asked."""
-    if not isinstance(built, DataFrame):
-        raise TypeError("a builder must return a Spark DataFrame")
+    _require_frame(built)
     missing = [k for k in KEYS if k not in built.columns]
     if missing:
         raise ValueError(f"builder result lacks {missing}")
@@ -64,19 +68,22 @@ def apply_builder(
     """Runs ``build(history, target[, context]) -> DataFrame`` and ships its columns under lineage.
 
     With a strictly-earlier scope it is called once per target date and sees only history
-    before that date, whatever it does; rows it leaves out become null. Dates are days, so
-    the union has as many parts as there are days. Pass history already reduced to days
-    (:func:`~rankweave.operators.history.daily_counts`, written or cached) when the builder
-    can work from that: each part then reads the small table.
+    before that date, whatever it does; rows it leaves out become null. History and target are
+    written once in a folder a day: a call reads the days before its own and its own rows, and its
+    result is written, so calls do not stack in one plan. Pass history already reduced to days
+    (:func:`~rankweave.operators.history.daily_counts`) when the builder can work from that.
     Other scopes get one call on everything and must return every row.
     """
     date, build = context.date_column, _with_context(build, context)
     if scope == STRICTLY_EARLIER:
         days = sorted(r[0] for r in target.select(date).distinct().collect())
-        parts = [
-            build(history.where(F.col(date) < day), target.where(F.col(date) == day)) for day in days
-        ]
-        built = reduce(lambda a, b: a.unionByName(b), parts)
+        past, asked = _by_day(history, date), _by_day(target, date)
+        path = work_path(target.sparkSession, "built")
+        for day in days:
+            own = build(past.where(F.col("_folder") < day).drop("_folder"), asked.where(F.col("_folder") == day).drop("_folder"))
+            _require_frame(own)
+            own.write.mode("append").parquet(path)
+        built = target.sparkSession.read.parquet(path) if days else build(history, target)
         if checked:
             _contract(built, target, strict=False)
         built = reindex(built, target, checked=False)
@@ -87,6 +94,15 @@ def apply_builder(
     return _ship(built, scope, sources, source_log, max_source_date, categorical)
 
 
+def _by_day(df: DataFrame, date: str) -> DataFrame:
+    """The rows written in a folder a day, by which a filter on ``_folder`` prunes; the columns as
+    they were, lineage included."""
+    path = work_path(df.sparkSession, "by_day")
+    df.withColumn("_folder", F.col(date)).write.partitionBy("_folder").parquet(path)
+    schema = StructType([*df.schema.fields, StructField("_folder", df.schema[date].dataType)])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def apply_keyed_builder(
     history: DataFrame,
     target: DataFrame,

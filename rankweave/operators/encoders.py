@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import feature_columns, is_categorical
 from ..functions.scalars import bucketize, to_numeric
-from ..plans.ordering import prefix_totals
+from ..plans.numbering import numbered
 from ..plans.quantiles import fit_quantiles, interior, quantiles
 from ..schemas import KEYS
 from ..session import cut_lineage
@@ -35,14 +35,9 @@ def fit_vocab(train: DataFrame, columns: list[str], order: str = "row_id") -> Da
             F.array(*[F.struct(F.lit(c).alias("field"), _text(c).alias("value")) for c in columns])
         ).alias("c"),
     ).select("_at", "c.field", "c.value")
-    first = long.groupBy("field", "value").agg(F.min("_at").alias("first_row")).withColumn(
-        "one", F.lit(1)
-    )
     # one row of train opens at most one value of a field, so (field, first_row) is unique
-    first = cut_lineage(first)  # the plan below reads it several times
-    return prefix_totals(first, ["field"], ["first_row"], ["one"]).select(
-        "field", "value", F.col("one_before").cast("long").alias("code")
-    )
+    first = long.groupBy("field", "value").agg(F.min("_at").alias("first_row"))
+    return numbered(first, ["field"], ["first_row"], "code", ["field", "value"])
 
 
 def vocab_sizes(vocab: DataFrame) -> dict[str, int]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..plans.ordering import prefix_totals
+from ..plans.numbering import numbered
 from ..schemas import LOG_SCHEMA, READY_SCHEMA, SPLITS, TRAIN_END, USER_SCHEMA, VIDEO_SCHEMA
 
 
@@ -62,24 +62,20 @@ def add_row_id(
     """Dense ``row_id`` from 0 within each split, in the order of ``order_cols``.
 
     Spark has no file order, so the caller names one. Unless ``unique`` says that the order
-    columns identify a row, remaining columns break ties and exact copies are counted first
-    and expanded last; copies are interchangeable. A split is numbered in ranges, never in
-    one task.
+    columns identify a row, remaining columns break ties and exact copies are counted first and
+    numbered apart; copies are interchangeable. ``group`` holds no nulls.
+
+    Rows are range-sorted and written once (see ``numbered``).
     """
     group = list(group)
     order = [c for c in order_cols if c not in group]
-    if unique:
-        rows = df.withColumn("_copies", F.lit(1))
-    else:
-        order = order + [c for c in df.columns if c not in order and c not in group]
-        rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = prefix_totals(rows, group, order, ["_copies"], sample_from=df)
-    first = F.col("_copies_before").cast("long")
-    if unique:
-        return placed.select(first.alias("row_id"), *df.columns)
-    return placed.select(
-        F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias("row_id"), *df.columns
-    )
+    rows = df
+    if not unique:
+        order = order + [c for c in df.columns if c not in order and c not in group] + ["_copy"]
+        counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+        rows = counted.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    placed = numbered(rows, group, order, "row_id", df.columns)
+    return placed.select("row_id", *[F.col(f"`{c}`") for c in df.columns])
 
 
 def load_impressions(
