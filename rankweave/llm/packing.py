@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -25,19 +26,64 @@ CHUNK = 2 << 20
 PER_TASK = 1 << 15
 
 
-@lru_cache(maxsize=2)
-def _tokens(path: str) -> PieceCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Ids:
+    """Ids of texts as the tokenizers library gives them without special tokens of its own.
+
+    Added tokens that a text spells out have their ids, so texts are split there first; the rest
+    is split into pieces, each distinct one encoded once.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        added = self.whole.get_added_tokens_decoder()
+        self.marks = {t.content: i for i, t in added.items()}
+        #: tokens that take part of what surrounds them; texts with them are encoded whole
+        self.greedy = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]
+        longest = sorted(self.marks, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
+        def encode(pieces: list[bytes]) -> list[bytes]:
+            found = plain.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+            return [array("I", x.ids).tobytes() for x in found]
+
+        self.cache = PieceCache(encode)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        marked = [i for i, t in enumerate(texts) if any(m in t for m in self.marks)]
+        parts = {i: [texts[i]] if any(g in texts[i] for g in self.greedy) else self.split.split(texts[i]) for i in marked}
+        flat, owner = list(texts), {}
+        for i, own in parts.items():
+            flat[i] = ""
+            if len(own) > 1:
+                owner[i] = len(flat)
+                # what lies between the tokens
+                flat.extend(own[::2])
+        raw, begin = self.cache.ids(flat)
+        at = (4 * begin).tolist()
+        out = [raw[at[i] : at[i + 1]] for i in range(len(texts))]
+        for i, own in parts.items():
+            if len(own) == 1:
+                out[i] = array("I", self.whole.encode(own[0], add_special_tokens=False).ids).tobytes()
+                continue
+            made = []
+            for n, mark in enumerate([*own[1::2], None]):
+                f = owner[i] + n
+                made.append(raw[at[f] : at[f + 1]])
+                if mark is not None:
+                    made.append(array("I", [self.marks[mark]]).tobytes())
+            out[i] = b"".join(made)
+        return out
 
-    def encode(pieces: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
 
-    return PieceCache(encode, 1 << 20)
+@lru_cache(maxsize=2)
+def _ids(path: str) -> Ids:
+    return Ids(path)
 
 
 def token_pieces(
@@ -53,18 +99,18 @@ def token_pieces(
 
     A document is the ids of its whole text (null: none) and one `end` id, so none is empty.
     `tokenizer` is the path of a byte-level BPE file of the tokenizers library; texts are split
-    where its own pattern splits them, and each distinct part is encoded once a worker. Longer
+    at the tokens added to it and where its own pattern splits them, and each distinct part is
+    encoded once a worker. Longer
     documents are cut into pieces of `capacity`; the first takes the odd rest. Repeated rows
     and null ids stay as they are; other columns are not looked at.
     """
 
     def work(batches):
-        cache, last = _tokens(tokenizer), np.array([end], dtype="<u4").tobytes()
+        ids_of, last = _ids(tokenizer).of, np.array([end], dtype="<u4").tobytes()
         for batch in chunks(batches, "text", CHUNK):
-            raw, begin = cache.ids([t or "" for t in batch.column("text").to_pylist()])
             rows, made = [], []
-            for i, (a, b) in enumerate(zip((4 * begin[:-1]).tolist(), (4 * begin[1:]).tolist())):
-                ids = raw[a:b] + last
+            for i, ids in enumerate(ids_of([t or "" for t in batch.column("text").to_pylist()])):
+                ids = ids + last
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:
                     size = capacity if at or n <= capacity else n % capacity or capacity

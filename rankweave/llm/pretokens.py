@@ -42,8 +42,9 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def split_pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """(UTF-8 of all pieces of all texts in order, where each text's pieces begin, and the total at the end).
+def piece_bounds(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(UTF-8 of all texts, start and stop of all pieces in order, where each text's pieces begin,
+    and the total at the end).
 
     The same as `regex.findall(PATTERN, text)` for each text: letters, digits or other symbols
     in runs, each with one space before it; the contractions; white space, of which the last
@@ -51,7 +52,8 @@ def split_pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     """
     joined = "\n".join(texts)
     if not texts or not joined:
-        return [], np.zeros(len(texts) + 1, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return b"", none, none, np.zeros(len(texts) + 1, dtype=np.int64)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts])
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))
@@ -84,34 +86,97 @@ def split_pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
         first, stop = low + place[low], high + place[high]
     else:
         first, stop = low, high
-    pieces = [raw[s:e] for s, e in zip(first.tolist(), stop.tolist())]
-    return pieces, np.concatenate((np.searchsorted(low, begin[:-1]), [len(low)]))
+    return raw, first, stop, np.concatenate((np.searchsorted(low, begin[:-1]), [len(low)]))
+
+
+def split_pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """(UTF-8 of all pieces of all texts in order, where each text's pieces begin, and the total)."""
+    raw, first, stop, begin = piece_bounds(texts)
+    return [raw[s:e] for s, e in zip(first.tolist(), stop.tolist())], begin
+
+
+@lru_cache(maxsize=1)
+def _mixers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number a byte, powers of an odd number and their inverses, modulo 2^64."""
+    base = 0xD6E8FEB86659FD93
+    table = np.random.default_rng(6).integers(0, 1 << 64, 256, dtype=np.uint64)
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        powers = np.full(size, np.uint64(b))
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return table, out[0], out[1]
+
+
+def ramp(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All of start .. start + length - 1, one range after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def distinct_pieces(raw: bytes, first: np.ndarray, stop: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(each distinct piece once, the number of every piece's among them).
+
+    Pieces are told apart by hashes; then the bytes of each are compared with those of the piece
+    that stands for it, and if any differ, all are told apart by their bytes.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    table, up, down = _mixers(max(1 << 16, 1 << len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(table[data] * up[: len(raw)], out=sums[1:])
+    hashes = (sums[stop] - sums[first]) * down[first]
+    _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+    size = stop - first
+    same = (size == size[one][number]).all()
+    if same:
+        where, there = ramp(first, size), ramp(first[one][number], size)
+        same = (data[where] == data[there]).all()
+    pieces = [raw[s:e] for s, e in zip(first[one].tolist(), stop[one].tolist())]
+    if same:
+        return pieces, number
+    known: dict[bytes, int] = {}
+    every = (raw[s:e] for s, e in zip(first.tolist(), stop.tolist()))
+    number = np.array([known.setdefault(p, len(known)) for p in every], dtype=np.int64)
+    return list(known), number
 
 
 class PieceCache:
-    """Remembers the encoding of pieces within a worker, up to a bound; then starts anew."""
+    """Remembers the encoding of pieces within a worker, up to a bound of bytes; then starts anew."""
 
-    def __init__(self, encode, bound: int = 1 << 19):
-        self.encode, self.bound, self.known = encode, bound, {}
+    def __init__(self, encode, bound: int = 96 << 20):
+        self.encode, self.bound, self.known, self.held = encode, bound, {}, 0
 
-    def ids(self, texts: list[str]) -> tuple[bytes, np.ndarray]:
-        """(little-endian 32-bit ids of all texts, where each text's ids begin, and the total)."""
-        out: list[bytes] = []
-        counts = []
-        parts = [(i, part) for i, t in enumerate(texts) for part in segments(t)]
-        pieces, begin = split_pieces([p for _, p in parts])
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
         known = self.known
-        missing = [p for p in set(pieces) if p not in known]
+        missing = [p for p in pieces if p not in known]
         if missing:
-            if len(known) + len(missing) > self.bound:
+            found = self.encode(missing)
+            # an entry takes about 150 bytes beside its contents
+            more = sum(map(len, missing)) + sum(map(len, found)) + 150 * len(missing)
+            if self.held + more > self.bound:
+                kept = {p: known[p] for p in pieces if p in known}
                 known.clear()
-                missing = list(set(pieces))
-            known.update(zip(missing, self.encode(missing)))
-        out = [known[p] for p in pieces]
-        size = np.concatenate(([0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out))))) // 4
+                known.update(kept)
+                self.held = sum(len(p) + len(i) + 150 for p, i in known.items())
+            self.held += more
+            known.update(zip(missing, found))
+        return [known[p] for p in pieces]
+
+    def ids(self, texts: list[str]) -> tuple[bytes, np.ndarray]:
+        """(little-endian 32-bit ids of all texts, where each text's ids begin, and the total)."""
+        parts = [(i, part) for i, t in enumerate(texts) for part in segments(t)]
+        raw, first, stop, begin = piece_bounds([p for _, p in parts])
+        pieces, number = distinct_pieces(raw, first, stop) if len(first) else ([], first)
+        encoded = self._encoded(pieces)
+        length = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        own = np.frombuffer(b"".join(encoded), "<u4")
+        at = np.cumsum(length) - length
+        each = length[number]
+        out = own[ramp(at[number], each)]
+        size = np.concatenate(([0], np.cumsum(each)))
         counts = np.bincount(
             np.array([i for i, _ in parts], dtype=np.int64),
             weights=np.diff(size[begin]),
             minlength=len(texts),
         ).astype(np.int64)
-        return b"".join(out), np.concatenate(([0], np.cumsum(counts)))
+        return out.tobytes(), np.concatenate(([0], np.cumsum(counts)))

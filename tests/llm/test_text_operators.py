@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rankweave.llm import byte_bpe, language_id, line_dedup, packing, passages, simhash, suffix_dedup
+from rankweave.llm import byte_bpe, language_id, line_dedup, packing, passages, pretokens, simhash, suffix_dedup
 from rankweave.llm.components import connected_components
 from rankweave.llm.pretokens import split_pieces
 from rankweave.llm.suffix_array import repeated_starts, suffix_array
@@ -234,6 +234,39 @@ def found_repeats(df):
     ]
 
 
+def plain_first(texts, order, width):
+    """The bytes of each text that no string covers which occurs before, in the order given."""
+    seen, out = set(), {}
+    for i in sorted(range(len(texts)), key=order.__getitem__):
+        data = (texts[i] or "").encode()
+        gone = np.zeros(len(data), bool)
+        for j in range(len(data) - width + 1):
+            if data[j : j + width] in seen:
+                gone[j : j + width] = True
+            seen.add(data[j : j + width])
+        out[i] = bytes(np.frombuffer(data, np.uint8)[~gone])
+    return [out[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("shard", [4 << 20, 3000, 1])
+def test_first_occurrences_stay(corpus, shard):
+    got = suffix_dedup.remove_repeats(corpus, width=100, k=16, shard=shard, keep_first=True)
+    rows = got.select("doc_id", "text", "kept", F.xxhash64(F.lit("id"), "doc_id"), F.xxhash64("text")).collect()
+    want = plain_first([r["text"] for r in rows], [tuple(r)[3:] for r in rows], 100)
+    assert [bytes(r["kept"]) for r in rows] == want
+    whole = suffix_dedup.remove_repeats(corpus, width=100, k=16).select("kept").collect()
+    assert sum(len(w) for w in want) > sum(len(r["kept"]) for r in whole)
+
+
+def test_a_passage_of_51_words_leaves_all_but_one(spark):
+    passage = " ".join(f"word{i}" for i in range(51))
+    rows = [(i, f"start{i} " * 30 + passage + f" end{i}" * 30) for i in range(5)] + [(9, "clean " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r[0]: r[1] for r in suffix_dedup.drop_repeated_passages(df).collect()}
+    assert sum(passage in t for t in kept.values()) == 1
+    assert all(f"start{i} " in kept[i] and f" end{i}" in kept[i] for i in range(5)) and kept[9] == "clean " * 20
+
+
 @pytest.mark.parametrize("shard", [4 << 20, 3000, 1])
 def test_repeats(corpus, shard):
     want = plain_repeats([t for _, t in texts_of(corpus)], 100)
@@ -404,10 +437,40 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return [x.ids + [0] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_added_tokens_have_their_ids(spark):
+    mark = "<|endoftext|>"
+    texts = ["abc " + mark + " def", mark, mark + mark, mark + "x", "x" + mark, "a\n" + mark + "\n\nb", "<|endoftext|", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.token_pieces(df, JSON, with_ids=True).collect()
+    got = {r["doc"]: r["ids"] for r in rows}
+    assert [got[i] for i in range(len(texts))] == library_ids(texts)
+    assert 50256 in got[0] and 50256 not in got[6]
+
+
+def test_distinct_pieces(monkeypatch):
+    raw = b"ab ab abc ab" * 3
+    first = np.array([0, 3, 6, 10, 12])
+    stop = np.array([2, 5, 9, 12, 14])
+    for table in (None, np.zeros(256, dtype=np.uint64)):
+        if table is not None:
+            # all hashes equal: told apart by the bytes
+            up = np.ones(1 << 16, dtype=np.uint64)
+            monkeypatch.setattr(pretokens, "_mixers", lambda size: (table, up, up))
+        pieces, number = pretokens.distinct_pieces(raw, first, stop)
+        assert [pieces[n] for n in number] == [b"ab", b"ab", b"abc", b"ab", b"ab"] and len(pieces) == 2
+
+
+def test_cache_is_bounded():
+    cache = pretokens.PieceCache(lambda pieces: [b"\1\0\0\0" * len(p) for p in pieces], 2000)
+    for n in range(40):
+        ids, begin = cache.ids([f"one{n} two{n} three", "", f"one{n}"])
+        assert begin.tolist() == [0, len(f"one{n} two{n} three"), len(f"one{n} two{n} three"), len(ids) // 4]
+        assert cache.held < 2600
+
+
 def test_pieces_of_documents(odd, corpus):
     for df in (odd, corpus):
         rows = packing.token_pieces(df, JSON, capacity=50, with_ids=True).collect()
