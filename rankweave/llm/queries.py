@@ -98,6 +98,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_bytes - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("removed") > 0).alias("repeats"),
     )
 
 

@@ -211,8 +211,8 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, stop: int) -> tuple[n
     return np.maximum(prefix[owner] + heads[owner] - np.arange(n), 0), before
 
 
-def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each text, whether each start's `width` bytes also start elsewhere in these texts."""
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts as one string of numbers, each closed by a separator; their sizes; their ends)."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     total = int(sizes.sum()) + len(texts)
     text = np.ones(total + 1, dtype=np.uint16)
@@ -221,9 +221,40 @@ def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
     inside = np.ones(total + 1, dtype=bool)
     inside[ends - 1] = inside[-1] = False
     text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 2
+    return text, sizes, ends
+
+
+def repeated_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text, whether each start's `width` bytes also start elsewhere in these texts."""
+    text, sizes, ends = _joined(texts)
     prefix, before = permuted_prefixes(text, suffix_array(text), 1)
     long = np.flatnonzero(prefix >= width)
-    hit = np.zeros(total + 1, dtype=bool)
+    hit = np.zeros(len(text), dtype=bool)
     hit[long] = True
     hit[before[long]] = True
     return [hit[e - n - 1 : e - 1] for e, n in zip(ends.tolist(), sizes.tolist())]
+
+
+def repeats_and_firsts(
+    texts: list[bytes], width: int, places: list[int]
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text (whether each start repeats, whether it is the first of its equals).
+
+    `places` number the starts of each text onwards; the least number is first.
+    """
+    text, sizes, ends = _joined(texts)
+    order = suffix_array(text)
+    prefix, before = permuted_prefixes(text, order, 1)
+    alike = prefix >= width
+    hit = alike.copy()
+    hit[before[np.flatnonzero(alike)]] = True
+    number = np.full(len(text), np.iinfo(np.int64).max)
+    for e, n, p in zip(ends.tolist(), sizes.tolist(), places):
+        number[e - n - 1 : e - 1] = np.arange(p, p + n)
+    # equal starts are neighbours in the order
+    new = np.flatnonzero(~alike[order])
+    least = np.repeat(np.minimum.reduceat(number[order], new), np.diff(new, append=len(order)))
+    first = np.zeros(len(text), dtype=bool)
+    first[order] = number[order] == least
+    cut = lambda flags, e, n: flags[e - n - 1 : e - 1]
+    return [(cut(hit, e, n), cut(first, e, n)) for e, n in zip(ends.tolist(), sizes.tolist())]

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import chunks, fresh, with_columns
-from .suffix_array import repeated_starts
+from .suffix_array import repeated_starts, repeats_and_firsts
 
 #: bytes of a string that counts as repeated
 WIDTH = 400
 #: bytes of the anchor that picks a string's shard; longer than most lines that many texts share
 ANCHOR = 128
+#: the same for whole passages: shorter than any 51 words of the languages at hand
+PASSAGE = 256
+#: bytes of the anchor of a passage
+PASSAGE_ANCHOR = 96
 #: string starts looked at in one step
 STEP = 1 << 20
 #: bytes of one suffix array; an anchor with more different text goes another way
@@ -115,30 +119,50 @@ def anchor_rows(texts: DataFrame, width: int, k: int) -> DataFrame:
     )
 
 
-def _sorted_runs(contexts: DataFrame, width: int, shard: int) -> DataFrame:
-    """(h, c1, c2, s, e): repeated starts of the contexts of every anchor, by suffix arrays.
+#: columns of a context; row1, row2 and lo are those of its first place
+CONTEXT = ("h", "c1", "c2", "n", "many", "row1", "row2", "lo", "data")
+#: repeated starts s .. e - 1 of a context; `first`: they are the first of their equals
+RUNS = "h long, c1 long, c2 long, s long, e long, first boolean"
+PLACES = 1 << 32
+
+
+def _changes(*flags: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal ranges in which no flag changes."""
+    n = len(flags[0])
+    new = np.zeros(n, dtype=bool)
+    for f in flags:
+        new[1:] |= f[1:] != f[:-1]
+    at = np.concatenate(([0], np.flatnonzero(new), [n]))
+    return list(zip(at[:-1].tolist(), at[1:].tolist()))
+
+
+def _sorted_runs(contexts: DataFrame, width: int, shard: int, keep_first: bool) -> DataFrame:
+    """(h, c1, c2, s, e, first): repeated starts of the contexts of every anchor, by suffix arrays.
 
     Contexts come sorted by anchor; whole anchors are gathered up to `shard` bytes and get one
     suffix array.
     """
 
     def solve(block):
-        flags = repeated_starts([data for *_, data in block], width)
-        for (h, c1, c2, n, many, _), hit in zip(block, flags):
-            hit = hit[:n]
-            if many:
-                yield h, c1, c2, 0, n
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
-            for s, e in edge.reshape(-1, 2).tolist():
-                yield h, c1, c2, s, e
+        texts = [row[-1] for row in block]
+        if keep_first:
+            # rows in their order, then places within a row
+            rows = {r: i for i, r in enumerate(sorted({row[5:7] for row in block}))}
+            flags = repeats_and_firsts(texts, width, [rows[row[5:7]] * PLACES + row[7] for row in block])
+        else:
+            flags = [(hit, np.zeros(len(hit), dtype=bool)) for hit in repeated_starts(texts, width)]
+        for (h, c1, c2, n, many, *_), (hit, first) in zip(block, flags):
+            hit, first = hit[:n] | many, first[:n]
+            for s, e in _changes(hit, first & hit):
+                if hit[s]:
+                    yield h, c1, c2, s, e, bool(first[s])
 
     def blocks(batches):
         block, group, size, last = [], [], 0, None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("h", "c1", "c2", "n", "many", "data")]):
+            for row in zip(*[batch.column(c).to_pylist() for c in CONTEXT]):
                 if group and row[0] != group[0][0]:
-                    more = sum(len(r[5]) for r in group)
+                    more = sum(len(r[-1]) for r in group)
                     if block and size + more > shard:
                         yield block
                         block, size = [], 0
@@ -155,37 +179,43 @@ def _sorted_runs(contexts: DataFrame, width: int, shard: int) -> DataFrame:
             found = list(solve(block))
             if found:
                 columns = [pa.array(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "c1", "c2", "s", "e"])
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "c1", "c2", "s", "e", "first"])
 
-    ordered = contexts.repartition("h").sortWithinPartitions("h", "c1", "c2")
-    return ordered.mapInArrow(work, "h long, c1 long, c2 long, s long, e long")
+    ordered = contexts.select(*CONTEXT).repartition("h").sortWithinPartitions("h", "c1", "c2")
+    return ordered.mapInArrow(work, RUNS)
 
 
 def _counted_runs(contexts: DataFrame, width: int) -> DataFrame:
     """The same for anchors with too much text for one task: every string by its 128-bit hash."""
+    kept = ("h", "c1", "c2", "row1", "row2")
 
     def work(batches):
         for batch in chunks(batches, "data", 1 << 16):
-            for h, c1, c2, n, many, data in zip(
-                *[batch.column(c).to_pylist() for c in ("h", "c1", "c2", "n", "many", "data")]
+            for *ids, lo, n, many, data in zip(
+                *[batch.column(c).to_pylist() for c in (*kept, "lo", "n", "many", "data")]
             ):
                 raw = b"".join(xxhash.xxh3_128_digest(data[i : i + width]) for i in range(n))
                 d = np.frombuffer(raw, "<i8").reshape(-1, 2)
-                columns = [np.full(n, v, dtype=np.int64) for v in (h, c1, c2)]
-                columns += [np.arange(n), np.full(n, 2 if many else 1), d[:, 0].copy(), d[:, 1].copy()]
-                names = ["h", "c1", "c2", "s", "times", "d1", "d2"]
+                columns = [np.full(n, v, dtype=np.int64) for v in ids]
+                columns += [np.arange(n) + lo, np.arange(n), np.full(n, 2 if many else 1)]
+                columns += [d[:, 0].copy(), d[:, 1].copy()]
+                names = [*kept, "place", "s", "times", "d1", "d2"]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     strings = contexts.dropDuplicates(["h", "c1", "c2"]).mapInArrow(
-        work, "h long, c1 long, c2 long, s long, times long, d1 long, d2 long"
+        work, "h long, c1 long, c2 long, row1 long, row2 long, place long, s long, times long, d1 long, d2 long"
     )
-    twice = strings.groupBy("d1", "d2").agg(F.sum("times").alias("times")).where("times > 1")
-    hit = strings.join(twice.select("d1", "d2"), ["d1", "d2"])
-    return hit.select("h", "c1", "c2", "s", (F.col("s") + 1).alias("e"))
+    place = F.struct("row1", "row2", "place")
+    twice = strings.groupBy("d1", "d2").agg(F.sum("times").alias("times"), F.min(place).alias("least"))
+    hit = strings.join(twice.where("times > 1").select("d1", "d2", "least"), ["d1", "d2"])
+    return hit.select("h", "c1", "c2", "s", (F.col("s") + 1).alias("e"), (place == F.col("least")).alias("first"))
 
 
-def repeated_spans(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, shard: int = SHARD) -> DataFrame:
-    """(row1, row2, spans): per text the byte ranges covered by strings that occur again.
+def repeated_spans(
+    texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, shard: int = SHARD, keep_first: bool = False
+) -> DataFrame:
+    """(row1, row2, spans): per text the byte ranges covered by strings that occur again; with
+    `keep_first`, by strings that occur before, in a row with smaller hashes or earlier in the row.
 
     `texts` has row1, row2 (two hashes that name a row) and `data` (bytes). Every string of
     `width` bytes belongs to the shard of its anchor, so all places where it starts are in one
@@ -193,6 +223,7 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, shard:
     equal contexts are merged (a group of copies counts once), their bytes are fetched once and
     sorted in suffix arrays; neighbours in the order with `width` bytes in common are repeats.
     """
+    first_place = F.min(F.struct("row1", "row2", "lo"))
     runs = cut_lineage(anchor_rows(texts, width, k))
     seen = runs.groupBy("h").agg(
         F.count("*").alias("places"),
@@ -207,15 +238,20 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, shard:
     whole = (
         again.where("uniform")
         .groupBy("h", "c1", "c2")
-        .agg(F.lit(0).cast("long").alias("s"), F.max("n").cast("long").alias("e"))
+        .agg(
+            F.lit(0).cast("long").alias("s"), F.max("n").cast("long").alias("e"),
+            F.lit(True).alias("first"), first_place.alias("place"),
+        )
     )
     distinct = cut_lineage(
         again.where("NOT uniform")
         .groupBy("h", "c1", "c2")
         .agg(
             (F.count("*") > 1).alias("many"),
-            *[F.first(c).alias(c) for c in ("row1", "row2", "lo", "n")],
+            F.first("n").alias("n"),
+            first_place.alias("place"),
         )
+        .select("h", "c1", "c2", "many", "n", "place.*")
     )
     heavy = cut_lineage(
         distinct.groupBy("h")
@@ -224,16 +260,20 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH, k: int = ANCHOR, shard:
         .select("h")
     )
     cut = F.expr(f"substring(data, CAST(lo + 1 AS INT), n + {width - 1})")
-    contexts = (
-        distinct.join(texts, ["row1", "row2"])
-        .select("h", "c1", "c2", "n", "many", cut.alias("data"))
-    )
-    sorted_ = _sorted_runs(contexts.join(heavy, "h", "left_anti"), width, shard)
-    found = whole.unionByName(sorted_)
+    contexts = distinct.join(texts, ["row1", "row2"]).select(*CONTEXT[:-1], cut.alias("data"))
+    sorted_ = _sorted_runs(contexts.join(heavy, "h", "left_anti"), width, shard, keep_first)
     if not heavy.isEmpty():
-        found = found.unionByName(_counted_runs(contexts.join(heavy, "h", "left_semi"), width))
-    found = cut_lineage(found)
+        sorted_ = sorted_.unionByName(_counted_runs(contexts.join(heavy, "h", "left_semi"), width))
+    columns = ["h", "c1", "c2", "s", "e", "first"]
+    if keep_first:
+        # of equal strings the one in the first place of its context stays
+        named = distinct.select("h", "c1", "c2", F.struct("row1", "row2", "lo").alias("place"))
+        sorted_ = sorted_.join(named, ["h", "c1", "c2"])
+        columns.append("place")
+    found = cut_lineage(whole.select(columns).unionByName(sorted_.select(columns)))
     places = again.select("h", "c1", "c2", "row1", "row2", "lo").join(found, ["h", "c1", "c2"])
+    if keep_first:
+        places = places.where(~(F.col("first") & (F.struct("row1", "row2", "lo") == F.col("place"))))
     span = F.struct(
         (F.col("lo") + F.col("s")).alias("start"),
         (F.col("lo") + F.col("e") + (width - 1)).alias("stop"),
@@ -261,12 +301,14 @@ def remove_repeats(
     kept_out: str = "kept",
     spans_out: str = "removed",
     as_text: bool = False,
+    keep_first: bool = False,
 ) -> DataFrame:
     """`docs` with the bytes that stay and the ranges that go (start, stop; maximal, in order).
 
     A text is its UTF-8 bytes, null as empty. A byte goes if a string of `width` bytes that
     covers it starts anywhere else, in another text or the same one; strings are judged on the
-    input and don't cross texts. Texts shorter than `width` stay whole. Rows stay as they are,
+    input and don't cross texts. With `keep_first` one occurrence of every string stays: that in the
+    row with the least hashes of id and text, the first one in it. Texts shorter than `width` stay whole. Rows stay as they are,
     repeated rows and ids too (rows are told apart by hashes of id and text; equal rows get
     equal answers); other columns pass through. With `as_text` the kept bytes are a string, in
     which a character that was cut in two is left out.
@@ -274,7 +316,7 @@ def remove_repeats(
     r1, r2 = fresh(docs, "row1"), fresh(docs, "row2")
     marks = [F.xxhash64(F.lit("id"), id_col), F.xxhash64(text_col)]
     texts = docs.select(marks[0].alias("row1"), marks[1].alias("row2"), _bytes(text_col).alias("data"))
-    spans = repeated_spans(texts, width, k, shard).toDF(r1, r2, spans_out)
+    spans = repeated_spans(texts, width, k, shard, keep_first).toDF(r1, r2, spans_out)
     joined = docs.select("*", marks[0].alias(r1), marks[1].alias(r2)).join(spans, [r1, r2], "left")
     rows = joined.select(*docs.columns, _bytes(text_col).alias(kept_out), spans_out)
     kinds = [f.dataType.simpleString() for f in docs.schema]
@@ -306,9 +348,18 @@ def remove_repeats(
     )
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the bytes that stay as text; a character cut in two goes. Null stays null."""
+def drop_repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = PASSAGE
+) -> DataFrame:
+    """`docs` without passages of `width` bytes or more that occur elsewhere before.
+
+    One occurrence of each stays, so no passage leaves the corpus (see `remove_repeats`). The
+    bytes that stay are text again; a character cut in two goes. A text of which nothing is left
+    is empty, its row stays. Null stays null.
+    """
     kept, gone = fresh(docs, "kept_text"), fresh(docs, "removed_spans")
-    found = remove_repeats(docs, id_col, text_col, kept_out=kept, spans_out=gone, as_text=True)
+    found = remove_repeats(
+        docs, id_col, text_col, width, PASSAGE_ANCHOR, kept_out=kept, spans_out=gone, as_text=True, keep_first=True
+    )
     text = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.col(kept))
     return found.withColumn(text_col, text).select(docs.columns)
