@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 #: words are separated by these ASCII characters
 ASCII_SPACE = "\\x20\\x09-\\x0D"
@@ -53,3 +54,17 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = f"_{name}"
     return name
+
+
+def sortable(df: DataFrame, name: str) -> Column:
+    """A column to sort by: itself, or its JSON where its type has no order (maps, variants)."""
+
+    def ordered(kind) -> bool:
+        if isinstance(kind, ArrayType):
+            return ordered(kind.elementType)
+        if isinstance(kind, StructType):
+            return all(ordered(f.dataType) for f in kind.fields)
+        return not isinstance(kind, (MapType, VariantType))
+
+    column = F.col(f"`{name}`")
+    return column if ordered(df.schema[name].dataType) else F.to_json(F.struct(column.alias("c")))

@@ -47,6 +47,8 @@ def plan_tables(vectors: int, threshold: float, recall: float) -> tuple[int, int
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    # by the largest component first: squares of very large or small ones leave a double's range
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 

@@ -19,6 +19,8 @@ SPACE = 32
 UNKNOWN = "und"
 #: characters worked on at once
 CHUNK = 1 << 19
+#: texts bundled at once, however short: each takes a row of n-gram counts
+ROWS = 512
 #: documents add to a prototype with this length, as whole numbers, so that sums have no order
 UNIT = 1 << 20
 #: n-gram codes up to this are looked up in a table
@@ -100,6 +102,12 @@ def bundles(texts: list[str | None], dimensions: int) -> np.ndarray:
     return out
 
 
+def _slices(batches):
+    for part in chunks(batches, "text", CHUNK):
+        for at in range(0, part.num_rows, ROWS):
+            yield part.slice(at, ROWS)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
@@ -132,7 +140,7 @@ def fit_prototypes(
 
     def work(batches):
         sums: dict[str, np.ndarray] = {}
-        for part in chunks(batches, "text", CHUNK):
+        for part in _slices(batches):
             rows = bundles(part.column("text").to_pylist(), dimensions)
             rows = np.rint(_unit(rows) * UNIT).astype(np.int64)
             labels = np.array(part.column("label").to_pylist(), dtype=object)
@@ -183,7 +191,7 @@ def identify(
     rows = docs.select("*", F.col(text_col).cast("string").alias(text)).toDF(*names, "text")
 
     def work(batches):
-        for part in chunks(batches, "text", CHUNK):
+        for part in _slices(batches):
             vectors = bundles(part.column("text").to_pylist(), dimensions)
             known = vectors.any(axis=1)
             label, score = np.full(len(known), UNKNOWN, dtype=object), np.zeros(len(known))

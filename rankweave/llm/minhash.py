@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import cut_lineage
 from .buckets import deal, gathered, gathered_pairs, local_roots
@@ -130,25 +131,47 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: bytes of text in a range
+RANGE = 64 << 20
+#: ids drawn a range of text ids
+PICKED = 50
+
+
+def _text_edges(ids: DataFrame, wanted: int) -> list[str]:
+    """Ids that cut text ids into about `wanted` even ranges, from a sample of bounded size."""
+    share = min(1.0, PICKED * wanted / max(1, ids.count()))
+    drawn = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) < int(share * (1 << 30))
+    found = sorted({r["doc"] for r in ids.where(F.col("doc").isNotNull() & drawn).distinct().collect()})
+    return sorted({found[i * len(found) // wanted] for i in range(1, wanted)}) if found else []
+
+
 def beside_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (part, tail, missing, doc, mark, text), sorted, so that each row's successor follows.
 
-    Ids (numbers or dates) are cut into ranges; a range's first row also goes to the range
-    before, as its `tail`, and the very first to the last. So each text moves once, and the
-    order needs no single task. Null ids come first, equal ids go by a hash of the text.
+    Ids are cut into ranges, as many as shuffle partitions and enough for `RANGE` bytes of text
+    each; a range's first row also goes to the range before, as its `tail`, and the very first to
+    the last. So each text moves once, and the order needs no single task. Null ids come first,
+    equal ids go by a hash of the text. Text ids are in the order of their
+    bytes; their ranges come from a sample by a hash, of about `PICKED` ids a range.
     """
     spark = docs.sparkSession
-    wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / wanted for i in range(1, wanted)]
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count(id_col)).head()
+    wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[0] or 0) // RANGE))
     rows = docs.select(
         F.col(id_col).alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).select(F.col("doc").isNotNull().alias("given"), "doc", F.xxhash64("text").alias("mark"), "text")
-    edges = docs.agg(F.percentile_approx(id_col, shares or [0.5], 10000).alias("e")).head()["e"]
-    edges = sorted(set(edges or [])) if shares else []
+    if isinstance(docs.schema[id_col].dataType, StringType):
+        edges = _text_edges(docs.select(F.col(id_col).alias("doc")), wanted)
+    else:
+        shares = [i / wanted for i in range(1, wanted)]
+        edges = docs.agg(F.percentile_approx(id_col, shares or [0.5], 10000).alias("e")).head()["e"]
+        edges = sorted(set(edges or [])) if shares else []
+    # the number of edges that are not above the id
     part = F.lit(0)
-    for edge in edges:
-        part = part + F.when(F.col("doc") >= F.lit(edge), 1).otherwise(0)
+    if edges:
+        known = F.array(*[F.lit(e) for e in edges])
+        part = F.coalesce(F.size(F.filter(known, lambda e: e <= F.col("doc"))), F.lit(0))
     rows = rows.withColumn("part", part)
     # one row for each range, at most as many as partitions
     firsts = rows.groupBy("part").agg(F.min(F.struct("given", "doc", "mark")).alias("f"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .common import fresh, text_key, with_columns
+from .common import fresh, sortable, text_key, with_columns
 from .components import connected_components
 from .minhash import shingle_groups
 
@@ -158,7 +158,7 @@ def drop_near_copies(
     )
     lead = cut_lineage(lead.select(*[F.col(f"lead.{m}") for m in marks]))
     rank = fresh(docs, "lead_rank")
-    order = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    order = [sortable(docs, c) for c in docs.columns if c not in (id_col, text_col)]
     same = Window.partitionBy(*marks).orderBy(*(order or [F.lit(0)]))
     return (
         marked.join(lead, marks, "left_semi")

@@ -77,3 +77,28 @@ def test_unlabelled_corpus_keeps_texts_with_letters(spark):
     rows = [(i, t, None, "s") for i, t in enumerate(texts)]
     kept = language_id.keep_identified(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4]
+
+
+def test_short_texts_are_bundled_in_bounded_blocks(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 3000)], names=["text"])
+    sizes = [part.num_rows for part in language_id._slices([batch])]
+    assert sum(sizes) == 3000 and max(sizes) <= language_id.ROWS
+
+
+def test_near_copies_with_a_map_column(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, {"a": 1}), (2, text, {"b": 2}), (3, "else", None)], "doc_id int, text string, m map<string,int>")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == [1, 3]
+
+
+def test_next_text_of_text_ids(spark):
+    ids = [f"id{i:03d}" for i in range(40)] + ["é", "z"]
+    rows = [(i, f"text number {n} of some words {n * 7}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows[::-1], "doc_id string, text string")
+    got = {r["doc"]: r["edited"] for r in minhash.compare_with_next(df).collect()}
+    texts, order = dict(rows), sorted(ids)
+    for i, after in zip(order, order[1:] + order[:1]):
+        half = len(texts[i]) // 2
+        assert got[i] == texts[i][: len(texts[i]) - half] + texts[after][:half]

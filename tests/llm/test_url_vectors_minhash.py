@@ -24,7 +24,7 @@ def test_equals_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 14)] == [1] * 13
 
 
 # --- URLs ---
@@ -111,6 +111,15 @@ def plain_links(rows, threshold=0.93):
     return sorted((r[0], len(n), c, r[0] == c) for r, n, c in zip(rows, links, ids))
 
 
+def test_vectors_of_any_size(spark):
+    """Squares of these components leave the range of a double."""
+    base = [[1.0, 2.0, -0.5], [1.0, 2.01, -0.5], [-1.0, 2.0, 0.5]]
+    rows = [(3 * n + i, [x * size for x in v], 1) for n, size in enumerate((1.0, 1e200, 1e-200, 1e307)) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: (7, 0) if i % 3 < 2 else (3, 2) for i in range(12)}
+
+
 @pytest.mark.parametrize("block", [2048, 8])
 def test_vectors(spark, block):
     rng = np.random.default_rng(3)
