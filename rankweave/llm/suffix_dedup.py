@@ -261,6 +261,9 @@ def repeated_spans(
     )
     cut = F.expr(f"substring(data, CAST(lo + 1 AS INT), n + {width - 1})")
     contexts = distinct.join(texts, ["row1", "row2"]).select(*CONTEXT[:-1], cut.alias("data"))
+    if not keep_first:
+        # nothing asks for places: constants take no room in an exchange
+        contexts = contexts.withColumns({c: F.lit(0).cast("long") for c in ("row1", "row2", "lo")})
     sorted_ = _sorted_runs(contexts.join(heavy, "h", "left_anti"), width, shard, keep_first)
     if not heavy.isEmpty():
         sorted_ = sorted_.unionByName(_counted_runs(contexts.join(heavy, "h", "left_semi"), width))
