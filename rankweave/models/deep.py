@@ -60,7 +60,7 @@ class Inputs:
 def fit_inputs(df: DataFrame, features: list[str], hashed: int | None = None) -> Inputs:
     """Vocabularies, medians and scales of the train rows."""
     if not features:
-        raise ValueError("at least one feature column is required")
+        raise ValueError(f"no feature column was named; the frame has {df.columns}")
     categorical, numeric = split_kinds(df, features)
     encoder = fit_sparse(df, categorical, hashed=hashed) if categorical else None
     medians, scale = {}, {}

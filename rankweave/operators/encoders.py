@@ -100,20 +100,20 @@ def merge_features(*bundles: DataFrame, check_rows: bool = False) -> DataFrame:
     ``append=True`` avoid the joins altogether. ``check_rows`` also compares the key sets.
     """
     if not bundles:
-        raise ValueError("at least one feature frame is required")
+        raise ValueError("there is no feature frame to merge")
     seen: set[str] = set()
     for bundle in bundles:
         names = feature_columns(bundle)
         clash = sorted(seen.intersection(names))
         if clash:
-            raise ValueError(f"duplicate feature columns: {clash}")
+            raise ValueError(f"two of {len(bundles)} frames bring the columns {clash}")
         seen.update(names)
     if check_rows:
         from .history import check_alignment
 
         for bundle in bundles[1:]:
             if check_alignment(bundle, bundles[0]).limit(1).collect():
-                raise ValueError("feature frames hold different rows")
+                raise ValueError(f"the frame of {feature_columns(bundle)} has other rows than the first one")
     return reduce(lambda a, b: a.join(b, list(KEYS)), bundles)
 
 
@@ -197,7 +197,7 @@ def fit_dense(
     train rate instead of split as sets.
     """
     if not features:
-        raise ValueError("at least one feature column is required")
+        raise ValueError(f"no feature column was named; the frame has {df.columns}")
     train = df.where(F.col("split") == "train")
     categorical, numeric = split_kinds(df, features)
     vocab = fit_vocab(train, categorical).persist() if categorical else None
@@ -297,9 +297,9 @@ def fit_sparse(
 ) -> SparseEncoder:
     """Fits the factorization-machine encoding on the train rows of ``df``."""
     if numeric_bins < 2:
-        raise ValueError("numeric_bins must be at least 2")
+        raise ValueError(f"{numeric_bins} numeric bins tell no values apart; two or more do")
     if not features:
-        raise ValueError("at least one feature column is required")
+        raise ValueError(f"no feature column was named; the frame has {df.columns}")
     train = df.where(F.col("split") == "train")
     categorical, numeric = split_kinds(df, features)
     vocab, sizes = None, {}

@@ -172,7 +172,7 @@ def user_category_affinity(history, target, smoothing: float = 0.0, append: bool
 
 def _edges_for(attribute, allowed, history, buckets, edges):
     if attribute not in allowed:
-        raise ValueError(f"unsupported attribute {attribute!r}; choose from {list(allowed)}")
+        raise ValueError(f"{attribute!r} is none of the attributes {list(allowed)}")
     if attribute == "duration_bucket" and edges is None:
         return duration_edges(history, buckets)
     return edges
@@ -328,7 +328,7 @@ def decayed_affinity(
     user's own decayed rate."""
     edges = _edges_for(attribute, DECAY_ATTRIBUTES, history, buckets, edges)
     if half_life_days <= 0:
-        raise ValueError("half_life_days must be positive")
+        raise ValueError(f"weights cannot halve every {half_life_days} days")
     value = attribute_column(attribute, edges)
     user = F.col("user_id").cast("string")
     shape = lambda df: df.withColumns({"_user": user, "_attr": value})

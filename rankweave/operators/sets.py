@@ -13,7 +13,7 @@ def set_keys(by: str) -> list[str]:
         return ["split", "user_id"]
     if by == "user_date":
         return ["split", "user_id", "date"]
-    raise ValueError(f"unsupported grouping {by!r}; use user or user_date")
+    raise ValueError(f"rows are set side by side by user or user_date, not by {by!r}")
 
 
 def group_sizes(df: DataFrame, by: str = "user") -> DataFrame:

@@ -31,9 +31,20 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where that is unset, one in the warehouse."""
+    """The folder of `spark.checkpoint.dir`; where that is unset, one in the warehouse.
+
+    On a cluster, a warehouse in a folder of one machine is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    if named:
+        return named
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            f"{folder} lies on one machine; set spark.checkpoint.dir to a folder that all of"
+            f" {spark.sparkContext.master} share"
+        )
+    return f"{folder}/_work"
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -41,9 +41,9 @@ def write_submission(
     """Writes the split as a CSV folder sorted by ``row_id`` (range-partitioned parts, in
     order) after checking that every row has one finite score. Returns its path."""
     if "/" in filename or "\\" in filename or filename in ("", ".", ".."):
-        raise ValueError("submission filename must not contain a directory")
+        raise ValueError(f"{filename!r} is a path; the file is named without folders and lies in {path!r}")
     if split not in ("valid", "test"):
-        raise ValueError("submission split must be valid or test")
+        raise ValueError(f"rows of split {split!r} are not ranked for submission, only those of valid and test")
     wanted = impressions.where(F.col("split") == split).select(
         F.col("row_id").cast("long").alias("row_id"), "user_id", "video_id", F.lit(True).alias("_want")
     )
@@ -55,7 +55,7 @@ def write_submission(
     try:
         bad = F.col("_want").isNull() | F.col("_n").isNull() | (F.col("_n") != 1) | _not_finite(F.col("_s"))
         if both.where(bad).limit(1).collect():
-            raise ValueError("submission scores have the wrong rows or contain NaN/Inf")
+            raise ValueError(f"scores of split {split!r} do not cover its impressions one by one with finite numbers")
         out = f"{path.rstrip('/')}/{filename}"
         ranked = both.select("row_id", "user_id", "video_id", score_text(F.col("_s")).alias("score"))
         ranked.orderBy("row_id").write.mode("overwrite").csv(out, header=True)

@@ -127,3 +127,18 @@ def test_first_iteration_needs_the_starting_score(spark):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_work_folder_of_one_machine_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    def session(master, warehouse, named=None):
+        conf = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": named}
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf[key] or default), sparkContext=context)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077", "file:/home/me/warehouse"))
+    assert shared_dir(session("spark://host:7077", "hdfs://name/warehouse/")) == "hdfs://name/warehouse/_work"
+    assert shared_dir(session("yarn", "file:/home", "s3a://bucket/work")) == "s3a://bucket/work"
+    assert shared_dir(session("local[8]", "file:/tmp/w")) == "file:/tmp/w/_work"
