@@ -157,13 +157,16 @@ def _sorted_runs(contexts: DataFrame, width: int, shard: int, keep_first: bool)
                 if hit[s]:
                     yield h, c1, c2, s, e, bool(first[s])
 
+    # numbering the places takes as much room again as the array
+    held = shard // 2 if keep_first else shard
+
     def blocks(batches):
         block, group, size, last = [], [], 0, None
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in CONTEXT]):
                 if group and row[0] != group[0][0]:
                     more = sum(len(r[-1]) for r in group)
-                    if block and size + more > shard:
+                    if block and size + more > held:
                         yield block
                         block, size = [], 0
                     # an anchor with one context has nothing to be compared with
