@@ -93,7 +93,7 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Tests:
+class Items:
     """A block of test items as numbers: a word is its place in the sorted vocabulary, from 1."""
 
     vocabulary: np.ndarray
@@ -104,7 +104,7 @@ class Tests:
     ids: list[str | None]
 
     @staticmethod
-    def of(rows: list) -> Tests:
+    def of(rows: list) -> Items:
         """From rows (item, text, need, at): pieces of items."""
         data, ends = _flat([r["text"].encode() for r in rows])
         hashes, owner = word_hashes(data, ends)
@@ -121,7 +121,7 @@ class Tests:
         number = np.array([names.setdefault(r["item"], len(names)) for r in rows], dtype=np.int64)
         item[place] = number[owner]
         at[place] = inside + np.array([r["at"] for r in rows], dtype=np.int64)[owner]
-        return Tests(vocabulary, words, need, item, at, list(names))
+        return Items(vocabulary, words, need, item, at, list(names))
 
     @property
     def least(self) -> int:
@@ -177,7 +177,7 @@ class Shard:
             lo[open_[below]] = mid[below] + 1
             hi[open_[~below]] = mid[~below]
 
-    def search(self, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, tests: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(test place, lo, hi): the suffixes `order[lo:hi]` start with the words needed there.
 
         All test suffixes are searched at once; a step takes one more word of each that still
@@ -211,7 +211,7 @@ class Shard:
         np.cumsum(mixed * _powers(_room(len(words) + 1))[0][: len(words)], out=sums[1:])
         return sums
 
-    def longest(self, tests: Tests, found: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    def longest(self, tests: Items, found: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         """(length, word) of the longest match of each test suffix that `search` found.
 
         A suffix's longest match is with one of its two neighbours in the order. Common prefixes
@@ -282,7 +282,7 @@ def _shards(codes: np.ndarray, owner: np.ndarray, least: int, overlap: int, size
             yield Shard(codes, starts[s:e], lengths[s:e])
 
 
-def _hits(codes, owner, tests: Tests, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _hits(codes, owner, tests: Items, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(whether each word is hit, pairs of text and item as text * items + item)."""
     hit = np.zeros(len(codes), dtype=bool)
     pairs = [np.zeros(0, dtype=np.int64)]
@@ -332,17 +332,14 @@ def _pieces(tests: DataFrame, item_col: str, text_col: str, width: int) -> DataF
     return cut.select("item", part.alias("text"), "need", "at")
 
 
-def test_blocks(tests: DataFrame, item_col: str, text_col: str, width: int, block: int = BLOCK):
+def item_blocks(tests: DataFrame, item_col: str, text_col: str, width: int, block: int = BLOCK):
     """Blocks of test items, each of about `block` bytes at most, made one at a time."""
     pieces = cut_lineage(_pieces(tests, item_col, text_col, width))
     total = pieces.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + 16)).first()[0]
     count = max(1, -(-(total or 0) // block))
     number = F.pmod(F.xxhash64("item", "at", "text"), F.lit(count))
     for n in range(count):
-        yield Tests.of(pieces.where(number == n).collect())
-
-
-test_blocks.__test__ = False
+        yield Items.of(pieces.where(number == n).collect())
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +378,7 @@ def find_matches(
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
     held = [c for c in out.columns if keep_text or c != text_col]
     first = True
-    for tests_block in test_blocks(tests, item_col, item_text_col, width, block):
+    for tests_block in item_blocks(tests, item_col, item_text_col, width, block):
         if not first:
             # the text is read again for the next block, from a written table
             out = cut_lineage(out)
@@ -390,7 +387,7 @@ def find_matches(
     return out.select(*held, *names)
 
 
-def _pass(docs: DataFrame, text: str, tests: Tests, size: int, have: list[str] | None, names: list[str]) -> DataFrame:
+def _pass(docs: DataFrame, text: str, tests: Items, size: int, have: list[str] | None, names: list[str]) -> DataFrame:
     """`docs` with new values of the columns `names`, joined to those that they `have`."""
     shared = docs.sparkSession.sparkContext.broadcast(tests)
     kept = [c for c in docs.columns if c not in (have or ())]
@@ -471,7 +468,7 @@ def longest_matches(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     found = None
-    for tests_block in test_blocks(tests, item_col, item_text_col, width, block):
+    for tests_block in item_blocks(tests, item_col, item_text_col, width, block):
         shared = docs.sparkSession.sparkContext.broadcast(tests_block)
 
         def work(batches, shared=shared):
