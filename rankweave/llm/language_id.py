@@ -85,7 +85,7 @@ def bundles(texts: list[str | None], dimensions: int) -> np.ndarray:
     turned = [np.roll(letters, GRAM - 1 - i, axis=1) for i in range(GRAM)]
     first, second, third = grams // (k * k), grams // k % k, grams % k
     # float32 holds these whole numbers exactly; n-grams go in blocks, so a rich alphabet is fine
-    step = 1 << 14
+    step = 1 << 13
     order = np.argsort(column, kind="stable") if len(grams) > step else None
     if order is not None:
         column, owner = column[order], owner[order]
