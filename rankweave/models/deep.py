@@ -147,7 +147,8 @@ def fit_network(
     tower = Tower(inputs.fields, embedding_dim, len(inputs.numeric), hidden_dim, list(weights), dropout)
     width = 1 + embedding_dim
     keep = list(dict.fromkeys([*[c for c in PREDICTION if c in df.columns], *labels]))
-    rows = even(inputs.transform(df.where(F.col("split").isin("train", "valid")), keep)).persist()
+    kept = df.where(F.col("split").isin("train", "valid"))
+    rows = even(inputs.transform(kept, keep), kept).persist()
     try:
         train = train_rows(rows).select(
             "row_id", "ids", "numbers", F.array(*[F.col(c).cast("double") for c in labels]).alias("labels")

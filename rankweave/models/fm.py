@@ -119,8 +119,8 @@ def _scores(rows: DataFrame, model: FmModel) -> DataFrame:
 def _encoded(df: DataFrame, enc: SparseEncoder, features: list[str]) -> DataFrame:
     """The id rows of train and valid, spread evenly; other splits are scored later."""
     kept = df.select(*[c for c in PREDICTION if c in df.columns], *features)
-    ids = enc.transform(kept.where(F.col("split").isin("train", "valid")))
-    return even(ids.select(*[c for c in PREDICTION if c in kept.columns], "ids")).persist()
+    kept = kept.where(F.col("split").isin("train", "valid"))
+    return even(enc.transform(kept).select(*[c for c in PREDICTION if c in kept.columns], "ids"), kept).persist()
 
 
 def fit_fm(

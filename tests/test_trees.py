@@ -144,3 +144,19 @@ def test_samples_differ_by_seed(frame):
 def test_no_rows(frame):
     with pytest.raises(RuntimeError):
         trees.fit_gbt(frame.where("split = 'valid'"), ["a"], n_estimators=1)
+
+
+def test_parts_of_a_pass_follow_the_rows(frame):
+    from rankweave.models import common
+
+    session = frame.sparkSession
+    before = session.conf.get("spark.sql.shuffle.partitions")
+    session.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        # 800 rows are one part, whatever the shuffle width
+        assert common.even(frame, frame).rdd.getNumPartitions() == 1
+    finally:
+        session.conf.set("spark.sql.shuffle.partitions", before)
+    assert common.part_count(0, 12) == 1
+    assert common.part_count(280_000, 12) == 12
+    assert common.part_count(17_000_000, 12) == -(-17_000_000 // common.PART_ROWS)
