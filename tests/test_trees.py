@@ -160,3 +160,21 @@ def test_parts_of_a_pass_follow_the_rows(frame):
     assert common.part_count(0, 12) == 1
     assert common.part_count(280_000, 12) == 12
     assert common.part_count(17_000_000, 12) == -(-17_000_000 // common.PART_ROWS)
+
+
+def test_passes_over_ranking_gradients_follow_the_rows(frame, monkeypatch):
+    """The windows below leave as many parts as the shuffle width."""
+    seen, plain = [], trees.pass_over
+
+    def spy(rows, *rest):
+        seen.append(rows.rdd.getNumPartitions())
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(trees, "pass_over", spy)
+    session = frame.sparkSession
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        trees.fit_lambdarank(frame, ["cat_tab", "a", "c"], group_by="user", n_estimators=1, num_leaves=3)
+    finally:
+        session.conf.set("spark.sql.adaptive.enabled", "true")
+    assert seen == [1]
