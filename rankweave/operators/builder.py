@@ -5,7 +5,9 @@ from __future__ import annotations
 import inspect
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -122,8 +124,9 @@ def apply_keyed_builder(
     day, and returns the feature values named in ``schema``. A day has the counts of
     :func:`~rankweave.operators.history.daily_counts` and the ``measures``, aggregates of any
     columns of history (``{"watched": F.sum("play_time_ms")}``). History and questions are
-    both reduced to one row per key and day before they are grouped, so a group never holds
-    more rows than there are days; the answers are joined back to the rows.
+    both reduced to one row per key and day, then to one row per key, so a key never holds more
+    rows than there are days. A task takes a batch of keys at a time, and each call gets a copy of
+    the days before its own. The answers are joined back to the rows.
     """
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     date, build = context.date_column, _with_context(build, context)
@@ -131,20 +134,53 @@ def apply_keyed_builder(
     asked = target.select(*keys, date).distinct()
     names = fields.fieldNames()
     out = StructType([f for f in asked.schema.fields] + list(fields.fields))
-
-    def answer(key, past: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        past = past.sort_values(date)
-        rows = [
-            {**dict(zip(keys, key)), date: day, **build(past[past[date] < day], day)}
-            for day in sorted(want[date])
-        ]
-        return pd.DataFrame(rows, columns=[*keys, date, *names])
-
-    state = days.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(answer, out)
+    kinds = target.sparkSession.createDataFrame([], out).toArrow().schema
+    named = lambda columns: [F.col(f"`{c}`") for c in columns]
+    past = F.struct(*named(days.columns)).alias("_past")
+    both = days.select(*named(keys), past).unionByName(
+        asked.select(*named(keys), F.col(date).alias("_want")), allowMissingColumns=True
+    )
+    # few bytes but many calls: the full shuffle width, which adaptive execution would shrink by bytes
+    width = int(target.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # collect_list leaves out the nulls of the other side
+    by_key = both.repartition(width, *named(keys)).groupBy(*named(keys)).agg(F.collect_list("_past").alias("_past"), F.collect_list("_want").alias("_want"))
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _answers(batch, build, keys, date, names, kinds)
+
+    state = by_key.where(F.size("_want") > 0).mapInArrow(work, out)
     built = _attach(target, state, [*keys, date], names, date).select(*KEYS, *names)
     return _ship(built, STRICTLY_EARLIER, sources, source_log, max_source_date, categorical)
 
 
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The entries of all lists, and the number of the list that each is from."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _answers(batch: pa.RecordBatch, build, keys: list[str], date: str, names: list[str], kinds: pa.Schema) -> pa.RecordBatch:
+    """What ``build`` says for every asked day of a batch of keys with their days."""
+    days, owner = _flat(batch.column("_past"))
+    frame = pa.Table.from_arrays(days.flatten(), names=[f.name for f in days.type]).to_pandas()
+    order = np.lexsort((frame[date].to_numpy(), owner))
+    frame, owner = frame.iloc[order], owner[order]
+    dates, start = frame[date].to_numpy(), np.searchsorted(owner, np.arange(batch.num_rows + 1))
+    want, asker = _flat(batch.column("_want"))
+    found = {n: [] for n in names}
+    for key, day in zip(asker.tolist(), want.to_pylist()):
+        low, high = start[key], start[key + 1]
+        # a copy: nothing of it leads to later days
+        said = build(frame.iloc[low : low + np.searchsorted(dates[low:high], day)].copy(), day)
+        for n in names:
+            found[n].append(said.get(n))
+    taken = pa.array(asker)
+    columns = [want if f.name == date else batch.column(f.name).take(taken) for f in kinds if f.name in (date, *keys)]
+    columns += [pa.Array.from_pandas(pd.Series(found[n]), type=kinds.field(n).type) for n in names]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+
 def _ship(built, scope, sources, source_log, max_source_date, categorical) -> DataFrame:
     origin = Lineage(tuple(str(s) for s in sources), scope, source_log, max_source_date)
     names = feature_columns(built)

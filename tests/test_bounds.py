@@ -142,3 +142,31 @@ def test_work_folder_of_one_machine_is_refused_on_a_cluster():
     assert shared_dir(session("spark://host:7077", "hdfs://name/warehouse/")) == "hdfs://name/warehouse/_work"
     assert shared_dir(session("yarn", "file:/home", "s3a://bucket/work")) == "s3a://bucket/work"
     assert shared_dir(session("local[8]", "file:/tmp/w")) == "file:/tmp/w/_work"
+
+
+def test_keyed_builder_takes_batches_of_keys(spark, capsys):
+    """One call of pandas a batch, not one a key; a builder that spoils its days spoils no others."""
+    from rankweave.operators.builder import apply_keyed_builder
+
+    kinds = "split string, row_id long, date int, user_id string, long_view int"
+    seen = [("train", i, 20240101 + i % 3, [None, "a", "b"][i % 2], i % 2) for i in range(12)]
+    asked = seen + [("valid", 0, 20240104, "a", 0), ("valid", 1, 20240104, None, 0), ("valid", 2, 20240104, "z", 1)]
+
+    def build(past, day):
+        n = int(past["impressions"].sum())
+        assert (past["date"] < day).all() and past["date"].is_monotonic_increasing
+        past["impressions"] = -1
+        past.loc[:, "positives"] = -1
+        return {"n": n, "half": n / 2 if n else None}
+
+    out = apply_keyed_builder(
+        spark.createDataFrame(seen, kinds), spark.createDataFrame(asked, kinds), build, ["user_id"],
+        "n long, half double", ["date", "user_id", "long_view"],
+    )
+    got = {(r["split"], r["row_id"]): (r["n"], r["half"]) for r in out.collect()}
+    for split, row, day, user, _ in asked:
+        n = sum(1 for r in seen if r[3] == user and r[2] < day)
+        assert got[split, row] == (n, n / 2 if n else None)
+    capsys.readouterr()
+    out.explain()
+    assert "CoGroups" not in capsys.readouterr().out
