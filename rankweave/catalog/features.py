@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..evaluation import experiments as ex
 from ..operators import blend, history as h, joins, sets
+from ..plans.keyed import distinct_rows
 from ..schemas import (
     SAME_ROW_OUTCOMES,
     USER_CATEGORICAL,
@@ -322,7 +323,7 @@ def one_to_one_merge(spark, sf):
 def merge_violations(spark, sf):
     keys = ["l_orderkey", "l_linenumber"]
     lines = table(spark, sf, "lineitem").select(*keys)
-    return joins.merge_violations(lines, lines.distinct(), keys)
+    return joins.merge_violations(lines, distinct_rows(lines), keys)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import SIDE_FILE, STATIC, Lineage, tag
 from ..functions.scalars import log_clip, safe_ratio, to_numeric
+from ..plans.keyed import key_counts
 from ..plans.ordering import join_groups
 from ..schemas import (
     KEYS,
@@ -17,7 +18,7 @@ from ..schemas import (
     VIDEO_CATEGORICAL,
     VIDEO_NUMERIC,
 )
-from ..sources.impressions import duplicate_keys, require_unique
+from ..sources.impressions import require_unique
 
 
 def static_side(
@@ -77,11 +78,16 @@ def merge_one_to_one(a: DataFrame, b: DataFrame, keys=KEYS, checked: bool = Fals
 
 
 def merge_violations(a: DataFrame, b: DataFrame, keys=KEYS) -> DataFrame:
-    """Keys that break a one-to-one merge, with the side and the number of copies."""
+    """Keys that break a one-to-one merge, with the side and the number of copies.
+
+    A task holds a bounded number of keys (see ``key_counts``).
+    """
     keys = list(keys)
-    return duplicate_keys(a, keys).withColumn("side", F.lit("left")).unionByName(
-        duplicate_keys(b, keys).withColumn("side", F.lit("right"))
+    left, right = (
+        key_counts(df.select(*keys), keys).where("copies > 1").withColumn("side", F.lit(side))
+        for df, side in ((a, "left"), (b, "right"))
     )
+    return left.unionByName(right)
 
 
 def reindex(built: DataFrame, target: DataFrame, keys=KEYS, checked: bool = True) -> DataFrame:
