@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..plans.keyed import key_counts
 from ..plans.numbering import numbered
 from ..schemas import LOG_SCHEMA, READY_SCHEMA, SPLITS, TRAIN_END, USER_SCHEMA, VIDEO_SCHEMA
 
@@ -72,7 +73,7 @@ def add_row_id(
     rows = df
     if not unique:
         order = order + [c for c in df.columns if c not in order and c not in group] + ["_copy"]
-        counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+        counted = key_counts(df, df.columns, "_copies")
         rows = counted.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
     placed = numbered(rows, group, order, "row_id", df.columns)
     return placed.select("row_id", *[F.col(f"`{c}`") for c in df.columns])
