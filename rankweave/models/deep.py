@@ -16,7 +16,7 @@ from ..functions.scalars import to_numeric
 from ..operators.encoders import SparseEncoder, fit_median, fit_sparse, split_kinds
 from ..session import cut_lineage
 from .common import PREDICTION, Stopper, even, hot_users, predictions, primary_of, train_rows
-from .lazy import lists
+from .lazy import BROADCAST_BYTES, array_of, lists
 from .losses import Tower, sigmoid
 from .rounds import ROUND_STEPS, SHARD_BATCH, Rounds, current, dense_rows, start_rows
 
@@ -88,15 +88,25 @@ class NetworkModel:
     def score(self, df: DataFrame) -> DataFrame:
         """Probabilities of the first task."""
         kept = [c for c in PREDICTION if c in df.columns]
-        return network_scores(self.inputs.transform(df, kept), self.embeddings, self.tower, self.dense)
+        rows = self.inputs.transform(df, kept)
+        return network_scores(rows, self.embeddings, self.tower, self.dense, self.inputs.dimension)
 
 
-def network_scores(rows: DataFrame, embeddings: DataFrame, tower: Tower, dense: np.ndarray) -> DataFrame:
-    """Probabilities of the first task for rows of ids and numbers: each row gathers its
-    embeddings by one join and one exchange; the dense part runs in batches."""
+def network_scores(
+    rows: DataFrame, embeddings: DataFrame, tower: Tower, dense: np.ndarray, dimension: int | None = None
+) -> DataFrame:
+    """Probabilities of the first task for rows of ids and numbers, in batches.
+
+    Embeddings of a known `dimension` that are small enough to be broadcast are, as one array; else
+    each row gathers its own by one join and one exchange.
+    """
     kept = [c for c in PREDICTION if c in rows.columns]
     width = 1 + tower.factors
-    if tower.fields:
+    shared = None
+    if tower.fields and dimension is not None and dimension * width * 8 <= BROADCAST_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast(array_of(embeddings, dimension, width))
+        rows = rows.select(*kept, "numbers", F.col("ids").alias("own"))
+    elif tower.fields:
         wide = rows.select(*kept, "numbers", F.posexplode("ids").alias("place", "id")).join(embeddings, "id")
         own = F.transform(F.array_sort(F.collect_list(F.struct("place", "p"))), lambda s: s["p"])
         rows = wide.groupBy(*kept).agg(F.first("numbers").alias("numbers"), F.flatten(own).alias("own"))
@@ -109,7 +119,8 @@ def network_scores(rows: DataFrame, embeddings: DataFrame, tower: Tower, dense:
             if not batch.num_rows:
                 continue
             n = batch.num_rows
-            own = lists(batch.column("own")).reshape(n, tower.fields, width)
+            own = lists(batch.column("own"))
+            own = own.reshape(n, tower.fields, width) if shared is None else shared.value[own]
             numbers = lists(batch.column("numbers")).reshape(n, tower.numbers)
             z, _ = tower.forward(own, numbers, dense)
             columns = [batch.column(c) for c in kept] + [pa.array(sigmoid(z[:, 0]))]
@@ -165,7 +176,7 @@ def fit_network(
             held = {r["id"]: r["p"] for r in table.where("id < 0").collect()}
             dense = np.concatenate([held[-1 - n] for n in range(len(held))])
             model = NetworkModel(inputs, tower, table.where("id >= 0"), dense)
-            primary = primary_of(network_scores(valid, model.embeddings, tower, dense), hot=hot) if judged else epoch
+            primary = primary_of(network_scores(valid, model.embeddings, tower, dense, inputs.dimension), hot=hot) if judged else epoch
             if stop.offer(primary, model):
                 break
     finally:

@@ -9,17 +9,18 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.encoders import SparseEncoder, fit_sparse
 from ..operators.sets import same_user_pairs
 from ..session import cut_lineage
 from .common import PREDICTION, Stopper, even, hot_users, predictions, primary_of, train_rows
-from .losses import PairLoss, PointLoss
+from .lazy import BROADCAST_BYTES, array_of, lists
+from .losses import PairLoss, PointLoss, fm_parts
 from .rounds import ROUND_STEPS, SHARD_BATCH, Rounds, current, dense_rows, start_rows
 
-#: up to this many bytes of parameters are broadcast to score rows, more are joined
-BROADCAST_BYTES = 64 << 20
 #: spread of the factors at the start
 INIT_SPREAD = 0.01
 BIAS = -1
@@ -109,13 +110,35 @@ class FmModel:
 
 
 def _scores(rows: DataFrame, model: FmModel) -> DataFrame:
+    """Scores of id rows. Parameters that are small enough to be broadcast are, as one array, and a row
+    is scored where it is; of others, each row gathers its own."""
     kept = [c for c in PREDICTION if c in rows.columns]
+    if model.encoder.fields and model.encoder.dimension * (model.k + 2) * 8 <= BROADCAST_BYTES:
+        return _local_scores(rows.select(*kept, "ids"), model)
     rows = rows.withColumn("ids", F.concat("ids", F.array(F.lit(BIAS))))
     logits = fm_logits(rows, kept, model.params, model.encoder.dimension, model.k)
     z = F.col("z")
     return predictions(logits, z if model.raw else 1.0 / (1.0 + F.exp(-z)))
 
 
+def _local_scores(rows: DataFrame, model: FmModel) -> DataFrame:
+    kept = [c for c in rows.columns if c != "ids"]
+    held = array_of(model.params.select("id", F.array("w", *_factors(model.k)).alias("p")), model.encoder.dimension + 1, model.k + 1)
+    shared, raw = rows.sparkSession.sparkContext.broadcast(held), model.raw
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            params = shared.value
+            z = fm_parts(params, lists(batch.column("ids")))[0] + params[BIAS, 0]
+            columns = [batch.column(c) for c in kept] + [pa.array(z if raw else 1.0 / (1.0 + np.exp(-z)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return predictions(rows.mapInArrow(work, f"{kinds}, score double"), F.col("score"))
+
+
 def _encoded(df: DataFrame, enc: SparseEncoder, features: list[str]) -> DataFrame:
     """The id rows of train and valid, spread evenly; other splits are scored later."""
     kept = df.select(*[c for c in PREDICTION if c in df.columns], *features)
