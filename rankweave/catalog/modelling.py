@@ -12,6 +12,7 @@ from ..evaluation import analyses as an, experiments as ex, metrics as m
 from ..functions.lineage import SAME_ROW, STRICTLY_EARLIER
 from ..models import common, deep, fm, listwise, multitask, trees
 from ..operators import blend, builder, history as h, rowwise, sets
+from ..plans.ordering import find_hot
 from ..schemas import CONFIRM_SEEDS
 from ..session import cut_lineage
 from ..sources.tables import EVENT_START, event_impressions, event_scores
@@ -209,10 +210,11 @@ def listwise_gradient(spark, sf):
 )
 def lambdarank_gradients(spark, sf):
     scored = event_scores(event_impressions(spark, sf))
-    rows = sets.mixed_sets(scored, "user").select(
+    hot = find_hot(scored, ["split", "user_id"])
+    rows = sets.mixed_sets(scored, "user", hot=hot).select(
         "split", "user_id", "row_id", "score", F.col("long_view").cast("double").alias("label")
     )
-    out = trees.lambdas(rows, ["split", "user_id"], hot=None).select("split", "row_id", "g", "h")
+    out = trees.lambdas(rows, ["split", "user_id"], hot=hot).select("split", "row_id", "g", "h")
     return _rounded(out, "g", "h")
 
 
